@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, secrets, simhash, tokens
-from .common import read
+from . import decontam, langid, media, packing, secrets, simhash, tokens
+from .common import is_held_out, read
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.train(docs, ~is_held_out("doc_id", 4, 2))
+    return langid.predict(docs, model).select("doc_id", is_held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +44,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media": op2_media,
+    "op3_language": op3_language,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op7_decontamination": op7_decontamination,

@@ -1,13 +1,15 @@
 """Token counts and token ids by a public tokenizer's vocabulary file.
 
 The tokenizer's own pre-tokens never hold ASCII white space, its normaliser works within them, and its special strings
-hold none, so a text's ids are those of its white-space runs, one after the other. A run is the pre-token here: it is
-tokenised once where it is first met, by the library itself.
+hold none, so a text's ids are those of its white-space runs, one after the other. A run is the pre-token here, or its
+letters and its closing punctuation apart, between which the tokenizer always splits. Pre-tokens are tokenised by the
+library itself. ASCII letters are lower-cased first, as the tokenizer does, unless a special string could be meant.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, texts
+from .common import as_bytes, stored, texts
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text that are split at a time, and the longest pre-token that is remembered or joined.
@@ -55,6 +57,28 @@ def runs(data: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
+#: Latin letters and closing punctuation without apostrophes, in UTF-8.
+CLOSED = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)")
+
+
+def folded(data: bytes | None) -> bytes:
+    """ASCII lower case, except where a special string of the tokenizer may begin, as these are told apart by case."""
+    data = data or b""
+    return data if b"<|" in data else data.lower()
+
+
+def apart(counts: Counter) -> Counter:
+    """Frequencies of runs as frequencies of pre-tokens."""
+    out: Counter = Counter()
+    for run, n in counts.items():
+        if m := CLOSED.fullmatch(run):
+            out[m[1]] += n
+            out[m[2]] += n
+        else:
+            out[run] += n
+    return out
+
+
 def encode_each(path: str, pieces: list[bytes]) -> list[list[int]]:
     tok, out = tokenizer(path), []
     for at in range(0, len(pieces), 10_000):
@@ -79,19 +103,19 @@ def ids_of(path: str, data: bytes | None) -> bytes:
     return b"".join(out)
 
 
-def count_pretokens(docs: DataFrame, flush: int = 300_000) -> DataFrame:
+def count_pretokens(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     """pretoken, n: how often each occurs in all texts; tasks add up what they meet first."""
 
     def run(batches):
         seen: Counter = Counter()
 
         def out():
-            words = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([seen[w] for w in words], pa.int64())], ["pretoken", "n"])
+            parts = apart(seen)
+            return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.binary()), pa.array(list(parts.values()), pa.int64())], ["pretoken", "n"])
 
         for b in batches:
             for data in as_bytes(b.column(0)):
-                for words in runs(data or b""):
+                for words in runs(folded(data)):
                     seen.update(words)
                     if len(seen) >= flush:
                         yield out()
@@ -112,7 +136,7 @@ def count_pieces(pretokens: DataFrame, path: str) -> DataFrame:
     return pretokens.mapInArrow(run, "pretoken binary, n long, n_pieces int")
 
 
-def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, head: int = 65_536) -> DataFrame:
+def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, head: int = 131_072) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs; null and empty texts have 0 tokens.
 
     Pieces are counted once for each distinct pre-token of the corpus. The `head` most frequent ones, a bound that
@@ -121,8 +145,9 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, he
     """
     path = path or vocabulary_path()
     rows = texts(docs)
-    counted = cut(count_pieces(count_pretokens(rows), path))
+    counted = stored(count_pieces(count_pretokens(rows), path))
     frequent = counted.filter(F.length("pretoken") <= LONGEST).orderBy(F.desc("n"), "pretoken").limit(head).collect()
+    last = frequent[-1] if len(frequent) == head > 0 else None
     shared = docs.sparkSession.sparkContext.broadcast({bytes(r.pretoken): r.n_pieces for r in frequent})
 
     def run(batches):
@@ -130,17 +155,20 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, he
         for b in batches:
             sizes, sums, rest, freq, ends = [], [], [], [], [0]
             for data in as_bytes(b.column(1)):
-                seen: Counter = Counter()
-                for words in runs(data or b""):
+                seen, other, total = Counter(), Counter(), 0
+                for words in runs(folded(data)):
                     seen.update(words)
-                total = 0
                 for w, c in seen.items():
-                    n = known.get(w)
-                    if n is None:
-                        rest.append(w)
-                        freq.append(c)
+                    if (n := known.get(w)) is not None:
+                        total += n * c
                     else:
+                        other[w] = c
+                for w, c in apart(other).items():
+                    if (n := known.get(w)) is not None:
                         total += n * c
+                    else:
+                        rest.append(w)
+                        freq.append(c)
                 sizes.append(len(data or b""))
                 sums.append(total)
                 ends.append(len(rest))
@@ -148,8 +176,9 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, he
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], ["doc_id", "n_bytes", "known", "rest"])
 
     each = rows.mapInArrow(run, "doc_id long, n_bytes long, known long, rest array<struct<pretoken:binary,freq:long>>").withColumn("row", F.monotonically_increasing_id())
-    pairs = each.select("row", "doc_id", "n_bytes", "known", F.explode_outer("rest").alias("x")).select("row", "doc_id", "n_bytes", "known", "x.pretoken", "x.freq")
-    joined = pairs.join(counted.select("pretoken", "n_pieces"), "pretoken", "left")
-    got = joined.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.first("known").alias("known"), F.sum(F.col("freq") * F.col("n_pieces")).alias("joined"))
-    n = F.col("known") + F.coalesce("joined", F.lit(0).cast("long"))
-    return got.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    first = lambda c: F.when(F.coalesce("at", F.lit(0)) == 0, F.col(c)).alias(c)
+    pairs = each.select("row", "doc_id", "n_bytes", "known", F.posexplode_outer("rest").alias("at", "x")).select("row", first("doc_id"), first("n_bytes"), first("known"), "x.pretoken", "x.freq")
+    rare = counted if last is None else counted.filter((F.length("pretoken") > LONGEST) | (F.col("n") < last.n) | ((F.col("n") == last.n) & (F.col("pretoken") > F.lit(bytes(last.pretoken)))))
+    joined = pairs.join(rare.select("pretoken", "n_pieces"), "pretoken", "left")
+    got = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.coalesce("known", F.lit(0).cast("long")) + F.coalesce(F.col("freq") * F.col("n_pieces"), F.lit(0).cast("long"))).alias("n_tokens"))
+    return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
