@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, media, packing, secrets, simhash, tokens
+from . import decontam, langid, media, packing, quality, secrets, simhash, tokens, toxicity
 from .common import is_held_out, read
 
 
@@ -29,11 +29,23 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), ~is_held_out("doc_id", 4, 2))
+    return toxicity.scored(docs, model).select("doc_id", is_held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return got.drop("items")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels"), ~is_held_out("doc_id", 3, 1))
+    return quality.scored(docs, model).select("doc_id", is_held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -48,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
 }
