@@ -86,8 +86,11 @@ def occurrences(keyed: DataFrame, items: DataFrame, window: int = WINDOW, broadc
     for s in sizes:
         # the outer form keeps Spark from adding a filter that would split the text anew for each element
         d = spread.select("key", "words", shingles_of("words", [s]).alias("hashes")).select("key", "words", F.posexplode_outer("hashes").alias("pos", "h"))
-        x = d.join(fits(wanted.filter(F.col("s") == s), count, broadcast_rows), "h").filter(F.slice("words", F.col("pos") + 1, s) == F.col("run"))
-        x = x.select("key", "pos", "shingle", F.size("words").alias("n"))
+        here, n = F.slice("words", F.col("pos") + 1, s), F.size("words").alias("n")
+        if count > broadcast_rows:  # rows that are shuffled take their own words along, not the whole text's
+            d = d.filter("h is not null").select("key", "pos", "h", here.alias("here"), n)
+            here, n = F.col("here"), F.col("n")
+        x = d.join(fits(wanted.filter(F.col("s") == s), count, broadcast_rows), "h").filter(here == F.col("run")).select("key", "pos", "shingle", n)
         hits = x if hits is None else hits.unionByName(x)
     hits = cut(hits.distinct())  # copies of a text share a key
     counts = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
@@ -111,7 +114,7 @@ def covered(spans: str) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"].cast("long"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, share: int = 20, window: int = WINDOW, broadcast_rows: int = 400_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, share: int = 20, window: int = WINDOW, broadcast_rows: int = 400_000, keep_key: bool = False) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
 
     n_hit counts the words inside any occurrence of a window. Contaminated: n_hit > 0 and share * n_hit >= n_words.
@@ -132,5 +135,15 @@ def contamination(docs: DataFrame, items: DataFrame, share: int = 20, window: in
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), items_of.alias("items"),
+        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), items_of.alias("items"), *["key"] * keep_key,
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFrame:
+    """The rows of docs, same columns, that aren't contaminated; null and empty texts stay.
+
+    What goes is known by the text's digest, so that ids don't matter.
+    """
+    digest = lambda: F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    bad = contamination(docs, items, share, keep_key=True).filter("contaminated").select(F.col("key").alias("__key")).distinct()
+    return docs.withColumn("__of", digest()).join(bad, F.col("__of") == F.col("__key"), "left_anti").drop("__of")

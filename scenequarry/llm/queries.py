@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, media, packing, quality, secrets, simhash, tokens, toxicity
+from . import decontam, fixity, langid, media, packing, quality, secrets, simhash, tokens, toxicity
 from .common import is_held_out, read
 
 
+def op1_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against a replica with every 97th record damaged and every 193rd lost."""
+    return fixity.audit_pages(read(spark, sf_dir, "pages"), F.col("page_id") % 97 == 13, F.col("page_id") % 193 == 7)
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fixity": op1_fixity,
     "op2_media": op2_media,
     "op3_language": op3_language,
     "op4_token_counts": op4_token_counts,
@@ -67,4 +73,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+RECORD = """'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+    || 'Content-Length: ' || CAST(octet_length(encode(coalesce({0}, ''))) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce({0}, '') || chr(13) || chr(10) || chr(13) || chr(10)"""
+WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_fixity": f"""
+WITH r AS (
+    SELECT page_id, CAST(floor(page_id / 256) AS BIGINT) AS file, {RECORD.format("html")} AS a,
+        {RECORD.format("(CASE WHEN page_id % 97 = 13 THEN '~' || substr(html, 2) ELSE html END)")} AS b, page_id % 193 = 7 AS lost
+    FROM pages
+), s AS (
+    SELECT page_id, file, sha256(a) AS hash_a, CASE WHEN NOT lost THEN sha256(b) END AS hash_b, CAST(octet_length(encode(a)) AS BIGINT) AS n_bytes FROM r
+), p AS (
+    SELECT *, CAST(coalesce(sum(n_bytes) OVER (PARTITION BY file ORDER BY page_id, hash_a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM s
+)
+SELECT 'file' AS kind, file, CAST(NULL AS BIGINT) AS "offset", CAST(NULL AS BIGINT) AS page_id, CAST(NULL AS VARCHAR) AS hash_a, CAST(NULL AS VARCHAR) AS hash_b,
+    CAST(sum(n_bytes) AS BIGINT) AS n_bytes, count(*) AS n_records, count(*) FILTER (WHERE hash_a IS DISTINCT FROM hash_b) AS n_bad
+FROM p GROUP BY file
+UNION ALL
+SELECT CASE WHEN hash_b IS NULL THEN 'missing' ELSE 'changed' END, file, "offset", page_id, hash_a, hash_b, n_bytes, 1, 1 FROM p WHERE hash_a IS DISTINCT FROM hash_b""",
+}

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import as_bytes, cut, texts
 
@@ -282,3 +283,31 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, most: int
     named = linked.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     whole = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
+
+
+def with_fingerprint(docs: DataFrame, width: int, name: str) -> DataFrame:
+    """docs with the fingerprint as a further column."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            fps = np.array([fingerprint(x, width) for x in as_bytes(b.column(at))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*b.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
+def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+    """The rows of docs, same columns, that stand for their class: the document with the smallest id.
+
+    Rows that share an id count as one document: of those that stand for a class, one with the least fingerprint
+    stays. Without ids to tell by, as where all of a class are null, one row of each fingerprint stays.
+    """
+    found = cut(near_duplicates(docs, radius, width).filter("doc_id <=> component_id"))
+    kept = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
+    if not found.filter("doc_id is null").limit(1).count() and not kept.filter("n > 1").limit(1).count():
+        ids = kept.select(F.col("doc_id").alias("__id"))
+        return docs.join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
+    names = kept.select("doc_id", "fp").unionByName(found.filter("doc_id is null").select("doc_id", "fp").distinct()).toDF("__id", "__of")
+    marked = with_fingerprint(docs, width, "__fp").join(names, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__of")), "left_semi")
+    return marked.dropDuplicates(["doc_id", "__fp"]).drop("__fp")

@@ -90,12 +90,11 @@ def ids_of(path: str, data: bytes | None) -> bytes:
     """A text's ids, each as four little-endian bytes."""
     known: dict[bytes, bytes] = _state.setdefault(("ids", path), {})
     out = []
-    for words in runs(data or b""):
+    for words in runs(folded(data)):
         try:
             out.append(b"".join([known[w] for w in words]))
         except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            got = dict(zip(new, (np.array(x, "<u4").tobytes() for x in encode_each(path, new)), strict=True))
+            got = dict(known_apart(path, known, [w for w in dict.fromkeys(words) if w not in known]))
             out.append(b"".join([known[w] if w in known else got[w] for w in words]))
             for w, ids in got.items():
                 if len(known) < REMEMBERED and len(w) <= LONGEST:
@@ -103,6 +102,18 @@ def ids_of(path: str, data: bytes | None) -> bytes:
     return b"".join(out)
 
 
+def known_apart(path: str, known: dict[bytes, bytes], words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """Runs with their ids; the library sees only pre-tokens that aren't known."""
+    parts = [m.groups() if (m := CLOSED.fullmatch(w)) else (w,) for w in words]
+    new = [x for x in dict.fromkeys(x for p in parts for x in p) if x not in known]
+    got = dict(zip(new, (np.array(x, "<u4").tobytes() for x in encode_each(path, new)), strict=True))
+    for w, p in zip(words, parts, strict=True):
+        yield w, b"".join([known[x] if x in known else got[x] for x in p])
+    for x in new:
+        if len(known) < REMEMBERED and len(x) <= LONGEST:
+            known[x] = got[x]
+
+
 def count_pretokens(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     """pretoken, n: how often each occurs in all texts; tasks add up what they meet first."""
 
