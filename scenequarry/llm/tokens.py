@@ -150,15 +150,23 @@ def count_pieces(pretokens: DataFrame, path: str) -> DataFrame:
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, head: int = 131_072) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs; null and empty texts have 0 tokens.
 
-    Pieces are counted once for each distinct pre-token of the corpus. The `head` most frequent ones, a bound that
-    doesn't grow with the corpus, go to every worker; the sums over them need no shuffle, and no frequent pre-token
+    Pieces are counted once for each distinct pre-token of the corpus. The most frequent ones, `head` at most, a bound
+    that doesn't grow with the corpus, go to every worker; the sums over them need no shuffle, and no frequent pre-token
     is a join key. The rest of each document's pre-token frequencies is joined to the table of counts.
     """
     path = path or vocabulary_path()
     rows = texts(docs)
     counted = stored(count_pieces(count_pretokens(rows), path))
-    frequent = counted.filter(F.length("pretoken") <= LONGEST).orderBy(F.desc("n"), "pretoken").limit(head).collect()
-    last = frequent[-1] if len(frequent) == head > 0 else None
+    octave = F.floor(F.log2("n") * 16).cast("int")
+    short = F.length("pretoken") <= LONGEST
+    least, held = None, 0  # the lowest step of frequency down to which there are `head` pre-tokens at most
+    for r in sorted(counted.filter(short).groupBy(octave.alias("o")).count().collect(), key=lambda r: -r.o):  # 16 rows for each doubling
+        held += r["count"]
+        if held > head:
+            break
+        least = r.o
+    in_head = short & (octave >= least) if least is not None else F.lit(False)
+    frequent = counted.filter(in_head).select("pretoken", "n_pieces").collect()
     shared = docs.sparkSession.sparkContext.broadcast({bytes(r.pretoken): r.n_pieces for r in frequent})
 
     def run(batches):
@@ -189,7 +197,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, he
     each = rows.mapInArrow(run, "doc_id long, n_bytes long, known long, rest array<struct<pretoken:binary,freq:long>>").withColumn("row", F.monotonically_increasing_id())
     first = lambda c: F.when(F.coalesce("at", F.lit(0)) == 0, F.col(c)).alias(c)
     pairs = each.select("row", "doc_id", "n_bytes", "known", F.posexplode_outer("rest").alias("at", "x")).select("row", first("doc_id"), first("n_bytes"), first("known"), "x.pretoken", "x.freq")
-    rare = counted if last is None else counted.filter((F.length("pretoken") > LONGEST) | (F.col("n") < last.n) | ((F.col("n") == last.n) & (F.col("pretoken") > F.lit(bytes(last.pretoken)))))
+    rare = counted.filter(~in_head)
     joined = pairs.join(rare.select("pretoken", "n_pieces"), "pretoken", "left")
     got = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.coalesce("known", F.lit(0).cast("long")) + F.coalesce(F.col("freq") * F.col("n_pieces"), F.lit(0).cast("long"))).alias("n_tokens"))
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
