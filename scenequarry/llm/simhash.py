@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import as_bytes, cut, texts
+from .common import as_bytes, cut, stored, texts
 
 BITS = 64
 SEED = 42
@@ -281,7 +281,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, most: int
     linked = tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct())
     least = classes.join(linked, classes.fp == linked.node).groupBy("root").agg(F.min("rep").alias("component_id"))
     named = linked.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    whole = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    # a table of its own, so that the last join deals both its sides anew and Spark can split a frequent fingerprint
+    whole = stored(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")))
     return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
