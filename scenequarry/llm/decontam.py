@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
 WINDOW = 13
 SHINGLE = 3
@@ -129,7 +129,7 @@ def contamination(docs: DataFrame, items: DataFrame, share: int = 20, window: in
     hit = spans.groupBy("key").agg(F.sort_array(F.collect_list("span")).alias("spans")).select("key", covered("spans").alias("n_hit"))
     of = found.select("key", "window_id").distinct().join(named.select("window_id", "item_id"), "window_id").select("key", "item_id").distinct()
     of = of.groupBy("key").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
-    marks = hit.join(of, "key")
+    marks = stored(hit.join(of, "key"))  # so that the last join deals both its sides anew and Spark can split a frequent text
     out = keyed.select("key", "doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words")).join(marks, "key", "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
