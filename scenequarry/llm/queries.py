@@ -75,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 RECORD = """'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
     || 'Content-Length: ' || CAST(octet_length(encode(coalesce({0}, ''))) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce({0}, '') || chr(13) || chr(10) || chr(13) || chr(10)"""
-WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+SPLIT = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {
     "op1_fixity": f"""
@@ -93,4 +93,15 @@ SELECT 'file' AS kind, file, CAST(NULL AS BIGINT) AS "offset", CAST(NULL AS BIGI
 FROM p GROUP BY file
 UNION ALL
 SELECT CASE WHEN hash_b IS NULL THEN 'missing' ELSE 'changed' END, file, "offset", page_id, hash_a, hash_b, n_bytes, 1, 1 FROM p WHERE hash_a IS DISTINCT FROM hash_b""",
+    "op7_decontamination": f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {SPLIT} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS win, len(w[i:i + 12]) AS n FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i) WHERE len(w) > 0),
+d AS (SELECT doc_id, {SPLIT} AS w FROM documents),
+pl AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM d, (SELECT DISTINCT n FROM win) s, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
+occ AS (SELECT doc_id, i, pl.n, item_id FROM pl JOIN win USING (win, n)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM occ)) GROUP BY 1),
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM occ GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
 }
