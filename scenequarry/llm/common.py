@@ -70,6 +70,21 @@ def bounded_sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
+def labelled_ids(docs: DataFrame, labels: DataFrame, label: str, keep: Column) -> DataFrame:
+    """doc_id and label of the documents that have one and for which `keep`, a condition on doc_id, holds; texts aside."""
+    given = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    return cut(texts(docs).select("doc_id").filter(keep).distinct().join(given, "doc_id"))
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """label and text of chosen documents: one text, the least, where an id repeats.
+
+    ids (doc_id, label) are a bounded sample of distinct ids, so they are broadcast and only their own texts move.
+    """
+    rows = texts(docs).join(F.broadcast(ids.select("doc_id", "label")), "doc_id")
+    return cut(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text"))
+
+
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes | None]:
     """UTF-8 of each text, None for null, without decoding."""
     for x in column.cast(pa.binary()):

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_sample, texts
+from .common import as_bytes, bounded_sample, labelled_ids, texts, texts_of
 from .toxicity import logistic
 
 PIECE = 1024
@@ -94,20 +94,19 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, most: int = 12_000,
     """Fits on labelled rows where `keep` holds: dictionaries on about `for_dictionaries` of each label, the calibration
     on others, about `most` in all, chosen by a hash of the id. Few rows serve for both.
 
-    labels: doc_id, quality; null labels and unknown ids don't count.
+    labels: doc_id, quality; null labels and unknown ids don't count, and an id that repeats counts once.
     """
-    given = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    rows = texts(docs).filter(keep).join(given, "doc_id").select("label", "text", "doc_id")
-    totals = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    ids = labelled_ids(docs, labels, "quality", keep)
+    totals = {r.label: r["count"] for r in ids.groupBy("label").count().collect()}
     if not totals.get(0) or not totals.get(1):
         rate = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
         return Model(b" " * 8, b" " * 8, np.append(np.log(rate / (1 - rate)), np.zeros(FEATURES)))
     h = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("label") == 1, min(0.5, for_dictionaries / totals[1])).otherwise(min(0.5, for_dictionaries / totals[0]))
-    first = spaced_pieces(rows.filter(h < share)).collect()  # for_dictionaries x 2 x SPACED pieces
+    first = spaced_pieces(texts_of(docs, ids.filter(h < share))).collect()  # for_dictionaries x 2 x SPACED pieces
     good, bad = (build([bytes(r.piece) for r in first if r.label == x]) for x in (1, 0))
-    rest = bounded_sample(rows.filter(h >= share), F.col("doc_id"), most)
-    got = measured(rest.select("label", "text"), good, bad).collect()  # `most` rows of a few numbers
+    rest = texts_of(docs, bounded_sample(ids.filter(h >= share), F.col("doc_id"), most))
+    got = measured(rest, good, bad).collect()  # `most` rows of a few numbers
     y = np.array([r.label for r in got], float)
     if not len(y) or y.min() == y.max():
         rate = totals[1] / sum(totals.values())
