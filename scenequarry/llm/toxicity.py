@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_sample, texts
+from .common import as_bytes, bounded_sample, labelled_ids, texts, texts_of
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Function words of the grammar, in English, German, French and Spanish.
@@ -232,11 +232,9 @@ def measured(rows: DataFrame, lexicon: dict[str, float], extra: str = "") -> Dat
 def train(docs: DataFrame, labels: DataFrame, keep: Column, most: int = 20_000) -> Model:
     """Fits on labelled rows where `keep` holds, about `most` of them at most, chosen by a hash of the id.
 
-    labels: doc_id, toxic; null labels and unknown ids don't count. Without both labels every score is the base rate.
+    labels: doc_id, toxic; null labels and unknown ids don't count, and an id that repeats counts once. Without both labels every score is the base rate.
     """
-    given = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    rows = texts(docs).filter(keep).join(given, "doc_id")
-    sample = bounded_sample(rows, F.col("doc_id"), most).select("label", "text")
+    sample = texts_of(docs, bounded_sample(labelled_ids(docs, labels, "toxic", keep), F.col("doc_id"), most))
     lexicon = learn_lexicon(sample)
     got = measured(sample, lexicon).collect()  # `most` rows of a few numbers
     if not got:
