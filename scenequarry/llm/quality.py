@@ -29,7 +29,11 @@ def pieces(data: bytes) -> list[bytes]:
 
 
 def build(samples: list[bytes]) -> bytes:
-    """A dictionary trained on samples; where there are too few, their plain content."""
+    """A dictionary trained on samples; where there are too few, their plain content.
+
+    Training depends on the samples' order, so they are sorted: partitioning and lost tasks don't change the model.
+    """
+    samples = sorted(samples)
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:
