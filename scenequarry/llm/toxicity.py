@@ -1,10 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words map to symbols: insult, threat, target, negation, reporting verb, other. Four transducers are composed into one
-machine: targeting marks an insult or threat that stands near its target, threats count when they have a target ahead
-or behind, negation and reported speech mark what stands in their scope. The machine reads a clause and emits marked
-mentions; a mention carries its lexicon weight, so that a clause's score depends on how its parts stand together.
-Documents add up mentions by mark; a logistic fit on labelled rows says what each mark is worth.
+Words map to symbols: insult, threat, target, negation, reporting verb, other. Five transducers are composed into one
+machine: insults are mentions, threats are pending ones; targeting marks what stands near its target, ahead or behind,
+and drops threats without one; negation and reported speech mark what stands in their scope. The machine reads a clause
+and emits marked mentions; a mention carries its lexicon weight, so that a clause's score depends on how its parts stand
+together. Documents add up mentions by mark; a logistic fit on labelled rows says what each mark is worth.
 
 The insult lexicon is learned from labelled rows: words and word beginnings whose document frequencies under the
 labels differ beyond doubt (log-likelihood ratio), weighted by log odds.
@@ -16,6 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,28 +40,44 @@ BLANKS = bytes(c if c >= 128 or chr(c).isalnum() or c == 39 else 32 for c in ran
 #: Marks of an emitted mention.
 PLAIN, TARGETED, NEGATED, REPORTED, BOTH = range(5)
 MARKS = 5
+#: Mark of a threat whose target isn't found yet; never emitted.
+PENDING = 5
 SCOPE = 3
 REMEMBERED = 300_000
 
 
 class Transducer:
-    """Reads symbols with marks and emits them with marks; step(state, symbol, mark) -> (state, mark)."""
+    """Reads symbols with marks and emits them with marks; step(state, symbol, mark) -> (state, symbol, mark)."""
 
     def __init__(self, start, step):
         self.start, self.step = start, step
 
 
+def insults() -> Transducer:
+    """An insult is a plain mention."""
+    return Transducer(0, lambda state, symbol, mark: (state, symbol, PLAIN if symbol == INSULT else mark))
+
+
+def threats() -> Transducer:
+    """A threat is pending until a target is found for it."""
+    return Transducer(0, lambda state, symbol, mark: (state, symbol, PENDING if symbol == THREAT else mark))
+
+
 def targeting() -> Transducer:
-    """An insult up to SCOPE words after a target is targeted; a threat without a target before it is no mention."""
+    """Mentions up to SCOPE words after or before a target are targeted; a threat that is still pending then is none.
 
-    def step(left, symbol, mark):
-        if symbol == TARGET:
-            return SCOPE, mark
-        if symbol in (INSULT, THREAT):
-            return max(left - 1, 0), (TARGETED if left else PLAIN if symbol == INSULT else None)
-        return max(left - 1, 0), mark
+    What is read comes out SCOPE words later. The state is how far the last target still reaches, and what is held.
+    """
 
-    return Transducer(0, step)
+    def step(state, symbol, mark):
+        left, held = state
+        near = symbol == TARGET
+        if near:
+            held = tuple((s, m if m is None else TARGETED) for s, m in held)
+        (out, at), *rest = *held, (OTHER if near else symbol, TARGETED if left and mark is not None else mark)
+        return (SCOPE if near else max(left - 1, 0), tuple(rest)), out, None if at == PENDING else at
+
+    return Transducer((0, ((OTHER, None),) * SCOPE), step)
 
 
 def negation() -> Transducer:
@@ -68,8 +85,8 @@ def negation() -> Transducer:
 
     def step(left, symbol, mark):
         if symbol == NEGATION:
-            return SCOPE, mark
-        return max(left - 1, 0), (NEGATED if left and mark is not None else mark)
+            return SCOPE, symbol, mark
+        return max(left - 1, 0), symbol, (NEGATED if left and mark is not None else mark)
 
     return Transducer(0, step)
 
@@ -79,8 +96,8 @@ def reporting() -> Transducer:
 
     def step(on, symbol, mark):
         if symbol == REPORT:
-            return 1, mark
-        return on, ((BOTH if mark == NEGATED else REPORTED) if on and mark is not None else mark)
+            return 1, symbol, mark
+        return on, symbol, ((BOTH if mark == NEGATED else REPORTED) if on and mark is not None else mark)
 
     return Transducer(0, step)
 
@@ -93,12 +110,10 @@ def compose(*parts: Transducer) -> tuple[np.ndarray, np.ndarray]:
         state = todo.pop(0)
         row = []
         for symbol in range(6):
-            after, mark = [], PLAIN if symbol in (INSULT, THREAT) else None
+            after, mark = [], None
             for p, s in zip(parts, state, strict=True):
-                s, mark = p.step(s, symbol, mark)
+                s, symbol, mark = p.step(s, symbol, mark)
                 after.append(s)
-            if symbol not in (INSULT, THREAT):
-                mark = None
             key = tuple(after)
             if key not in number:
                 number[key] = len(number)
@@ -109,14 +124,20 @@ def compose(*parts: Transducer) -> tuple[np.ndarray, np.ndarray]:
     return table[:, :, 0], table[:, :, 1]
 
 
+@cache
+def machine() -> tuple[list, list]:
+    """The grammar's composed tables; marks come out SCOPE words after their word was read."""
+    nxt, out = compose(insults(), threats(), targeting(), negation(), reporting())
+    return nxt.tolist(), out.tolist()
+
+
 class Grammar:
     """The composed machine with a lexicon {word or beginning + '*': weight}."""
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = {k.encode(): v for k, v in lexicon.items()}
         self.fixed = {w.encode(): s for s, ws in WORDS.items() for w in ws.split()}
-        nxt, out = compose(targeting(), negation(), reporting())
-        self.nxt, self.out = nxt.tolist(), out.tolist()
+        self.nxt, self.out = machine()
         self.known: dict[bytes, tuple[int, float]] = {}
 
     def read(self, word: bytes) -> tuple[int, float]:
@@ -140,10 +161,11 @@ class Grammar:
         for clause in CLAUSE.split(text):
             symbols = [read(w) for w in clause.translate(BLANKS).split()]
             state, hit = 0, False
-            for symbol, weight in symbols:
+            for i, (symbol, _) in enumerate(symbols + [(OTHER, 0.0)] * SCOPE):
                 mark = self.out[state][symbol]
                 state = self.nxt[state][symbol]
                 if mark >= 0:
+                    weight = symbols[i - SCOPE][1]
                     sums[mark] += weight
                     heaviest, hit = max(heaviest, weight), True
             clauses += hit

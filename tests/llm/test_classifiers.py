@@ -55,6 +55,17 @@ def test_machine_marks_mentions():
     assert g.measure(b"never. blaggard")[toxicity.PLAIN] > 0
 
 
+def test_threats_with_the_target_ahead_or_behind():
+    g = toxicity.Grammar({"blaggard": 1.0})
+    for text in ["I will kill you", "destroy them", "kill him", "wir töten dich", "on va tuer elle", "quiero matar a ustedes", "you we kill", "kill at the him"]:
+        assert np.flatnonzero(g.measure(text.encode())[: toxicity.MARKS]).tolist() == [toxicity.TARGETED], text
+    for text, mark in [("never kill you", toxicity.NEGATED), ("wrote kill you", toxicity.REPORTED), ("said never kill you", toxicity.BOTH), ("blaggard like you", toxicity.TARGETED)]:
+        assert np.flatnonzero(g.measure(text.encode())[: toxicity.MARKS]).tolist() == [mark], text
+    for text in ["kill a b c you", "you a b c kill", "kill. you", "kill it"]:
+        assert g.measure(text.encode())[: toxicity.MARKS].sum() == 0, text
+    assert np.isclose(g.measure(b"kill you blaggard kill")[toxicity.TARGETED], np.log1p(3))
+
+
 def test_lexicon_weights_follow_the_labels(spark):
     rows = spark.createDataFrame([(int(i % 5 == 0), "common words " + ("zorkling" if i % 5 == 0 else "calm")) for i in range(200)], "label int, text string")
     lexicon = toxicity.learn_lexicon(rows)
