@@ -1,8 +1,9 @@
 """Media columns: texts as 8-bit WAV samples, and spectral-peak pair fingerprints of their short-time spectrum.
 
 A text's UTF-8, padded with spaces to a positive multiple of 192 bytes, is stored by the wave module as one unsigned
-8-bit channel; what the module reads back gives the features. Frames of FRAME samples are transformed under a Hann
-window; a frame's peaks are the strongest local maxima of its magnitudes, and each is paired with peaks of the next
+8-bit channel; what the module reads back gives the features. Frames of FRAME samples, centred HOP apart from the first
+sample on, are transformed under a Hann window, so that every sample counts in full; beyond the ends is
+silence at the level of the frame's samples. A frame's peaks are the strongest local maxima of its magnitudes, and each is paired with peaks of the next
 frames: (frequency, frequency, frame distance) packed in an integer, with the frame as its time code.
 """
 
@@ -21,8 +22,8 @@ from .common import as_bytes, texts
 
 UNIT = 192
 RATE = 8000
-FRAME = 256
-HOP = 256
+FRAME = 128
+HOP = 32
 #: Peaks of a frame, and frames ahead that they are paired with.
 PEAKS = 2
 AHEAD = 2
@@ -58,13 +59,20 @@ def decode(media: bytes) -> bytes:
 def peaks_of(samples: bytes) -> np.ndarray:
     """Frequencies of each frame's peaks, strongest first: frames x PEAKS; 0 where a frame has fewer."""
     x = np.frombuffer(samples, np.uint8)
+    x, lo, hi = np.pad(x, FRAME // 2), FRAME // 2, FRAME // 2 + len(x)
     n = max(1, -(-(len(x) - FRAME) // HOP) + 1)
     window, out = np.hanning(FRAME).astype(np.float32), np.zeros((n, PEAKS), np.int64)
     for at in range(0, n, BLOCK):
         m = min(BLOCK, n - at)
-        part = np.full((m - 1) * HOP + FRAME, 128, np.uint8)
+        part = np.zeros((m - 1) * HOP + FRAME, np.uint8)
         part[: len(x) - at * HOP] = x[at * HOP : at * HOP + len(part)]
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP].astype(np.float32) - 128
+        start = (at + np.arange(m)) * HOP
+        for i in np.flatnonzero((start < lo) | (start + FRAME > hi)):  # the first and last ones: silence beyond the ends
+            a, b = max(lo - start[i], 0), min(hi - start[i], FRAME)
+            own = frames[i, a:b] - (frames[i, a:b].mean() if b > a else 0)
+            frames[i] = 0
+            frames[i, a:b] = own
         power = np.abs(np.fft.rfft((frames - frames.mean(axis=1, keepdims=True)) * window, axis=1).astype(np.complex64))
         inner = power[:, 1:-1]
         top = np.where((inner > power[:, :-2]) & (inner >= power[:, 2:]), inner, 0)

@@ -36,3 +36,19 @@ def test_blocks_make_no_difference(monkeypatch):
     whole = media.fingerprint(data)
     monkeypatch.setattr(media, "BLOCK", 7)
     assert all((a == b).all() for a, b in zip(whole, media.fingerprint(data), strict=True))
+
+
+def test_short_texts_differ():
+    words = "river stone light green paper window garden music letter winter summer table".split()
+    r = np.random.default_rng(3)
+    texts = sorted({" ".join(r.choice(words, n)) for n in range(4, 20) for _ in range(5)})
+    marks = [media.describe(*media.fingerprint(media.payload_of(t.encode()))) for t in texts]
+    assert len(set(marks)) >= 0.95 * len(texts) and not any(m.startswith("0:") for m in marks)
+
+
+def test_bytes_at_frame_borders_count():
+    for at in (0, 248, 504, 760):
+        data = bytearray(b" " * 768)
+        data[at : at + 8] = b"axbxcxdx"
+        t, _ = media.fingerprint(bytes(data))
+        assert len(t) and abs(t[0] * media.HOP - at) <= 2 * media.FRAME, at
