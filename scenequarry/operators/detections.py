@@ -42,20 +42,22 @@ def suppress(dets: DataFrame, least_score: float = 0.1, limit: float = 0.9, by:
     return kept.select(*by, *(F.col(f"b.{f}") for f in fields))
 
 
-def suppress_in_rounds(dets: DataFrame, limit: float = 0.9, by: str = "image_id", most_rounds: int = 100) -> DataFrame:
+def suppress_in_rounds(dets: DataFrame, limit: float = 0.9, by: str = "image_id", few: int = 100_000) -> DataFrame:
     """The same kept set by joins: in each round, boxes without an undecided earlier conflict are decided.
 
-    For groups too large for one row. conflicts is found once; rounds shrink to what is undecided.
+    For groups too large for one row. conflicts is found once; rounds shrink to what is undecided and go on until
+    nothing is. Chains need a round for every two boxes, so once at most `few` conflicts are undecided, the driver
+    decides these in order.
     """
     from ..plans.tables import cut
 
     a = dets.select(by, F.col("det_id").alias("i"), F.col("score").alias("si"), g.struct(g.box()).alias("bi"))
     b = dets.select(by, F.col("det_id").alias("j"), F.col("score").alias("sj"), g.struct(g.box()).alias("bj"))
     earlier = (F.col("si") > F.col("sj")) | ((F.col("si") == F.col("sj")) & (F.col("i") < F.col("j")))
-    conflicts = cut(a.join(b, by).filter(earlier & (g.iou(g.box(F.col("bi")), g.box(F.col("bj")), 0, 1e-5) > limit)).select("i", "j"))
+    conflicts = cut(a.join(b, by).filter(earlier & (g.iou(g.box(F.col("bi")), g.box(F.col("bj")), 0, 1e-5) > limit)).select("i", "j", "sj"))
     left = cut(dets.select("det_id"))
     kept = None
-    for _ in range(most_rounds):
+    while True:
         now = cut(left.join(conflicts.select(F.col("j").alias("det_id")).distinct(), "det_id", "left_anti"))
         kept = now if kept is None else kept.unionByName(now)
         gone = conflicts.join(now.select(F.col("det_id").alias("i")), "i").select(F.col("j").alias("det_id")).distinct()
@@ -63,6 +65,14 @@ def suppress_in_rounds(dets: DataFrame, limit: float = 0.9, by: str = "image_id"
         if not left.limit(1).count():
             break
         conflicts = cut(conflicts.join(left.select(F.col("det_id").alias("i")), "i", "left_semi").join(left.select(F.col("det_id").alias("j")), "j", "left_semi"))
+        if conflicts.count() <= few:
+            dropped = set()
+            for r in conflicts.orderBy(F.desc("sj"), "j").collect():
+                if r.i not in dropped:
+                    dropped.add(r.j)
+            lost = dets.sparkSession.createDataFrame([(x,) for x in dropped], left.schema)
+            kept = kept.unionByName(left.join(lost, "det_id", "left_anti"))
+            break
     return dets.join(kept, "det_id", "left_semi")
 
 
