@@ -2,13 +2,14 @@
 
 A window is 13 consecutive words of a benchmark item, or all of a shorter one. Its tokens are its shingles of up to
 three words with their places. As a window must be contained whole, the prefix that a match needs is one token: the
-window's rarest over all documents. The join finds
+window's rarest over all documents. So
 
-1. hits: places of documents where a benchmark shingle stands (64-bit hash join, words compared),
-2. candidates: hits of a window's prefix shingle, whose start and end must lie inside the document,
-3. occurrences: candidates where every shingle of the window stands at its place, which is exact containment.
+1. each benchmark shingle is counted over all documents, by a hash; tasks add up first, and nothing else leaves them,
+2. every window gets its prefix shingle; windows with a shingle that stands nowhere can't match and go,
+3. documents join on prefix shingles alone, a place whose window would begin before the document or end behind it is
+   no candidate, and a candidate counts if the words at its place equal the window's, which is exact containment.
 
-The benchmark side is broadcast if its size is within `broadcast_rows`; beyond it, Spark shuffles both sides.
+Benchmark tables are broadcast if their counted bytes are within `broadcast_bytes`; beyond it, Spark shuffles both sides.
 """
 
 from __future__ import annotations
@@ -50,60 +51,73 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
     w = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     n = F.greatest(F.size("words") - window, F.lit(0))
     w = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: F.slice("words", i + 1, window))).alias("words"))
-    return w.select(F.sha2(F.array_join("words", " "), 256).alias("window_id"), "words", "item_id").distinct()
+    return w.select(F.unhex(F.sha2(F.array_join("words", " "), 256)).alias("window_id"), "words", "item_id").distinct()
 
 
-def fits(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """With a broadcast hint if its counted rows are within the bound."""
-    return F.broadcast(df) if rows <= most else df
+def fits(df: DataFrame, most: int) -> DataFrame:
+    """With a broadcast hint if the bytes of its rows, counted here, are within the bound."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 16)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
-def occurrences(keyed: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_rows: int = 400_000) -> tuple[DataFrame, DataFrame]:
+def places(keyed: DataFrame, size: int) -> DataFrame:
+    """key, words, pos, h: every place of every text with the hash of the shingle that begins there; null h without one."""
+    rows = keyed.select("key", words_of(F.col("text")).alias("words"))
+    # the outer form keeps Spark from adding a filter that would split the text anew for each element
+    return rows.select("key", "words", shingles_of("words", [size]).alias("hashes")).select("key", "words", F.posexplode_outer("hashes").alias("pos", "h"))
+
+
+def prefixes(keyed: DataFrame, windows: DataFrame, broadcast_bytes: int) -> tuple[DataFrame, list[int]]:
+    """(window_id, len, words, s, at, h) with each window's rarest shingle and its place, and the shingle sizes there are.
+
+    Windows that hold a shingle which no document has are left out.
+    """
+    s = F.least(F.lit(SHINGLE), F.size("words"))
+    parts = windows.select("window_id", F.size("words").alias("len"), "words", s.alias("s"))
+    hashed = lambda n: shingles_of("words", [n])
+    by_size = hashed(SHINGLE)
+    for n in range(1, SHINGLE):
+        by_size = F.when(F.col("s") == n, hashed(n)).otherwise(by_size)
+    parts = cut(parts.select("window_id", "len", "words", "s", F.posexplode(by_size).alias("at", "h")))
+    sizes = sorted(r.s for r in parts.select("s").distinct().collect())  # one to three sizes
+    counts = None
+    for n in sizes:
+        wanted = fits(parts.filter(F.col("s") == n).select("h").distinct(), broadcast_bytes)
+        c = places(keyed, n).filter("h is not null").select("h").join(wanted, "h").groupBy("h").agg(F.count(F.lit(1)).alias("df")).withColumn("s", F.lit(n))
+        counts = c if counts is None else counts.unionByName(c)
+    if counts is None:
+        return parts, sizes
+    ranked = parts.join(cut(counts), ["s", "h"], "left").groupBy("window_id", "len", "words", "s").agg(F.min(F.struct("df", "h", "at")).alias("rarest"), F.count_if(F.col("df").isNull()).alias("absent"))
+    return cut(ranked.filter("absent = 0").select("window_id", "len", "words", "s", "rarest.at", "rarest.h")), sizes
+
+
+def occurrences(keyed: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
     """(key, start, len, window_id) of every place where a window stands, and the (window_id, item_id) table.
 
-    keyed: key, text.
+    keyed: key, text; rows of one key have one text. Copies of a text give their places once.
     """
     named = cut(windows_of(items, window))
-    windows = named.select("window_id", "words").distinct()
-    size = F.least(F.lit(SHINGLE), F.size("words"))
-    parts = cut(
-        windows.select("window_id", F.size("words").alias("len"), "words", size.alias("s"))
-        .select("window_id", "len", "s", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("len") - F.col("s")), lambda i: F.slice("words", i + 1, F.col("s")))).alias("at", "run"))
-        .select("window_id", "len", "s", "at", "run", F.array_join("run", " ").alias("shingle"))
-    )
-    runs = parts.select("s", "run", "shingle").distinct()
-    count, sizes = runs.count(), sorted(r.s for r in parts.select("s").distinct().collect())  # one to three sizes
-    empty = keyed.select("key", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit("").alias("window_id")).limit(0)
-    if not sizes:
-        return empty, named
-    hashed = lambda s: F.xxhash64(F.lit(s), *(F.get("run", F.lit(k)) for k in range(s)))
-    wanted = None
-    for s in sizes:
-        x = runs.filter(F.col("s") == s).select(F.col("s"), hashed(s).alias("h"), F.col("run"), "shingle")
-        wanted = x if wanted is None else wanted.unionByName(x)
-    spread = keyed.select("key", words_of(F.col("text")).alias("words"))
-    hits = None
-    for s in sizes:
-        # the outer form keeps Spark from adding a filter that would split the text anew for each element
-        d = spread.select("key", "words", shingles_of("words", [s]).alias("hashes")).select("key", "words", F.posexplode_outer("hashes").alias("pos", "h"))
-        here, n = F.slice("words", F.col("pos") + 1, s), F.size("words").alias("n")
-        if count > broadcast_rows:  # rows that are shuffled take their own words along, not the whole text's
-            d = d.filter("h is not null").select("key", "pos", "h", here.alias("here"), n)
-            here, n = F.col("here"), F.col("n")
-        x = d.join(fits(wanted.filter(F.col("s") == s), count, broadcast_rows), "h").filter(here == F.col("run")).select("key", "pos", "shingle", n)
-        hits = x if hits is None else hits.unionByName(x)
-    hits = cut(hits.distinct())  # copies of a text share a key
-    counts = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    ranked = parts.join(counts, "shingle")  # a window with a shingle that stands nowhere can't match
-    prefix = ranked.groupBy("window_id").agg(F.min(F.struct("df", "shingle", "at")).alias("rarest"), F.first("len").alias("len")).select("window_id", "len", "rarest.shingle", "rarest.at")
-    prefix = fits(prefix, count, broadcast_rows)
-    found = hits.join(prefix, "shingle").withColumn("start", F.col("pos") - F.col("at")).filter("start >= 0 and start + len <= n").select("key", "start", "len", "window_id")
-    of = parts.groupBy("window_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "shingle"))), lambda x: x["shingle"]).alias("shingles"))
-    asked = found.join(fits(of, count, broadcast_rows), "window_id").select("key", "start", "len", "window_id", F.size("shingles").alias("need"), F.posexplode("shingles").alias("at", "shingle"))
-    asked = asked.withColumn("pos", F.col("start") + F.col("at"))
-    held = asked.join(hits.select("key", "pos", "shingle"), ["key", "pos", "shingle"])
-    whole = held.groupBy("key", "start", "len", "window_id").agg(F.count(F.lit(1)).alias("have"), F.first("need").alias("need")).filter("have = need")
-    return whole.select("key", "start", "len", "window_id"), named
+    prefix, sizes = prefixes(keyed, named.select("window_id", "words").distinct(), broadcast_bytes)
+    found = keyed.select("key", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit(None).cast("binary").alias("window_id")).limit(0)
+    start = (F.col("pos") - F.col("at")).alias("start")
+    for n in sizes:
+        asked = prefix.filter(F.col("s") == n).select("window_id", "len", F.col("words").alias("win"), "at", "h")
+        small = fits(asked, broadcast_bytes)
+        d = places(keyed, n)
+        if small is not asked:
+            whole = (F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.size("words")) & (F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len")) == F.col("win"))
+            got = d.join(small, "h").select("key", start, "len", "window_id", "words", "win").filter(whole)
+        else:  # what is shuffled are places alone; the few candidates get their words by the key
+            near = d.filter("h is not null").select("key", "pos", "h", F.size("words").alias("n")).join(asked, "h").select("key", start, "len", "window_id", "win", "n").filter("start >= 0 and start + len <= n").distinct()
+            text = keyed.select("key", words_of(F.col("text")).alias("words")).dropDuplicates(["key"])
+            got = near.join(text, "key").filter(F.slice("words", F.col("start") + 1, F.col("len")) == F.col("win"))
+        found = found.unionByName(got.select("key", "start", "len", "window_id").distinct())
+    return found, named
+
+
+def digest_of(text: str) -> Column:
+    """32 bytes that know a text; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
 
 
 def covered(spans: str) -> Column:
@@ -114,16 +128,17 @@ def covered(spans: str) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"].cast("long"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, share: int = 20, window: int = WINDOW, broadcast_rows: int = 400_000, keep_key: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, share: int = 20, window: int = WINDOW, broadcast_bytes: int = 64 << 20, keep_key: bool = False) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
 
     n_hit counts the words inside any occurrence of a window. Contaminated: n_hit > 0 and share * n_hit >= n_words.
     Null and empty texts have no words and are clean; repeated rows get equal results; items without words match
-    nothing. A document is known by its id and its text's digest, so ids may be null or repeat.
+    nothing; other columns, whatever their names, don't matter. A document is known by its text's digest, so ids may be
+    null or repeat.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", digest_of("text"))
     texts = keyed.select("key", "text")
-    found, named = occurrences(texts, items.select("item_id", "text"), window, broadcast_rows)
+    found, named = occurrences(texts, items.select("item_id", "text"), window, broadcast_bytes)
     found = cut(found)
     spans = found.select("key", F.struct("start", (F.col("start") + F.col("len")).alias("end")).alias("span")).distinct()
     hit = spans.groupBy("key").agg(F.sort_array(F.collect_list("span")).alias("spans")).select("key", covered("spans").alias("n_hit"))
@@ -142,8 +157,8 @@ def contamination(docs: DataFrame, items: DataFrame, share: int = 20, window: in
 def keep_clean(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFrame:
     """The rows of docs, same columns, that aren't contaminated; null and empty texts stay.
 
-    What goes is known by the text's digest, so that ids don't matter.
+    What goes is known by the text's digest, so that ids don't matter, nor names of other columns.
     """
-    digest = lambda: F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    bad = contamination(docs, items, share, keep_key=True).filter("contaminated").select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__of", digest()).join(bad, F.col("__of") == F.col("__key"), "left_anti").drop("__of")
+    bad = contamination(docs, items, share, keep_key=True).filter("contaminated").select("key").distinct()
+    rows = docs.select(F.struct("*").alias("row"), digest_of("text").alias("key"))
+    return rows.join(bad, "key", "left_anti").select("row.*")

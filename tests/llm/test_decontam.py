@@ -29,18 +29,20 @@ def brute(text):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("broadcast_rows", [400_000, 0])
-def test_equals_brute_force(spark, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 0])
+def test_equals_brute_force(spark, broadcast_bytes):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     table = [(i or None, t, "x") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "again")]
     docs = spark.createDataFrame(table, "doc_id long, text string, n_hit string").repartition(3)
-    got = decontam.contamination(docs, items, broadcast_rows=broadcast_rows).collect()
+    got = decontam.contamination(docs, items, broadcast_bytes=broadcast_bytes).collect()
     assert len(got) == len(table)
     for r in got:
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute(TEXTS[r.doc_id or 0]), TEXTS[r.doc_id or 0][:60]
-    if broadcast_rows:
+    if broadcast_bytes:
         kept = decontam.keep_clean(docs, items)
         assert kept.columns == docs.columns
+        clash = docs.withColumnsRenamed({"n_hit": "key"})
+        assert decontam.keep_clean(clash, items).columns == clash.columns and decontam.keep_clean(clash, items).count() == kept.count()
         assert sorted((r.doc_id or 0) for r in kept.collect()) == [i for i, t in enumerate(TEXTS) if not brute(t)[4]]
 
 
