@@ -36,7 +36,31 @@ def test_descent_compares_few_nodes_and_roots_tell(spark):
     assert all(n <= 16 for n in compared) and len(compared) == len(tree)
     assert len({r.hash for r in fixity.roots(tree).collect()}) == 2
     same, few = fixity.audit(tree, "a", "a")
-    assert same.count() == 0 and sum(few[1:]) == 0
+    assert same.count() == 0 and few == []  # equal roots: nothing is compared
+
+
+def test_a_lost_record_moves_others_without_reporting_them(spark):
+    rows = [(i, 100, f"d{i:04d}") for i in range(600)]
+    place = lambda r: fixity.placed(spark.createDataFrame(r, "page_id long, n_bytes long, d string"), "page_id", "d")
+    a = place(rows)
+    b = place([(i, n + (i == 40) * 7, d + ("x" if i == 40 else "")) for i, n, d in rows if i != 20])
+    leaf = lambda df, r: df.select(F.lit(r).alias("replica"), "file", "offset", F.col("page_id").alias("id"), F.col("d").alias("hash"))
+    assert [r.offset for r in b.filter("page_id in (19, 21, 41)").orderBy("page_id").collect()] == [1900, 2000, 4007]
+    found, compared = fixity.audit(fixity.levels(leaf(a, "a").unionByName(leaf(b, "b")), range_bytes=512, fan=4), "a", "b")
+    assert {(r.id, r.offset, r.offset_b, r.hash_b) for r in found.collect()} == {(20, 2000, None, None), (40, 4000, 3900, "d0040x")}
+    assert compared[-1] < 2 * 256  # one file alone is read down to its records
+    back, _ = fixity.audit(fixity.levels(leaf(a, "a").unionByName(leaf(b, "b"))), "b", "a")
+    assert {(r.id, r.hash_a) for r in back.collect()} == {(20, None), (40, "d0040x")}
+
+
+def test_one_id_with_very_many_records(spark):
+    rows = [(5, i % 7 + 1, f"{i * 2654435761 % (1 << 32):08x}") for i in range(3000)] + [(6, 9, "00")]
+    got = fixity.placed(spark.createDataFrame(rows, "page_id long, n_bytes long, d string"), "page_id", "d").orderBy("offset").collect()
+    at = 0
+    for r in got:
+        assert r.offset == at
+        at += r.n_bytes
+    assert [(r.page_id, r.d) for r in got] == sorted((i, d) for i, _, d in set(rows))
 
 
 def test_empty_table(spark):
