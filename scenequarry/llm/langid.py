@@ -95,7 +95,7 @@ def train(docs: DataFrame, keep: Column, label: str = "lang", buckets: int = BUC
         part = sums[sums["label"] == x]
         n[part["bucket"].to_numpy(), j] += part["n"].to_numpy()
     log_p = np.log(n / n.sum(axis=0)).astype(np.float32)
-    return Model(labels, log_p, np.zeros(max(len(labels), 1)))
+    return Model(labels, log_p, np.zeros(max(len(labels), 1)))  # equal priors: a corpus says little about the next text
 
 
 def score_batch(model: Model, batch: list[bytes | None]) -> tuple[list[str], np.ndarray]:
@@ -137,7 +137,11 @@ def has_letter(part: bytes) -> bool:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score for every row; `und` and 0 for null texts and texts without letters."""
+    """doc_id, lang_pred, score for every row; `und` and 0 for null texts and texts without letters.
+
+    Equal texts get equal results, in repeated rows too; a very long text is hashed block by block. Of languages with
+    equal sums the first by name wins. Other columns, whatever their names, don't matter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.log_p, model.log_prior))
 
     def run(batches):

@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words map to symbols: insult, threat, target, negation, reporting verb, other. Five transducers are composed into one
-machine: insults are mentions, threats are pending ones; targeting marks what stands near its target, ahead or behind,
-and drops threats without one; negation and reported speech mark what stands in their scope. The machine reads a clause
-and emits marked mentions; a mention carries its lexicon weight, so that a clause's score depends on how its parts stand
-together. Documents add up mentions by mark; a logistic fit on labelled rows says what each mark is worth.
+Words map to symbols: insult, threat (active or passive), target, agent, negation, reporting verb, other. Five weighted
+transducers are composed into one machine. Insults and threats become mentions; targeting looks for a target near a
+mention, ahead or behind, lets a mention with one through in full, an insult without one at a discount, and drops
+threats without one; negation and reported speech mark what stands in their scope and discount it. An arc has a weight,
+the arcs of a path multiply, and a mention's path carries its lexicon weight; a clause is matched if a path emits a
+mention. Documents add up the path weights of their clauses by mark, and a logistic fit on labelled rows says what each
+mark is worth; no feature looks at words outside paths.
 
 The insult lexicon is learned from labelled rows: words and word beginnings whose document frequencies under the
 labels differ beyond doubt (log-likelihood ratio), weighted by log odds.
@@ -25,11 +27,16 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, bounded_sample, labelled_ids, texts, texts_of
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: Function words of the grammar, in English, German, French and Spanish.
+OTHER, INSULT, ACTIVE, PASSIVE, TARGET, AGENT, NEGATION, REPORT = range(8)
+#: Function words of the grammar, in English, German, French and Spanish. Threats are active, done to somebody named as
+#: an object, or passive, happening to whoever is named; targets can be objects, agents are subjects alone.
 WORDS = {
-    THREAT: "kill hurt destroy punish beat töten vernichten schlagen tuer détruire frapper matar destruir golpear",
-    TARGET: "you your he she they him her them du dich ihr sie er tu toi vous il elle ils tú usted ustedes ellos",
+    ACTIVE: "kill kills killing hurt hurts hurting destroy destroys destroying punish punishes punishing beat beats beating "
+    "töten töte tötet vernichten vernichte vernichtet schlagen schlage schlägt tuer tue tuez tuerai détruire détruis détruirai frapper frappe frapperai "
+    "matar mato mata mataré destruir destruyo destruiré golpear golpeo golpearé",
+    PASSIVE: "killed destroyed punished beaten getötet zerstört geschlagen tué tuée tués détruit détruits frappé frappés matado matados destruido destruidos golpeado golpeados",
+    TARGET: "you your him her them dich euch ihn ihr sie toi vous elle elles les ustedes usted te ti os",
+    AGENT: "he she they du er il ils tu tú él ellos ellas",
     NEGATION: "not never no nicht kein keine nie pas jamais ne nunca jamás",
     REPORT: "said says wrote called quoted sagte sagt schrieb nannte dit écrit appelé dijo dice escribió llamó",
 }
@@ -40,44 +47,60 @@ BLANKS = bytes(c if c >= 128 or chr(c).isalnum() or c == 39 else 32 for c in ran
 #: Marks of an emitted mention.
 PLAIN, TARGETED, NEGATED, REPORTED, BOTH = range(5)
 MARKS = 5
-#: Mark of a threat whose target isn't found yet; never emitted.
-PENDING = 5
+FEATURES = MARKS + 1
+#: Weights of arcs: an insult that nobody is the target of, and what stands in a negation's or a report's scope.
+WITHOUT_TARGET, IN_NEGATION, IN_REPORT = 0.5, 0.25, 0.25
 SCOPE = 3
 REMEMBERED = 300_000
 
 
 class Transducer:
-    """Reads symbols with marks and emits them with marks; step(state, symbol, mark) -> (state, symbol, mark)."""
+    """Reads symbols with marks and emits them with marks; step(state, symbol, mark) -> (state, symbol, mark, arc weight)."""
 
     def __init__(self, start, step):
         self.start, self.step = start, step
 
 
 def insults() -> Transducer:
-    """An insult is a plain mention."""
-    return Transducer(0, lambda state, symbol, mark: (state, symbol, PLAIN if symbol == INSULT else mark))
+    """An insult is a mention, plain so far."""
+    return Transducer(0, lambda state, symbol, mark: (state, symbol, PLAIN if symbol == INSULT else mark, 1.0))
 
 
 def threats() -> Transducer:
-    """A threat is pending until a target is found for it."""
-    return Transducer(0, lambda state, symbol, mark: (state, symbol, PENDING if symbol == THREAT else mark))
+    """A threat is a mention, plain so far."""
+    return Transducer(0, lambda state, symbol, mark: (state, symbol, PLAIN if symbol in (ACTIVE, PASSIVE) else mark, 1.0))
 
 
 def targeting() -> Transducer:
-    """Mentions up to SCOPE words after or before a target are targeted; a threat that is still pending then is none.
+    """Mentions up to SCOPE words after or before a target are targeted: active threats need one that can be an object,
+    others take agents too. Insults without one go on at a discount, threats without one go on as no mention.
 
-    What is read comes out SCOPE words later. The state is how far the last target still reaches, and what is held.
+    What is read comes out SCOPE words later. The state is how far the last target and the last of either still reach,
+    and what is held.
     """
+    open_to = {TARGET: (INSULT, ACTIVE, PASSIVE), AGENT: (INSULT, PASSIVE)}
 
     def step(state, symbol, mark):
-        left, held = state
-        near = symbol == TARGET
-        if near:
-            held = tuple((s, m if m is None else TARGETED) for s, m in held)
-        (out, at), *rest = *held, (OTHER if near else symbol, TARGETED if left and mark is not None else mark)
-        return (SCOPE if near else max(left - 1, 0), tuple(rest)), out, None if at == PENDING else at
-
-    return Transducer((0, ((OTHER, None),) * SCOPE), step)
+        of_target, of_any, held = state
+        if symbol in open_to:
+            held = tuple((s, TARGETED if s in open_to[symbol] else m) for s, m in held)
+            of_target, of_any = SCOPE if symbol == TARGET else max(of_target - 1, 0), SCOPE
+            new = (OTHER, None)
+        else:
+            reached = mark is not None and (of_target if symbol == ACTIVE else of_any)
+            new = (symbol, TARGETED if reached else mark)
+            of_target, of_any = max(of_target - 1, 0), max(of_any - 1, 0)
+        (out, at), *rest = *held, new
+        weight = WITHOUT_TARGET if at == PLAIN else 1.0
+        if out in (ACTIVE, PASSIVE) and at == PLAIN:
+            at, weight = None, 1.0
+        if at is not None:
+            out = INSULT  # what kind of mention it was makes no difference any more
+        elif out in (ACTIVE, PASSIVE):
+            out = OTHER
+        return (of_target, of_any, tuple((INSULT, m) if m == TARGETED else (s, m) for s, m in rest)), out, at, weight
+
+    return Transducer((0, 0, ((OTHER, None),) * SCOPE), step)
 
 
 def negation() -> Transducer:
@@ -85,8 +108,9 @@ def negation() -> Transducer:
 
     def step(left, symbol, mark):
         if symbol == NEGATION:
-            return SCOPE, symbol, mark
-        return max(left - 1, 0), symbol, (NEGATED if left and mark is not None else mark)
+            return SCOPE, symbol, mark, 1.0
+        within = left and mark is not None
+        return max(left - 1, 0), symbol, NEGATED if within else mark, IN_NEGATION if within else 1.0
 
     return Transducer(0, step)
 
@@ -96,80 +120,84 @@ def reporting() -> Transducer:
 
     def step(on, symbol, mark):
         if symbol == REPORT:
-            return 1, symbol, mark
-        return on, symbol, ((BOTH if mark == NEGATED else REPORTED) if on and mark is not None else mark)
+            return 1, symbol, mark, 1.0
+        within = on and mark is not None
+        return on, symbol, (BOTH if mark == NEGATED else REPORTED) if within else mark, IN_REPORT if within else 1.0
 
     return Transducer(0, step)
 
 
-def compose(*parts: Transducer) -> tuple[np.ndarray, np.ndarray]:
-    """One deterministic machine: next state and emitted mark (-1: none) by state and symbol; state 0 is the start."""
+def compose(*parts: Transducer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One deterministic machine: next state, emitted mark (-1: none) and weight by state and symbol; state 0 is the start."""
     start = tuple(p.start for p in parts)
     number, todo, rows = {start: 0}, [start], []
-    while todo:
-        state = todo.pop(0)
+    for state in todo:
         row = []
-        for symbol in range(6):
-            after, mark = [], None
+        for symbol in range(8):
+            after, mark, weight = [], None, 1.0
             for p, s in zip(parts, state, strict=True):
-                s, symbol, mark = p.step(s, symbol, mark)
+                s, symbol, mark, w = p.step(s, symbol, mark)
                 after.append(s)
+                weight *= w
             key = tuple(after)
             if key not in number:
                 number[key] = len(number)
                 todo.append(key)
-            row.append((number[key], -1 if mark is None else mark))
+            row.append((number[key], -1 if mark is None else mark, weight))
         rows.append(row)
     table = np.array(rows)
-    return table[:, :, 0], table[:, :, 1]
+    return table[:, :, 0].astype(np.int32), table[:, :, 1].astype(np.int8), table[:, :, 2]
 
 
 @cache
-def machine() -> tuple[list, list]:
+def machine() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The grammar's composed tables; marks come out SCOPE words after their word was read."""
-    nxt, out = compose(insults(), threats(), targeting(), negation(), reporting())
-    return nxt.tolist(), out.tolist()
+    return compose(insults(), threats(), targeting(), negation(), reporting())
 
 
 class Grammar:
     """The composed machine with a lexicon {word or beginning + '*': weight}."""
 
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[str, float], tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         self.lexicon = {k.encode(): v for k, v in lexicon.items()}
         self.fixed = {w.encode(): s for s, ws in WORDS.items() for w in ws.split()}
-        self.nxt, self.out = machine()
+        self.nxt, self.out, self.weight = (x.tolist() for x in tables or machine())
         self.known: dict[bytes, tuple[int, float]] = {}
 
     def read(self, word: bytes) -> tuple[int, float]:
-        """Symbol and weight of a word."""
+        """Symbol and lexicon weight of a word; the grammar's own words come before the lexicon's."""
         got = self.known.get(word)
         if got is None:
-            weight = max((self.lexicon.get(f, 0.0) for f in features(word)), default=0.0)
-            got = (INSULT, weight) if weight > 0 else (self.fixed.get(word, OTHER), 1.0)
+            if word in self.fixed:
+                got = (self.fixed[word], 1.0)
+            else:
+                weight = max((self.lexicon.get(f, 0.0) for f in features(word)), default=0.0)
+                got = (INSULT, weight) if weight > 0 else (OTHER, 1.0)
             if len(self.known) < REMEMBERED:
                 self.known[word] = got
         return got
 
+    def paths(self, clause: bytes) -> list[tuple[int, float]]:
+        """Mark and weight of each mention that the machine emits over a clause."""
+        symbols, state, out = [self.read(w) for w in clause.translate(BLANKS).split()], 0, []
+        for i, (symbol, _) in enumerate(symbols + [(OTHER, 0.0)] * SCOPE):
+            mark = self.out[state][symbol]
+            if mark >= 0:
+                out.append((mark, self.weight[state][symbol] * symbols[i - SCOPE][1]))
+            state = self.nxt[state][symbol]
+        return out
+
     def measure(self, data: bytes) -> np.ndarray:
-        """Features of a document: what its clauses' mentions add up to by mark, the heaviest one, and their density."""
+        """Features of a document: its clauses' path weights added up by mark, and how many clauses matched; logarithmic."""
         text = data.decode("utf-8", "replace").lower().encode()
-        sums, clauses, heaviest = np.zeros(MARKS), 0, 0.0
-        words = text.translate(BLANKS).split()
-        read = self.read
-        if not any(read(w)[0] in (INSULT, THREAT) for w in set(words)):
-            return np.zeros(MARKS + 3)
-        for clause in CLAUSE.split(text):
-            symbols = [read(w) for w in clause.translate(BLANKS).split()]
-            state, hit = 0, False
-            for i, (symbol, _) in enumerate(symbols + [(OTHER, 0.0)] * SCOPE):
-                mark = self.out[state][symbol]
-                state = self.nxt[state][symbol]
-                if mark >= 0:
-                    weight = symbols[i - SCOPE][1]
+        sums, clauses, read = np.zeros(MARKS), 0, self.read
+        if any(read(w)[0] in (INSULT, ACTIVE, PASSIVE) for w in set(text.translate(BLANKS).split())):
+            for clause in CLAUSE.split(text):
+                found = self.paths(clause)
+                clauses += bool(found)
+                for mark, weight in found:
                     sums[mark] += weight
-                    heaviest, hit = max(heaviest, weight), True
-            clauses += hit
-        return np.append(np.log1p(sums), [math.log1p(clauses), heaviest, 100 * clauses / max(len(words), 1)])
+        return np.append(np.log1p(sums), math.log1p(clauses))
 
 
 def features(word: bytes) -> list[bytes]:
@@ -239,11 +267,11 @@ class Model:
 
 def measured(rows: DataFrame, lexicon: dict[str, float], extra: str = "") -> DataFrame:
     """The rows' first column as it is, and an array of features of their text, the second column."""
-    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+    shared = rows.sparkSession.sparkContext.broadcast((lexicon, machine()))
     key, kind = rows.dtypes[0]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        grammar = Grammar(shared.value)
+        grammar = Grammar(*shared.value)
         for b in batches:
             xs = [grammar.measure(data or b"").tolist() for data in as_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(xs, pa.list_(pa.float64()))], [key, "x"])
@@ -260,16 +288,20 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, most: int = 20_000)
     lexicon = learn_lexicon(sample)
     got = measured(sample, lexicon).collect()  # `most` rows of a few numbers
     if not got:
-        return Model({}, np.append(-3.0, np.zeros(MARKS + 3)))
+        return Model({}, np.append(-3.0, np.zeros(FEATURES)))
     y = np.array([r.label for r in got], float)
     x = np.array([r.x for r in got])
     if y.min() == y.max():
-        return Model(lexicon, np.append(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), np.zeros(MARKS + 3)))
+        return Model(lexicon, np.append(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), np.zeros(FEATURES)))
     return Model(lexicon, logistic(x, y))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score and predicted for every row of docs; null and empty texts have no mentions. Repeated rows get equal scores."""
+    """doc_id, score and predicted for every row of docs; null and empty texts have no mentions.
+
+    Equal texts get equal scores, in repeated rows too. A text of any length is read clause by clause. Other columns,
+    whatever their names, don't matter.
+    """
     w = model.coefficients
     z = F.lit(float(w[0]))
     for i, c in enumerate(w[1:]):

@@ -70,3 +70,56 @@ def test_lexicon_weights_follow_the_labels(spark):
     rows = spark.createDataFrame([(int(i % 5 == 0), "common words " + ("zorkling" if i % 5 == 0 else "calm")) for i in range(200)], "label int, text string")
     lexicon = toxicity.learn_lexicon(rows)
     assert "zorkling" in lexicon and "zorkl*" in lexicon and "common" not in lexicon and "calm" not in lexicon
+
+
+def test_threats_in_other_forms():
+    g = toxicity.Grammar({})
+    for text in ["you will be killed", "they will be destroyed", "he was beaten", "killing them", "du wirst getötet"]:
+        assert np.flatnonzero(g.measure(text.encode())[: toxicity.MARKS]).tolist() == [toxicity.TARGETED], text
+    for text in ["they kill", "he beats it", "killed", "the law was destroyed"]:
+        assert g.measure(text.encode()).sum() == 0, text
+
+
+def test_paths_equal_an_enumeration_of_the_rules():
+    """Every path's mark and weight, by the rules read off the symbols one mention at a time."""
+    t = toxicity
+    spell = {t.OTHER: "x", t.INSULT: "blaggard", t.ACTIVE: "kill", t.PASSIVE: "killed", t.TARGET: "you", t.AGENT: "they", t.NEGATION: "not", t.REPORT: "said"}
+    g = t.Grammar({"blaggard": 2.0})
+
+    def brute(symbols):
+        out = []
+        for i, s in enumerate(symbols):
+            near = [x for j, x in enumerate(symbols) if j != i and abs(i - j) <= t.SCOPE]
+            targeted = t.TARGET in near or (s != t.ACTIVE and t.AGENT in near)
+            if s not in (t.INSULT, t.ACTIVE, t.PASSIVE) or (s != t.INSULT and not targeted):
+                continue
+            weight = (2.0 if s == t.INSULT else 1.0) * (1.0 if targeted else t.WITHOUT_TARGET)
+            negated, reported = t.NEGATION in symbols[max(0, i - t.SCOPE) : i], t.REPORT in symbols[:i]
+            weight *= (t.IN_NEGATION if negated else 1) * (t.IN_REPORT if reported else 1)
+            out.append((t.BOTH if negated and reported else t.NEGATED if negated else t.REPORTED if reported else t.TARGETED if targeted else t.PLAIN, weight))
+        return out
+
+    r = random.Random(2)
+    clauses = [r.choices(list(spell), k=r.randrange(9)) for _ in range(4000)]
+    for symbols in clauses:
+        assert g.paths(" ".join(spell[s] for s in symbols).encode()) == brute(symbols), symbols
+    text = ". ".join(" ".join(spell[s] for s in symbols) for symbols in clauses[:50])
+    want = np.zeros(t.MARKS)
+    for symbols in clauses[:50]:
+        for mark, weight in brute(symbols):
+            want[mark] += weight
+    assert np.allclose(g.measure(text.encode()), np.append(np.log1p(want), np.log1p(sum(bool(brute(x)) for x in clauses[:50]))))
+
+
+def test_quality_measure_equals_plain_compression():
+    import zstandard
+
+    good, bad = (quality.build([" ".join(R.choices(WORDS[:6] if k else WORDS[6:], k=150)).encode() for _ in range(300)]) for k in (1, 0))
+    text = " ".join(R.choices(WORDS[:6], k=900)).encode()
+
+    def size(d):
+        z = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=quality.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(z.compress(text[i : i + 1024])) for i in range(0, len(text), 1024))
+
+    d = 100 * (size(bad) - size(good)) / (size(bad) + size(good))
+    assert np.allclose(quality.Sizes(good, bad).measure(text), [d, d], rtol=0.1) and d > 5

@@ -39,3 +39,29 @@ def test_blocks_make_little_difference(monkeypatch):
     monkeypatch.setattr(langid, "BLOCK", 1000)
     parts = [langid.hashed(langid.folded(x), 1 << 15) for x in langid.blocks(data)]
     assert b"".join(langid.blocks(data)) == data and abs(sum(map(len, parts)) - n) < 200
+
+
+def test_equals_a_plain_loop(spark):
+    """Counts by a dictionary over every n-gram of every training text, then sums of logarithms; equal priors."""
+    import collections
+    import math
+
+    docs = table(spark)
+    rows = [(r.text, r.lang) for r in docs.collect() if r.text is not None]
+    counts = {x: collections.Counter() for x in SAY}
+    for text, lang in rows:
+        if lang is not None:
+            counts[lang].update(langid.hashed(langid.folded(text.encode()), langid.BUCKETS).tolist())
+    total = {x: sum(c.values()) + 0.1 * langid.BUCKETS for x, c in counts.items()}
+    got = {r.text: (r.lang_pred, r.score) for r in docs.join(langid.predict(docs, langid.train(docs, F.lit(True))).withColumnRenamed("score", "p"), "doc_id").select("text", "lang_pred", F.col("p").alias("score")).filter("doc_id > 1000").collect()}
+    for text in got:
+        if text is None or not any(c.isalpha() for c in text) or len(text) > 10_000:
+            continue
+        sums = {x: sum(math.log((counts[x][b] + 0.1) / total[x]) for b in langid.hashed(langid.folded(text.encode()), langid.BUCKETS).tolist()) for x in SAY}
+        best = max(sums, key=sums.get)
+        assert got[text][0] == best and abs(got[text][1] - 1 / sum(math.exp(v - sums[best]) for v in sums.values())) < 1e-4
+    model = langid.train(docs, F.lit(True))
+    for text, _ in rows[:20]:
+        sums = {x: sum(math.log((counts[x][b] + 0.1) / total[x]) for b in langid.hashed(langid.folded(text.encode()), langid.BUCKETS).tolist()) for x in SAY}
+        langs, scores = langid.score_batch(model, [text.encode()])
+        assert langs == [max(sums, key=sums.get)]
