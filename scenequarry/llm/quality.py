@@ -1,8 +1,8 @@
 """Quality by compression: zstandard dictionaries of good and bad labelled text.
 
 A text is cut in pieces, each compressed under either dictionary by itself, so that what the dictionaries know counts
-all along. The difference of the compressed sizes over their sum is the measure; a logistic fit turns it, with the
-plain compression ratio beside it, into a calibrated score.
+all along. The difference of the compressed sizes over their sum is the measure, alone: a logistic fit turns it, and the
+same held back for texts shorter than a piece, into a calibrated score.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from .toxicity import logistic
 PIECE = 1024
 LEVEL = 3
 DICTIONARY = 96 * 1024
-#: Pieces of a labelled text, evenly spaced over it, that go into building a dictionary.
+#: Bound of the sample that dictionaries are built from, beside its number of texts: pieces of a labelled text, evenly
+#: spaced over the whole of it. Scoring and calibration read whole texts.
 SPACED = 4
-FEATURES = 3
+FEATURES = 2
 
 
 def pieces(data: bytes) -> list[bytes]:
@@ -46,7 +47,7 @@ class Model:
 
 
 class Sizes:
-    """Compressors under both dictionaries and none."""
+    """Compressors under both dictionaries."""
 
     def __init__(self, good: bytes, bad: bytes):
         self.all = []
@@ -56,13 +57,13 @@ class Sizes:
             self.all.append(zstandard.ZstdCompressor(dict_data=z, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def measure(self, data: bytes) -> list[float]:
-        """Normalised difference (bad - good) of the sizes, the same weighed by evidence, and the ratio to the plain size."""
+        """Normalised difference (bad - good) of the sizes, and the same weighed by evidence."""
         if not data:
             return [0.0] * FEATURES
         parts = pieces(data)
         good, bad = (sum(len(z.compress(x)) for x in parts) for z in self.all)
         d = 100 * (bad - good) / (bad + good)
-        return [d, d * min(1.0, len(data) / PIECE), 10 * min(good, bad) / len(data)]
+        return [d, d * min(1.0, len(data) / PIECE)]
 
 
 def spaced_pieces(rows: DataFrame) -> DataFrame:
@@ -96,7 +97,8 @@ def measured(rows: DataFrame, good: bytes, bad: bytes) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, most: int = 12_000, for_dictionaries: int = 2_000) -> Model:
     """Fits on labelled rows where `keep` holds: dictionaries on about `for_dictionaries` of each label, the calibration
-    on others, about `most` in all, chosen by a hash of the id. Few rows serve for both.
+    on others, about `most` in all, chosen by a hash of the id. A label's rows are halved where they are few, so that no
+    row serves for both.
 
     labels: doc_id, quality; null labels and unknown ids don't count, and an id that repeats counts once.
     """
@@ -119,7 +121,11 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, most: int = 12_000,
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """doc_id, score and predicted for every row of docs; null and empty texts get the score of no evidence."""
+    """doc_id, score and predicted for every row of docs; null and empty texts get the score of no evidence.
+
+    Equal texts get equal scores, in repeated rows too. A text is compressed piece by piece, so a very long one takes
+    time in proportion and no memory of note beyond its own. Other columns, whatever their names, don't matter.
+    """
     z = F.lit(float(model.coefficients[0]))
     for i, c in enumerate(model.coefficients[1:]):
         z = z + float(c) * F.col("x")[i]
