@@ -229,7 +229,8 @@ def links(classes: DataFrame, radius: int = 3, most: int = 256) -> DataFrame:
     found, seen = none, set()
     while masks:
         rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-        sizes = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        # a table of its own, so that the join deals both sides anew and Spark can split a hot bucket
+        sizes = cut(rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
         live = cut(rows.join(sizes, ["mask", "value"]))
         seen.update(masks)
         found = found.unionByName(verify(live.filter(F.col("size") <= most), radius))
@@ -238,7 +239,7 @@ def links(classes: DataFrame, radius: int = 3, most: int = 256) -> DataFrame:
         closed = [m for m in big if BITS - m.bit_count() <= radius]
         if closed:  # whatever agrees under such a mask is within the radius
             w = hot.filter(F.col("mask").isin([signed(m) for m in closed]))
-            least = w.groupBy("mask", "value").agg(F.min("fp").alias("b"))
+            least = cut(w.groupBy("mask", "value").agg(F.min("fp").alias("b")))
             found = found.unionByName(w.join(least, ["mask", "value"]).filter("fp > b").select(F.col("fp").alias("a"), "b"))
         deeper = {m: longer_masks(m, radius) for m in big if m not in closed}
         masks = sorted({x for v in deeper.values() for x in v})
@@ -257,9 +258,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # stored, so that the join deals both sides anew and Spark can split a hot star
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = cut(small.select("e.a", "e.b").filter("a <> b").distinct())
         now = tuple(edges.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
