@@ -154,11 +154,11 @@ def contamination(docs: DataFrame, items: DataFrame, share: int = 20, window: in
     )
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, share: int = 20, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """The rows of docs, same columns, that aren't contaminated; null and empty texts stay.
 
     What goes is known by the text's digest, so that ids don't matter, nor names of other columns.
     """
-    bad = contamination(docs, items, share, keep_key=True).filter("contaminated").select("key").distinct()
+    bad = cut(contamination(docs, items, share, keep_key=True).filter("contaminated").select("key").distinct())
     rows = docs.select(F.struct("*").alias("row"), digest_of("text").alias("key"))
-    return rows.join(bad, "key", "left_anti").select("row.*")
+    return rows.join(fits(bad, broadcast_bytes), "key", "left_anti").select("row.*")

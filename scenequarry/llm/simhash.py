@@ -347,8 +347,8 @@ def spanning_bytes(group: np.ndarray, fps: np.ndarray, radius: int) -> list[tupl
 
 
 def agreeing(classes: DataFrame, bits: np.ndarray, key: str | None = None) -> DataFrame:
-    """key, fp for each row of bits (masks x places): hashes of what a fingerprint has at a mask's places, and of the
-    old key where there is one."""
+    """key, id for each row (fp, id) and each of bits (masks x places): hashes of what a fingerprint has at a mask's
+    places, and of the old key where there is one."""
 
     def run(batches):
         for b in batches:
@@ -356,31 +356,33 @@ def agreeing(classes: DataFrame, bits: np.ndarray, key: str | None = None) -> Da
             if not fps:
                 continue
             x = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
-            old = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64) if key else np.zeros(len(fps), np.uint64)
+            old = b.column(2).to_numpy(zero_copy_only=False).view(np.uint64) if key else np.zeros(len(fps), np.uint64)
             for i, places in enumerate(bits):
                 part = np.zeros((len(fps), 8), np.uint8)
                 packed = np.packbits(x[:, places], axis=1)
                 part[:, : packed.shape[1]] = packed
                 h = mixed(mixed(part.view(np.uint64)[:, 0] + old) + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64)))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0)], ["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(1)], ["key", "id"])
 
-    return classes.select("fp", *([key] if key else [])).mapInArrow(run, "key long, fp binary")
+    return classes.select("fp", "id", *([key] if key else [])).mapInArrow(run, "key long, id long")
 
 
 def similar(classes: DataFrame, similarity: float = 0.8, recall: float = 0.9, most: int = 4096, seed: int = 1) -> DataFrame:
     """(a, b): links between fingerprints `fp` of 256 bits, all different, whose distance says `similarity` or more.
 
-    A group of over `most` rows that agree is not compared in one task: its rows are held against one of them, chosen by
-    a hash that differs from mask to mask, and what isn't similar to it is dealt again under longer masks.
+    Keys are grouped with a hash of the fingerprint alone; rows whose key no other shares stay there, the rest get their
+    fingerprints back by that hash, and as each pair is verified, hashes that coincide do no harm. A group of over `most`
+    rows that agree is not compared in one task: its rows are held against one of them, chosen by a hash that differs from
+    mask to mask, and what isn't similar to it is dealt again under longer masks.
     """
-    spark = classes.sparkSession
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius, n = int(differ * 256), max(classes.count(), 2)
     k = min(60, max(12, math.ceil(math.log2(n)) + 3))
     masks = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** k))
     r = np.random.default_rng(seed)
     draw = lambda m, size: np.array([r.choice(256, size, replace=False) for _ in range(m)])
-    rows, found = stored(agreeing(classes, draw(masks, k))), None
+    known = stored(classes.select("fp", F.xxhash64("fp").alias("id")))
+    rows, found = stored(agreeing(known, draw(masks, k))), None
 
     def run(batches):
         for group, fps in whole_groups(batches):
@@ -389,17 +391,19 @@ def similar(classes: DataFrame, similarity: float = 0.8, recall: float = 0.9, mo
 
     def measure(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (1, 2))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.bitwise_count(x ^ y).sum(axis=1).astype(np.int32))], ["key", "fp", "center", "apart"])
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (1, 3))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.bitwise_count(x ^ y).sum(axis=1).astype(np.int32))], ["key", "fp", "id", "center", "apart"])
 
     while True:
-        sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("fp", F.xxhash64("key", "fp")).alias("center")).filter("size > 1"))
-        few = rows.join(sizes.filter(F.col("size") <= most).select("key"), "key").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a binary, b binary")
+        sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+        live = lambda s: rows.join(s.select("key"), "key").join(known, "id").select("key", "fp", "id")
+        few = live(sizes.filter(F.col("size") <= most)).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a binary, b binary")
         found = few if found is None else found.unionByName(few)
         if not sizes.filter(F.col("size") > most).limit(1).count():
             break
-        hot = rows.join(sizes.filter(F.col("size") > most).select("key", "center"), "key").filter("fp <> center")
-        hot = stored(hot.select("key", "fp", "center").mapInArrow(measure, "key long, fp binary, center binary, apart int"))
+        hot = stored(live(sizes.filter(F.col("size") > most)))
+        centers = cut(hot.groupBy("key").agg(F.min_by("fp", F.xxhash64("key", "fp")).alias("center")))
+        hot = stored(hot.join(centers, "key").filter("fp <> center").select("key", "fp", "id", "center").mapInArrow(measure, "key long, fp binary, id long, center binary, apart int"))
         found = found.unionByName(hot.filter(F.col("apart") <= radius).select(F.col("fp").alias("a"), F.col("center").alias("b")))
         rows = stored(agreeing(hot.filter(F.col("apart") > radius), draw(4, 16), "key"))
     return cut(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

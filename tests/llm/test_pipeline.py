@@ -40,7 +40,8 @@ def test_stages_on_odd_rows(spark, tmp_path):
     say = "the cat and the dog went to the house with their friends on the day"
     long = " ".join(f"{say} {hashlib.md5(str(i).encode()).hexdigest()[:5]}" for i in range(4000))
     schema = "doc_id long, text string, lang string, source string, n_chars long, key string, row string, digest string, random string, __fp long"
-    rows = [(i, f"{say} {hashlib.md5(str(i).encode()).hexdigest()}", "en") for i in range(30)] + [(7, "another text of the house and the dog", "en"), (None, f"{say} and no id", None), (50, None, "en"), (51, "", None), (52, long, "en"), (52, long, "en")]
+    other = lambda i: " ".join(w[:5] + "e" for w in (hashlib.md5(f"{i} {k}".encode()).hexdigest() for k in range(14)))
+    rows = [(i, f"{say} {other(i)}", "en") for i in range(30)] + [(7, "another text of the house and the dog", "en"), (None, f"the dog of the house {other(99)}", None), (50, None, "en"), (51, "", None), (52, long, "en"), (52, long, "en")]
     docs = spark.createDataFrame([(*r, "s", len(r[1] or ""), "k", "r", "d", "x", 1) for r in rows], schema)
     item = spark.createDataFrame([(1, "nothing of this stands anywhere in the texts of the table that is read here")], "item_id long, text string")
     item.write.parquet(f"{tmp_path}/benchmark.parquet")
