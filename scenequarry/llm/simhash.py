@@ -12,7 +12,7 @@ parts, one of which must agree in a linked pair, so it is dealt again under long
 all the bits left open fit in the radius. Nothing is capped, and no two rows are paired twice for being equal.
 
 Copies of a similarity. Texts of which 0.8 of the five-word shingles agree differ in about 0.15 of the bits, a radius at
-which no partition of 64 bits tells texts apart. `similar` takes fingerprints of 256 bits, whose distance estimates the
+which no partition of 64 bits tells texts apart. `similar` takes fingerprints of 512 bits, whose distance estimates the
 similarity, and masks of so many bits, drawn by a seed, that unrelated texts seldom agree under one; there are as many
 masks as it takes for a pair at the limit to meet with the probability `recall`, closer pairs meeting more often. What
 meets is verified by its distance.
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, cut, stored, texts
 
 BITS = 64
+#: Bits of the fingerprints that estimate a similarity.
+WIDE = 512
 SEED = 42
 #: Bytes of text that are split into words at a time.
 BLOCK = 1 << 20
@@ -76,23 +78,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(data: bytes | None, width: int = 5, words64: int = 4) -> bytes:
-    """SimHash of words64 * 64 bits; all zero without words, the whole sequence as one shingle below `width` words."""
+def wide_fingerprint(data: bytes | None, width: int = 5) -> bytes:
+    """SimHash of WIDE bits over the different shingles of a text, each counting once, as in the similarity of sets; all
+    zero without words, the whole sequence as one shingle below `width` words."""
     from xxhash import xxh64_intdigest
 
-    steps = (np.arange(words64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-    total, ones, short = 0, np.zeros(64 * words64, np.int64), []
+    parts = []
     for words in word_blocks(data or b"", width):
-        if len(words) < width:
-            short = words
-            continue
-        h = np.array([xxh64_intdigest(b" ".join(t), SEED) for t in zip(*(words[i:] for i in range(width)), strict=False)], np.uint64)
-        ones += np.unpackbits(mixed(h[:, None] + steps).astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        total += len(h)
-    if not total and short:
-        h = np.array([xxh64_intdigest(b" ".join(short), SEED)], np.uint64)
-        return mixed(h[:, None] + steps).astype("<u8").tobytes()
-    return np.packbits(2 * ones > total, bitorder="little").tobytes() if total else bytes(8 * words64)
+        if len(words) >= width:
+            parts.append(np.array([xxh64_intdigest(b" ".join(t), SEED) for t in zip(*(words[i:] for i in range(width)), strict=False)], np.uint64))
+        elif words and not parts:
+            parts.append(np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64))
+    if not parts:
+        return bytes(WIDE // 8)
+    h = np.unique(np.concatenate(parts))
+    steps = (np.arange(WIDE // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    ones = np.zeros(WIDE, np.int64)
+    for at in range(0, len(h), 1 << 13):
+        ones += np.unpackbits(mixed(h[at : at + (1 << 13), None] + steps).astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -368,7 +372,7 @@ def agreeing(classes: DataFrame, bits: np.ndarray, key: str | None = None) -> Da
 
 
 def similar(classes: DataFrame, similarity: float = 0.8, recall: float = 0.9, most: int = 4096, seed: int = 1) -> DataFrame:
-    """(a, b): links between fingerprints `fp` of 256 bits, all different, whose distance says `similarity` or more.
+    """(a, b): links between fingerprints `fp` of WIDE bits, all different, whose distance says `similarity` or more.
 
     Keys are grouped with a hash of the fingerprint alone; rows whose key no other shares stay there, the rest get their
     fingerprints back by that hash, and as each pair is verified, hashes that coincide do no harm. A group of over `most`
@@ -376,11 +380,12 @@ def similar(classes: DataFrame, similarity: float = 0.8, recall: float = 0.9, mo
     mask to mask, and what isn't similar to it is dealt again under longer masks.
     """
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius, n = int(differ * 256), max(classes.count(), 2)
+    n = max(classes.count(), 2)
+    radius = int(WIDE * differ + math.sqrt(WIDE * differ * (1 - differ)))  # one deviation beyond, as it is an estimate
     k = min(60, max(12, math.ceil(math.log2(n)) + 3))
     masks = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** k))
     r = np.random.default_rng(seed)
-    draw = lambda m, size: np.array([r.choice(256, size, replace=False) for _ in range(m)])
+    draw = lambda m, size: np.array([r.choice(WIDE, size, replace=False) for _ in range(m)])
     known = stored(classes.select("fp", F.xxhash64("fp").alias("id")))
     rows, found = stored(agreeing(known, draw(masks, k))), None
 
@@ -436,7 +441,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, most: int
 
 
 def digests(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, digest, fp: a text's SHA-256 and its fingerprint of 256 bits; null counts as empty."""
+    """doc_id, digest, fp: a text's SHA-256 and its fingerprint of WIDE bits; null counts as empty."""
 
     def run(batches):
         for b in batches:
