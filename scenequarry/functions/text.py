@@ -8,11 +8,16 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that read as a person, singular and plural.
+#: What a person word reads as in scene labels.
 PERSON = {
-    "man": "person", "woman": "person", "boy": "person", "girl": "person", "child": "person", "kid": "person", "baby": "person", "lady": "person", "guy": "person", "male": "person",
-    "men": "persons", "women": "persons", "boys": "persons", "girls": "persons", "children": "persons", "kids": "persons", "babies": "persons", "ladies": "persons", "guys": "persons", "people": "persons",
+    "woman": "person", "women": "persons", "man": "person", "men": "persons", "child": "person", "children": "persons", "boy": "person", "boys": "persons",
+    "girl": "person", "girls": "persons", "teenager": "person", "teenagers": "persons", "adult": "person", "adults": "persons", "senior": "person", "seniors": "persons",
+    "male": "person", "females": "persons", "infant": "person", "infants": "persons", "toddler": "person", "toddlers": "persons", "youth": "person", "elders": "persons",
+    "adolescent": "person", "adolescents": "persons", "baby": "person", "babies": "persons", "elderly": "person", "teen": "person", "kid": "person", "kids": "persons",
+    "gentleman": "person", "gentlemen": "persons", "lady": "person", "ladies": "persons",
 }
+#: Words that detectors' labels use for a person.
+GROWN = ("man", "woman", "men", "women")
 PUNCTUATION = "!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~"
 
 
@@ -59,9 +64,14 @@ def differs_by_s(a: Column, b: Column) -> Column:
 
 
 def as_person(label: Column) -> Column:
-    """Person words of the fixed table as person or persons, others as they are."""
+    """Detectors' words for a person, in either case, as person; others as they are."""
+    return F.when(F.lower(label).isin(*GROWN), "person").otherwise(label)
+
+
+def as_person_or_persons(label: Column) -> Column:
+    """Chosen labels of the fixed table as person or persons, others as they are."""
     table = F.create_map(*(F.lit(x) for kv in PERSON.items() for x in kv))
-    return F.coalesce(F.element_at(table, F.lower(label)), label)
+    return F.coalesce(F.element_at(table, label), label)
 
 
 def tagged(caption: Column, spans: Column, before: str = "<p> ", after: str = " </p> [SEG]") -> Column:

@@ -56,20 +56,31 @@ def gated(matches: DataFrame, similarity: str, least_overlap: float = 0.5, least
     return matches.withColumn("__bad", F.sum(F.when(ok, 0).otherwise(1)).over(w)).filter("__bad = 0").drop("__bad")
 
 
-def true_positives(dets: DataFrame, truths: DataFrame, limit: float = 0.5, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """Detections with tp, fp (0/1) and gt_id: each looks at its largest overlap alone; the best scored claims the truth.
-
-    A truth with ignore set counts neither way. Truths need gt_id and may have ignore.
-    """
+def best_truths(dets: DataFrame, truths: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """dets with b: the truth (gt_id, ignore, overlap) that each overlaps most, the first of equal ones; null without any."""
     ignore = F.col("ignore") if "ignore" in truths.columns else F.lit(False)
     t = truths.select(*keys, "gt_id", ignore.alias("ignore"), *g.columns(g.box(), "_g"))
     o = g.iou(g.box(), g.box("", "_g"), 0, 1e-6)
     best = dets.join(t, list(keys)).select(*keys, "det_id", "gt_id", "ignore", o.alias("overlap")).groupBy(*keys, "det_id").agg(F.max_by(F.struct("gt_id", "ignore", "overlap"), F.struct("overlap", -F.col("gt_id"))).alias("b"))
-    out = dets.join(best, [*keys, "det_id"], "left").withColumn("hit", F.coalesce(F.col("b.overlap") >= limit, F.lit(False)))
-    claim = F.row_number().over(Window.partitionBy(*keys, "hit", "b.gt_id").orderBy(F.desc("score"), "det_id"))
-    out = out.withColumn("claim", F.when(F.col("hit"), claim))
+    return dets.join(best, [*keys, "det_id"], "left")
+
+
+def true_positives(dets: DataFrame, truths: DataFrame, limit: float | list[float] = 0.5, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Detections with tp, fp (0/1) and gt_id: each looks at its largest overlap alone; the best scored claims the truth.
+
+    A truth with ignore set counts neither way. Truths need gt_id and may have ignore. With a list of limits there is a
+    row for each, the limit as a column; overlaps are still computed once.
+    """
+    out, more = best_truths(dets, truths, keys), []
+    if isinstance(limit, list):
+        out, more, limit = out.withColumn("limit", F.explode(F.array(*(F.lit(x) for x in limit)))), ["limit"], F.col("limit")
+    out = out.withColumn("hit", F.coalesce(F.col("b.overlap") >= limit, F.lit(False)))
+    # only hits are ordered: rows without one, which may be most, aren't a group
+    who = F.when(F.col("hit"), F.col("b.gt_id")).otherwise(-1 - F.pmod(F.xxhash64("det_id"), F.lit(1 << 20)))
+    claim = F.row_number().over(Window.partitionBy(*keys, *more, "hit", "who").orderBy(F.desc("score"), "det_id"))
+    out = out.withColumn("who", who).withColumn("claim", F.when(F.col("hit"), claim))
     skip = F.col("hit") & F.coalesce(F.col("b.ignore"), F.lit(False))
-    return out.select(*dets.columns, F.when(F.col("hit"), F.col("b.gt_id")).alias("gt_id"), F.when(F.col("hit") & ~skip & (F.col("claim") == 1), 1).otherwise(0).alias("tp"), F.when(skip | (F.col("hit") & (F.col("claim") == 1)), 0).otherwise(1).alias("fp"))
+    return out.select(*dets.columns, *more, F.when(F.col("hit"), F.col("b.gt_id")).alias("gt_id"), F.when(F.col("hit") & ~skip & (F.col("claim") == 1), 1).otherwise(0).alias("tp"), F.when(skip | (F.col("hit") & (F.col("claim") == 1)), 0).otherwise(1).alias("fp"))
 
 
 def grouped_positives(dets: DataFrame, truths: DataFrame, limit: float = 0.5, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
@@ -88,6 +99,59 @@ def grouped_positives(dets: DataFrame, truths: DataFrame, limit: float = 0.5, ke
     return out.withColumn("rank", F.when(in_group, F.row_number().over(w))).filter("rank is null or rank = 1").withColumn("tp", F.when(in_group, 1).otherwise(F.col("tp"))).withColumn("fp", F.when(in_group, 0).otherwise(F.col("fp"))).drop("rank")
 
 
+def rarest_words(docs: DataFrame, labels: DataFrame, doc_id: str, label_id: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, word) of the documents that have a label's rarest word, and (label_id, word), from arrays `words`.
+
+    Rarity is counted over all documents, of label words alone. A label whose words aren't all somewhere has no row.
+    """
+    from ..plans.tables import cut
+
+    vocabulary = labels.select(label_id, F.explode(F.array_distinct("words")).alias("word"))
+    at = docs.select(doc_id, F.explode(F.array_distinct("words")).alias("word"))
+    counts = cut(at.join(vocabulary.select("word").distinct(), "word").groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    each = vocabulary.join(counts, "word", "left").groupBy(label_id).agg(F.min(F.struct("df", "word")).alias("rarest"), F.count_if(F.col("df").isNull()).alias("absent"))
+    keys = cut(each.filter("absent = 0").select(label_id, "rarest.word"))
+    return at.join(keys.select("word").distinct(), "word", "left_semi"), keys
+
+
+def run_matches(docs: DataFrame, labels: DataFrame, doc_id: str, label_id: str) -> DataFrame:
+    """(doc_id, label_id) where the label's words stand in a row in the document; both have arrays `words`.
+
+    Pairs meet on the label's rarest word and are then verified; an empty label is in every document and isn't asked.
+    """
+    from ..functions import text as x
+
+    at, keys = rarest_words(docs, labels.filter(F.size("words") > 0), doc_id, label_id)
+    near = at.join(keys, "word").select(doc_id, label_id).distinct()
+    named = labels.select(label_id, F.col("words").alias("__label"))
+    return near.join(named, label_id).join(docs.select(doc_id, "words"), doc_id).filter(x.contains_run(F.col("words"), F.col("__label"))).select(doc_id, label_id)
+
+
 def caption_spans(captions: DataFrame, phrases: DataFrame, by: str = "image_id") -> DataFrame:
     """Phrases that stand in their image's caption, with the span of the first occurrence (ends exclusive)."""
-    return captions.join(phrases, by).filter(F.col("caption").contains(F.col("phrase"))).withColumn("start", (F.instr(F.col("caption"), F.col("phrase")) - 1).cast("long")).withColumn("end", F.col("start") + F.length("phrase"))
+    return with_span(captions.join(phrases, by).filter(F.col("caption").contains(F.col("phrase"))))
+
+
+def with_span(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("start", (F.instr(F.col("caption"), F.col("phrase")) - 1).cast("long")).withColumn("end", F.col("start") + F.length("phrase"))
+
+
+def spans_anywhere(captions: DataFrame, phrases: DataFrame, caption_id: str, phrase_id: str) -> DataFrame:
+    """Phrases of any length against all captions, where there is no image to join on; columns as in caption_spans.
+
+    A phrase's inner words stand whole in a caption that contains it, so pairs meet on the rarest of them; phrases
+    without inner words meet on their rarest run of three characters, or all of a shorter one. The text is compared last.
+    """
+    inner = lambda c: F.filter(F.slice(F.split(c, r"[^A-Za-z0-9]+"), 2, F.greatest(F.size(F.split(c, r"[^A-Za-z0-9]+")) - 2, F.lit(0))), lambda w: w != "")
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, 3)))
+    words = phrases.filter(F.col("phrase") != "").withColumn("words", inner(F.col("phrase")))
+    near = None
+    for asked, of in ((words.filter(F.size("words") > 0), lambda c: F.split(c, r"[^A-Za-z0-9]+")), (words.filter(F.size("words") == 0).withColumn("words", runs(F.col("phrase"))), runs)):
+        if not asked.limit(1).count():
+            continue
+        at, keys = rarest_words(captions.select(caption_id, of(F.col("caption")).alias("words")), asked, caption_id, phrase_id)
+        got = at.join(keys, "word").select(caption_id, phrase_id).distinct()
+        near = got if near is None else near.unionByName(got)
+    if near is None:
+        near = captions.select(caption_id).limit(0).join(phrases.select(phrase_id).limit(0), F.lit(False))
+    return with_span(near.join(phrases, phrase_id).join(captions, caption_id).filter(F.col("caption").contains(F.col("phrase"))))

@@ -6,27 +6,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def curve(hits: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
-    """Cumulative tp and fp in score order, with recall and precision; totals: by..., n_gt."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), "det_id").rowsBetween(Window.unboundedPreceding, 0)
-    out = hits.join(totals, by).withColumns({"ctp": F.sum("tp").over(w), "cfp": F.sum("fp").over(w)})
+def in_parts(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """Adds part: numbers of ranges of (by, order), about as many as there are shuffle partitions, so that a large group
+    lies in many of them, in order. Stored, so that what is computed per part agrees with the rows."""
+    from ..plans.tables import cut
+
+    return cut(rows.repartitionByRange(*by, *order).withColumn("part", F.spark_partition_id()))
+
+
+def curve(hits: DataFrame, totals: DataFrame, by: list[str], on: list[str] | None = None) -> DataFrame:
+    """Cumulative tp and fp in score order, with recall and precision; totals: on..., n_gt.
+
+    Sums run within ranges of a group, from the sums of the ranges before; part names a row's range.
+    """
+    rows = in_parts(hits.join(totals, on or by), by, [F.desc("score"), F.asc("det_id")])
+    sums = rows.groupBy(*by, "part").agg(F.sum("tp").alias("t"), F.sum("fp").alias("f"))
+    ahead = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = lambda c: F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c)
+    sums = sums.select(*by, "part", before("t"), before("f"))
+    w = Window.partitionBy(*by, "part").orderBy(F.desc("score"), "det_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({"ctp": F.sum("tp").over(w), "cfp": F.sum("fp").over(w)}).join(sums, [*by, "part"])
+    out = out.withColumns({"ctp": F.col("ctp") + F.col("t"), "cfp": F.col("cfp") + F.col("f")}).drop("t", "f")
     return out.withColumns({"recall": F.col("ctp") / F.greatest(F.col("n_gt"), F.lit(1e-9)), "precision": F.col("ctp") / F.greatest(F.col("ctp") + F.col("cfp"), F.lit(1e-9))})
 
 
+def envelope(points: DataFrame, by: list[str]) -> DataFrame:
+    """Adds env, the greatest precision from a point of the curve on: within its range, and of the ranges behind."""
+    best = points.groupBy(*by, "part").agg(F.max("precision").alias("m"))
+    behind = F.max("m").over(Window.partitionBy(*by).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1))
+    w = Window.partitionBy(*by, "part").orderBy(F.asc("score"), F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
+    out = points.withColumn("env", F.max("precision").over(w)).join(best.select(*by, "part", behind.alias("behind")), [*by, "part"])
+    return out.withColumn("env", F.greatest("env", "behind")).drop("behind")
+
+
 def average_precision(points: DataFrame, by: list[str]) -> DataFrame:
-    """by..., ap: area under the falling envelope of precision over recall."""
-    order = Window.partitionBy(*by).orderBy(F.desc("score"), "det_id")
-    env = F.max("precision").over(order.rowsBetween(0, Window.unboundedFollowing))
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(order), F.lit(0.0))
-    return points.withColumn("env", env).withColumn("step", step).groupBy(*by).agg(F.sum(F.col("env") * F.col("step")).alias("ap"))
+    """by..., ap: area under the falling envelope of precision over recall; a hit adds one truth's share of recall."""
+    step = F.col("tp") / F.greatest(F.col("n_gt"), F.lit(1e-9))
+    return envelope(points, by).groupBy(*by).agg(F.sum(F.col("env") * step).alias("ap"))
 
 
 def interpolated_precision(points: DataFrame, by: list[str], levels: int = 11) -> DataFrame:
-    """by..., ap: mean over evenly spaced recall levels of the best precision at that recall or more."""
-    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda i: i / (levels - 1.0))).alias("level")
-    keys = points.select(*by).distinct().select(*by, at)
-    best = keys.join(points, by, "left").groupBy(*by, "level").agg(F.max(F.when(F.col("recall") >= F.col("level"), F.col("precision"))).alias("p"))
-    return best.groupBy(*by).agg((F.sum(F.coalesce("p", F.lit(0.0))) / levels).alias("ap"))
+    """by..., ap: mean over evenly spaced recall levels of the best precision at that recall or more.
+
+    Points are grouped by the highest level they reach, and levels take the best of those behind.
+    """
+    n = float(levels - 1)
+    reached = F.floor(F.col("recall") * n)
+    reached = F.when(F.col("recall") >= (reached + 1) / n, reached + 1).when(F.col("recall") < reached / n, reached - 1).otherwise(reached)
+    best = points.groupBy(*by, F.least(reached, F.lit(levels - 1)).cast("int").alias("reached")).agg(F.max("precision").alias("p"))
+    at = best.groupBy(*by).agg(F.collect_list(F.struct("reached", "p")).alias("best")).select(*by, "best", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+    p = F.array_max(F.transform(F.filter("best", lambda x: x["reached"] >= F.col("level")), lambda x: x["p"]))
+    return at.select(*by, F.coalesce(p, F.lit(0.0)).alias("p")).groupBy(*by).agg((F.sum("p") / levels).alias("ap"))
 
 
 def area_buckets(rows: DataFrame, area: Column, edges: list[tuple[str, float, float]]) -> DataFrame:

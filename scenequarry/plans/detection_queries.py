@@ -114,10 +114,10 @@ def a1(spark, sf):
     return d.suppress(t.detections(spark, sf)).select("image_id", "det_id", r6(F.col("score"), "score"))
 
 
-@query("a1_suppression_in_rounds", f"""{W}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS rk FROM dets WHERE image_id % 50 = 0),
+@query("a1_suppression_in_rounds", f"""{W}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS rk FROM dets),
 {fold_sql('r', 'image_id', iou_sql('k', 'e', 0, '1e-5') + ' > 0.6')} SELECT r.image_id, r.det_id FROM r JOIN kept USING (image_id, rk)""")
 def a1_rounds(spark, sf):
-    return d.suppress_in_rounds(t.detections(spark, sf).filter("image_id % 50 = 0"), 0.6).select("image_id", "det_id")
+    return d.suppress_in_rounds(t.detections(spark, sf), 0.6).select("image_id", "det_id")
 
 
 @query("a2_suppression_by_label", f"""{W}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y2 DESC, det_id) AS rk FROM dets),
@@ -234,14 +234,12 @@ def j9(spark, sf):
     return m.with_fallback(p, keys, sources, "mask").select("det_id", "source")
 
 
-PAIRS = f"p AS (SELECT p.image_id, p.det_id, g.gt_id, {iou_sql('p', 'g', 0, '1e-6')} AS o FROM preds p JOIN gts g ON g.image_id = p.image_id), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY o DESC, det_id, gt_id) AS rk FROM p WHERE o > 0 AND image_id % 10 = 0)"
+PAIRS = f"p AS (SELECT p.image_id, p.det_id, g.gt_id, {iou_sql('p', 'g', 0, '1e-6')} AS o FROM preds p JOIN gts g ON g.image_id = p.image_id), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY o DESC, det_id, gt_id) AS rk FROM p WHERE o > 0)"
 
 
 @query("j23_one_to_one", f"{W}, {t.TRUTHS}, {PAIRS}, {fold_sql('r', 'image_id', '(k.det_id = e.det_id OR k.gt_id = e.gt_id)')} SELECT r.image_id, r.det_id, r.gt_id, round(r.o, 6) AS overlap FROM r JOIN kept USING (image_id, rk)")
 def j23(spark, sf):
-    tenth = lambda df: df.filter("image_id % 10 = 0")
-    pairs = m.pairs_of(tenth(t.predictions(spark, sf)), tenth(t.truths(spark, sf)), "det_id", "gt_id", 0, 1e-6)
-    return m.one_to_one(pairs, "det_id", "gt_id").withColumn("overlap", F.round("overlap", 6))
+    return j23_matches(spark, sf).withColumn("overlap", F.round("overlap", 6))
 
 
 @query("a11_mean_miou", f"{W}, {t.TRUTHS}, {PAIRS}, {fold_sql('r', 'image_id', '(k.det_id = e.det_id OR k.gt_id = e.gt_id)')} SELECT round(avg(x), 6) AS miou, count(*) AS n FROM (SELECT image_id, avg(o) AS x FROM r JOIN kept USING (image_id, rk) GROUP BY 1)")
@@ -250,8 +248,7 @@ def a11(spark, sf):
 
 
 def j23_matches(spark, sf):
-    tenth = lambda df: df.filter("image_id % 10 = 0")
-    return m.one_to_one(m.pairs_of(tenth(t.predictions(spark, sf)), tenth(t.truths(spark, sf)), "det_id", "gt_id", 0, 1e-6), "det_id", "gt_id")
+    return m.one_to_one(m.pairs_of(t.predictions(spark, sf), t.truths(spark, sf), "det_id", "gt_id", 0, 1e-6), "det_id", "gt_id")
 
 
 SIM = "1 - abs(r.det_id - r.gt_id) % 7 / 10.0"
@@ -263,10 +260,10 @@ def j24(spark, sf):
     return m.gated(got, "sim", tie="det_id").select("image_id", "det_id", "gt_id")
 
 
-@query("a12_grounding_recall", f"{W}, {t.TRUTHS}, {PAIRS}, {fold_sql('r', 'image_id', '(k.det_id = e.det_id OR k.gt_id = e.gt_id)')}, h AS (SELECT count(*) AS hits FROM r JOIN kept USING (image_id, rk) WHERE o >= 0.5), n AS (SELECT count(*) AS n FROM gts WHERE image_id % 10 = 0) SELECT hits, n, round(hits / n, 6) AS recall FROM h, n")
+@query("a12_grounding_recall", f"{W}, {t.TRUTHS}, {PAIRS}, {fold_sql('r', 'image_id', '(k.det_id = e.det_id OR k.gt_id = e.gt_id)')}, h AS (SELECT count(*) AS hits FROM r JOIN kept USING (image_id, rk) WHERE o >= 0.5), n AS (SELECT count(*) AS n FROM gts) SELECT hits, n, round(hits / n, 6) AS recall FROM h, n")
 def a12(spark, sf):
     hits = j23_matches(spark, sf).filter("overlap >= 0.5").agg(F.count(F.lit(1)).alias("hits"))
-    n = t.truths(spark, sf).filter("image_id % 10 = 0").agg(F.count(F.lit(1)).alias("n"))
+    n = t.truths(spark, sf).agg(F.count(F.lit(1)).alias("n"))
     return hits.join(F.broadcast(n)).withColumn("recall", F.round(F.col("hits") / F.col("n"), 6))
 
 
@@ -293,8 +290,7 @@ def j27(spark, sf):
 @query("w3_w4_curve", f"{W}, {t.TRUTHS}, {AP} SELECT label, det_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(env, 6) AS env FROM en")
 def w3(spark, sf):
     pts = mt.curve(hits(spark, sf), totals(spark, sf), ["label"])
-    env = F.max("precision").over(Window.partitionBy("label").orderBy(F.desc("score"), "det_id").rowsBetween(0, Window.unboundedFollowing))
-    return pts.select("label", "det_id", r6(F.col("recall"), "recall"), r6(F.col("precision"), "precision"), r6(env, "env"))
+    return mt.envelope(pts, ["label"]).select("label", "det_id", r6(F.col("recall"), "recall"), r6(F.col("precision"), "precision"), r6(F.col("env"), "env"))
 
 
 @query("a16_average_precision", f"{W}, {t.TRUTHS}, {AP} SELECT label, round(sum(env * step), 6) AS ap FROM en GROUP BY 1")
@@ -317,10 +313,10 @@ def a18(spark, sf):
     return mt.area_buckets(hits(spark, sf), g.area(g.box()), [("all", 0.0, 1e10), ("small", 0.0, 4500.0), ("large", 4500.0, 1e10)]).groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("tp").alias("tp"))
 
 
-@query("a19_a20_recall", f"{W}, {t.TRUTHS}, {PAIRS}, {fold_sql('r', 'image_id', '(k.det_id = e.det_id OR k.gt_id = e.gt_id)')}, x AS (SELECT r.o FROM r JOIN kept USING (image_id, rk)), n AS (SELECT count(*) AS n FROM gts WHERE image_id % 10 = 0), th AS (SELECT unnest(range(0, 10)) * 5 AS k) SELECT CAST(k + 50 AS BIGINT) AS threshold, round(count(*) FILTER (WHERE o >= (k + 50) / 100.0) / max(n), 6) AS recall FROM x, th, n GROUP BY k")
+@query("a19_a20_recall", f"{W}, {t.TRUTHS}, {PAIRS}, {fold_sql('r', 'image_id', '(k.det_id = e.det_id OR k.gt_id = e.gt_id)')}, x AS (SELECT r.o FROM r JOIN kept USING (image_id, rk)), n AS (SELECT count(*) AS n FROM gts), th AS (SELECT unnest(range(0, 10)) * 5 AS k) SELECT CAST(k + 50 AS BIGINT) AS threshold, round(count(*) FILTER (WHERE o >= (k + 50) / 100.0) / max(n), 6) AS recall FROM x, th, n GROUP BY k")
 def a19(spark, sf):
     at = F.explode(F.sequence(F.lit(50), F.lit(95), F.lit(5))).alias("threshold")
-    n = t.truths(spark, sf).filter("image_id % 10 = 0").agg(F.count(F.lit(1)).alias("n"))
+    n = t.truths(spark, sf).agg(F.count(F.lit(1)).alias("n"))
     x = j23_matches(spark, sf).select("overlap", at).join(F.broadcast(n))
     return x.groupBy(F.col("threshold").cast("long").alias("threshold")).agg(r6(F.count_if(F.col("overlap") >= F.col("threshold") / 100.0) / F.max("n"), "recall"))
 
@@ -381,11 +377,11 @@ def u4(spark, sf):
     return mixing.replicated(repeat_factors(spark, sf)).select("image_id", F.col("copy").cast("long").alias("copy"))
 
 
-@query("g5_g6_overlap_kinds", f"{W}, {t.TRUTHS}, q AS (SELECT p.det_id, g.gt_id, {iou_sql('p', 'g', 0, '1e-6')} AS iou, greatest(least(p.x2, g.x2) - greatest(p.x1, g.x1), 0) * greatest(least(p.y2, g.y2) - greatest(p.y1, g.y1), 0) / greatest({area_sql('p')}, 1e-6) AS iof, (greatest(p.x2, g.x2) - least(p.x1, g.x1)) * (greatest(p.y2, g.y2) - least(p.y1, g.y1)) AS h, {area_sql('p')} + {area_sql('g')} - greatest(least(p.x2, g.x2) - greatest(p.x1, g.x1), 0) * greatest(least(p.y2, g.y2) - greatest(p.y1, g.y1), 0) AS u FROM preds p JOIN gts g ON p.image_id = g.image_id WHERE p.image_id % 4 = 0) SELECT det_id, gt_id, round(iou, 6) AS iou, round(iof, 6) AS iof, round(iou - (h - u) / h, 7) AS giou FROM q")
+@query("g5_g6_overlap_kinds", f"{W}, {t.TRUTHS}, q AS (SELECT p.det_id, g.gt_id, {iou_sql('p', 'g', 0, '1e-6')} AS iou, greatest(least(p.x2, g.x2) - greatest(p.x1, g.x1), 0) * greatest(least(p.y2, g.y2) - greatest(p.y1, g.y1), 0) / greatest({area_sql('p')}, 1e-6) AS iof, (greatest(p.x2, g.x2) - least(p.x1, g.x1)) * (greatest(p.y2, g.y2) - least(p.y1, g.y1)) AS h, {area_sql('p')} + {area_sql('g')} - greatest(least(p.x2, g.x2) - greatest(p.x1, g.x1), 0) * greatest(least(p.y2, g.y2) - greatest(p.y1, g.y1), 0) AS u FROM preds p JOIN gts g ON p.image_id = g.image_id) SELECT det_id, gt_id, round(iou, 6) AS iou, round(iof, 6) AS iof, round(iou - (h - u) / h, 7) AS giou FROM q")
 def g5(spark, sf):
     gt = t.truths(spark, sf).select("image_id", "gt_id", *g.columns(g.box(), "_g"))
     a, b = g.box(), g.box("", "_g")
-    return t.predictions(spark, sf).filter("image_id % 4 = 0").join(gt, "image_id").select("det_id", "gt_id", r6(g.iou(a, b, 0, 1e-6), "iou"), r6(g.iof(a, b, 0, 1e-6), "iof"), F.round(g.giou(a, b), 7).alias("giou"))
+    return t.predictions(spark, sf).join(gt, "image_id").select("det_id", "gt_id", r6(g.iou(a, b, 0, 1e-6), "iou"), r6(g.iof(a, b, 0, 1e-6), "iof"), F.round(g.giou(a, b), 7).alias("giou"))
 
 
 @query("g7_deltas", f"{W} SELECT det_id, round(((x1 + x2) / 2 - 130) / 100, 6) AS dx, round(((y1 + y2) / 2 - 100) / 80, 6) AS dy, round(ln((x2 - x1) / 100), 6) AS dw, round(ln((y2 - y1) / 80), 6) AS dh, round(x1, 4) AS x1, round(y2, 4) AS y2 FROM dets")

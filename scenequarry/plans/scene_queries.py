@@ -103,10 +103,10 @@ def j29(spark, sf):
     return m.grouped_positives(t.predictions(spark, sf), gt, 0.5, ("image_id", "label")).groupBy("label").agg(F.sum("tp").cast("long").alias("tp"), F.count(F.lit(1)).alias("n"))
 
 
-@query("j28_threshold_matching", f"{W}, {t.TRUTHS}, sm AS (SELECT * FROM preds WHERE image_id % 10 = 0), rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS dr FROM sm), q AS (SELECT p.image_id, p.det_id, g.gt_id, p.dr, {iou_sql('p', 'g', 0, '1e-6')} AS o, least(0.5, {area_sql('g')} / ((g.x2 - g.x1 + 10) * (g.y2 - g.y1 + 10))) AS lim FROM rk p JOIN gts g ON g.image_id = p.image_id), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY dr, o DESC, gt_id) AS rk FROM q WHERE o > 0 AND o >= lim), {fold_sql('r', 'image_id', '(k.det_id = e.det_id OR k.gt_id = e.gt_id)')} SELECT r.image_id, r.det_id, r.gt_id FROM r JOIN kept USING (image_id, rk)")
+@query("j28_threshold_matching", f"{W}, {t.TRUTHS}, sm AS (SELECT * FROM preds), rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS dr FROM sm), q AS (SELECT p.image_id, p.det_id, g.gt_id, p.dr, {iou_sql('p', 'g', 0, '1e-6')} AS o, least(0.5, {area_sql('g')} / ((g.x2 - g.x1 + 10) * (g.y2 - g.y1 + 10))) AS lim FROM rk p JOIN gts g ON g.image_id = p.image_id), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY dr, o DESC, gt_id) AS rk FROM q WHERE o > 0 AND o >= lim), {fold_sql('r', 'image_id', '(k.det_id = e.det_id OR k.gt_id = e.gt_id)')} SELECT r.image_id, r.det_id, r.gt_id FROM r JOIN kept USING (image_id, rk)")
 def j28(spark, sf):
     """Detections in score order take their best unclaimed truth over a threshold that is lower for small truths."""
-    p = t.predictions(spark, sf).filter("image_id % 10 = 0").withColumn("dr", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "det_id")))
+    p = t.predictions(spark, sf).withColumn("dr", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "det_id")))
     gt = t.truths(spark, sf).select("image_id", "gt_id", *g.columns(g.box(), "_g"))
     b = g.box("", "_g")
     limit = F.least(F.lit(0.5), g.area(b) / ((g.width(b) + 10) * (g.height(b) + 10)))
@@ -132,14 +132,15 @@ def a10(spark, sf):
     return n.select("image_id", "seed_id", (F.row_number().over(w) - 1).cast("long").alias("id"))
 
 
-@query("a21_ap_over_thresholds")
+@query("a21_ap_over_thresholds", f"""{W}, {t.TRUTHS}, bo AS (SELECT p.image_id, p.det_id, p.label, g.gt_id, {iou_sql('p', 'g', 0, '1e-6')} AS o FROM preds p JOIN gts g ON g.image_id = p.image_id AND g.label = p.label QUALIFY row_number() OVER (PARTITION BY p.image_id, p.label, p.det_id ORDER BY o DESC, g.gt_id) = 1), th AS (SELECT unnest(range(50, 100, 5)) AS k),
+tpx AS (SELECT p.label, p.det_id, p.score, k, CASE WHEN o >= k / 100.0 AND row_number() OVER (PARTITION BY p.image_id, p.label, k, coalesce(o >= k / 100.0, false), bo.gt_id ORDER BY p.score DESC, p.det_id) = 1 THEN 1 ELSE 0 END AS tp FROM preds p LEFT JOIN bo USING (image_id, label, det_id), th),
+cu AS (SELECT *, sum(tp) OVER w AS ctp, sum(1 - tp) OVER w AS cfp FROM tpx WINDOW w AS (PARTITION BY label, k ORDER BY score DESC, det_id ROWS UNBOUNDED PRECEDING)), pr AS (SELECT label, k, ctp / n_gt AS recall, ctp / (ctp + cfp) AS precision FROM cu JOIN (SELECT label, count(*) AS n_gt FROM gts GROUP BY 1) USING (label)),
+lv AS (SELECT unnest(range(0, 101)) AS i), b AS (SELECT label, k, i, max(precision) FILTER (WHERE recall >= i / 100.0) AS p FROM pr, lv GROUP BY ALL) SELECT label, round(avg(coalesce(p, 0)), 6) AS ap FROM b GROUP BY 1""")
 def a21(spark, sf):
-    """Mean over ten overlap thresholds of the 101-point precision: matches are found once for each threshold."""
-    out = None
-    for k in range(50, 100, 5):
-        ap = mt.interpolated_precision(mt.curve(hits(spark, sf, k / 100), totals(spark, sf), ["label"]), ["label"], 101).withColumn("threshold", F.lit(k))
-        out = ap if out is None else out.unionByName(ap)
-    return out.groupBy("label").agg(r6(F.avg("ap"), "ap"))
+    """Mean over ten overlap thresholds of the 101-point precision; overlaps are computed once."""
+    at = hits(spark, sf, [k / 100 for k in range(50, 100, 5)])
+    ap = mt.interpolated_precision(mt.curve(at, totals(spark, sf), ["label", "limit"], ["label"]), ["label", "limit"], 101)
+    return ap.groupBy("label").agg(r6(F.avg("ap"), "ap"))
 
 
 @query("a32_mean_boxes", f"{W} SELECT image_id, label, round(avg(x1), 6) AS x1, round(avg(y1), 6) AS y1, round(avg(x2), 6) AS x2, round(avg(y2), 6) AS y2, round(avg(score), 6) AS score FROM dets GROUP BY ALL")
@@ -193,9 +194,9 @@ def f20(spark, sf):
     return read(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("text") < 3000).alias("ok")).filter("n = ok").drop("ok")
 
 
-@query("m2_best_of_approximations", f"{W}, {t.TRUTHS} SELECT p.image_id, p.model_id AS square, g.gt_id, round(max({iou_sql('p', 'g', 0, '1e-6')}), 6) AS overlap FROM preds p JOIN gts g ON p.image_id = g.image_id WHERE p.image_id % 5 = 0 GROUP BY ALL")
+@query("m2_best_of_approximations", f"{W}, {t.TRUTHS} SELECT p.image_id, p.model_id AS square, g.gt_id, round(max({iou_sql('p', 'g', 0, '1e-6')}), 6) AS overlap FROM preds p JOIN gts g ON p.image_id = g.image_id GROUP BY ALL")
 def m2(spark, sf):
-    pairs = m.pairs_of(t.predictions(spark, sf).filter("image_id % 5 = 0").withColumn("k", F.struct("det_id", "model_id")), t.truths(spark, sf), "k", "gt_id", 0, 1e-6)
+    pairs = m.pairs_of(t.predictions(spark, sf).withColumn("k", F.struct("det_id", "model_id")), t.truths(spark, sf), "k", "gt_id", 0, 1e-6)
     return pairs.groupBy("image_id", F.col("k.model_id").alias("square"), "gt_id").agg(r6(F.max("overlap"), "overlap"))
 
 
@@ -258,9 +259,12 @@ def x26(spark, sf):
     return read(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(F.when(F.col("role") == "assistant", n).otherwise(0)).alias("targets"), F.sum(F.when(F.col("role") != "assistant", n).otherwise(0)).alias("masked"))
 
 
-@query("x30_scene_text", f"{W} SELECT image_id, md5(string_agg(label || '/' || CAST(model_id AS VARCHAR), ', ' ORDER BY det_id)) AS digest FROM dets GROUP BY 1 HAVING count(*) <= 30")
+@query("x30_scene_text", f"{W} SELECT image_id, md5(string_agg(label || '/' || CAST(model_id AS VARCHAR), ', ' ORDER BY det_id)) AS digest FROM (SELECT * FROM dets QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY CASE WHEN model_id = 6 THEN 0 ELSE 1 END, det_id) <= 30) GROUP BY 1")
 def x30(spark, sf):
-    rows = t.detections(spark, sf).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("det_id", F.concat("label", F.lit("/"), F.col("model_id").cast("string")).alias("line")))).alias("l")).filter(F.size("l") <= 30)
+    """Every image has its text; of more than 30 objects those with attributes come first, then the others in order."""
+    w = Window.partitionBy("image_id").orderBy(F.when(F.col("model_id") == 6, 0).otherwise(1), "det_id")
+    chosen = t.detections(spark, sf).withColumn("r", F.row_number().over(w)).filter("r <= 30")
+    rows = chosen.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("det_id", F.concat("label", F.lit("/"), F.col("model_id").cast("string")).alias("line")))).alias("l"))
     return rows.select("image_id", F.md5(F.array_join(F.transform("l", lambda v: v["line"]), ", ").cast("binary")).alias("digest"))
 
 

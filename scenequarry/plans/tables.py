@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,24 +12,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from the session's checkpoint folder; a temporary one is set only where there is none, as in tests."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a temporary one is set only where there is none, as in tests."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
-def n_images(sf_dir: str) -> int:
-    """So many images that each has about twenty boxes."""
-    m = re.search(r"sf([\d.]+)/?$", sf_dir)
-    return max(1, round(3000 * float(m[1]) / 0.01)) if m else 3000
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from the checkpoint folder; plans above don't recompute what is below."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes with whole-number corners: image_id, det_id, model_id, x1..y2, score, label."""
+    """Boxes with whole-number corners, an image for five orders, about twenty boxes, at every scale: image_id, det_id, model_id, x1..y2, score, label."""
     return read(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") % n_images(sf_dir)).alias("image_id"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")).cast("long").alias("det_id"), (F.col("l_suppkey") % 7).alias("model_id"),
+        F.floor(F.col("l_orderkey") / 5).alias("image_id"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")).cast("long").alias("det_id"), (F.col("l_suppkey") % 7).alias("model_id"),
         ((F.col("l_partkey") % 5) * 40).cast("double").alias("x1"), ((F.col("l_partkey") % 3) * 40).cast("double").alias("y1"),
         ((F.col("l_partkey") % 5) * 40 + 60 + F.col("l_quantity")).cast("double").alias("x2"), ((F.col("l_partkey") % 3) * 40 + 60 + F.col("l_suppkey") % 20).cast("double").alias("y2"),
         (F.col("l_discount") * 10).alias("score"), F.col("l_returnflag").alias("label"),
@@ -39,7 +41,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same in SQL, for oracles.
 DETECTIONS = """dets AS (
-    SELECT l_orderkey % 3000 AS image_id, CAST(((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS BIGINT) AS det_id, l_suppkey % 7 AS model_id,
+    SELECT l_orderkey // 5 AS image_id, CAST(((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS BIGINT) AS det_id, l_suppkey % 7 AS model_id,
         CAST((l_partkey % 5) * 40 AS DOUBLE) AS x1, CAST((l_partkey % 3) * 40 AS DOUBLE) AS y1,
         CAST((l_partkey % 5) * 40 + 60 + l_quantity AS DOUBLE) AS x2, CAST((l_partkey % 3) * 40 + 60 + l_suppkey % 20 AS DOUBLE) AS y2,
         l_discount * 10 AS score, l_returnflag AS label FROM lineitem)"""

@@ -27,13 +27,10 @@ def x2(spark, sf):
     return docs(spark, sf).select("doc_id", F.size(w).cast("long").alias("n"), F.get(w, 0).alias("first"))
 
 
-@query("x3_label_in_caption", r"SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(' ' || array_to_string(regexp_extract_all(lower(d.text), '([a-z0-9_]+)', 1), ' ') || ' ', ' ' || array_to_string(regexp_extract_all(lower(b.text), '([a-z0-9_]+)', 1)[1:6], ' ') || ' ')")
+@query("x3_label_in_caption", r"SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(' ' || array_to_string(regexp_extract_all(lower(d.text), '([a-z0-9_]+)', 1), ' ') || ' ', ' ' || array_to_string(regexp_extract_all(lower(b.text), '([a-z0-9_]+)', 1), ' ') || ' ')")
 def x3(spark, sf):
-    """Labels of six words: the first word's documents are joined, then the run is checked."""
-    labels = read(spark, sf, "benchmark").select("item_id", F.slice(x.words(F.lower("text")), 1, 6).alias("label"))
-    d = docs(spark, sf).select("doc_id", x.words(F.lower("text")).alias("w"))
-    first = d.select("doc_id", F.explode(F.array_distinct("w")).alias("k")).join(F.broadcast(labels.select("item_id", F.get("label", F.lit(0)).alias("k"))), "k").select("doc_id", "item_id")
-    return first.join(d, "doc_id").join(F.broadcast(labels), "item_id").filter(x.contains_run(F.col("w"), F.col("label"))).select("doc_id", "item_id")
+    labels = read(spark, sf, "benchmark").select("item_id", x.words(F.lower("text")).alias("words"))
+    return m.run_matches(docs(spark, sf).select("doc_id", x.words(F.lower("text")).alias("words")), labels, "doc_id", "item_id")
 
 
 @query("x6_after_colon", "SELECT doc_id, CASE WHEN instr(s, ':') > 0 THEN trim(replace(substr(s, instr(s, ':') + 1), ':', ' ')) ELSE s END AS value FROM (SELECT doc_id, source || ':' || lang || ':' || CAST(doc_id AS VARCHAR) AS s FROM documents UNION ALL SELECT doc_id, source FROM documents)")
@@ -48,9 +45,9 @@ def x10(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(x.without_punctuation(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("x8_assistant_prefix", r"SELECT conv_id, turn, regexp_replace('Assistant: ' || substr(text, 1, 40), '\b(as)?sistant:?\s*', '', 'gi') AS s FROM conversations")
+@query("x8_assistant_prefix", r"SELECT conv_id, turn, regexp_replace('Assistant: ' || text, '\b(as)?sistant:?\s*', '', 'gi') AS s FROM conversations")
 def x8(spark, sf):
-    return read(spark, sf, "conversations").select("conv_id", "turn", x.without_assistant(F.concat(F.lit("Assistant: "), F.substring("text", 1, 40))).alias("s"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", x.without_assistant(F.concat(F.lit("Assistant: "), "text")).alias("s"))
 
 
 @query("x11_phrase_spans", "SELECT doc_id, CAST(instr(lower(text), 'the') - 1 AS BIGINT) AS s FROM documents WHERE instr(lower(text), 'the') > 0")
@@ -102,12 +99,10 @@ def x27(spark, sf):
     return turns(spark, sf).select("conv_id", F.size(kept).cast("long").alias("n")).filter("n > 0")
 
 
-@query("x28_scene_lines", "SELECT l_orderkey % 3000 AS image_id, md5(string_agg(l_returnflag || '/' || l_linestatus || ':' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), chr(10) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS digest FROM lineitem GROUP BY 1")
+@query("x28_scene_lines", "SELECT l_orderkey // 5 AS image_id, md5(string_agg(l_returnflag || '/' || l_linestatus || ':' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), chr(10) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS digest FROM lineitem GROUP BY 1")
 def x28(spark, sf):
     line = F.concat("l_returnflag", F.lit("/"), "l_linestatus", F.lit(":"), F.col("l_quantity").cast("long").cast("string")).alias("line")
-    from .tables import n_images
-
-    rows = read(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % n_images(sf)).alias("image_id")).agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line))).alias("l"))
+    rows = read(spark, sf, "lineitem").groupBy(F.floor(F.col("l_orderkey") / 5).alias("image_id")).agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line))).alias("l"))
     return rows.select("image_id", F.md5(F.array_join(F.transform("l", lambda v: v["line"]), "\n").cast("binary")).alias("digest"))
 
 
@@ -121,16 +116,21 @@ def x9(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(x.folded(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("p4_p5_person_labels", "SELECT p_partkey, CASE p_type WHEN 'man' THEN 'person' ELSE p_type END AS label FROM part")
+PEOPLE = ", ".join(f"('{a}', '{b}')" for a, b in x.PERSON.items())
+SOME = [*x.PERSON, "people", "dog", "FEMALE", "males"]
+
+
+@query("p4_p5_person_labels", f"WITH w(i, word) AS (VALUES {', '.join(f'({i}, {chr(39)}{w}{chr(39)})' for i, w in enumerate(SOME))}), d(one, many) AS (VALUES {PEOPLE}) SELECT p_partkey, CASE WHEN lower(word) IN ('man', 'woman', 'men', 'women') THEN 'person' ELSE word END AS level1, coalesce(many, word) AS level2 FROM part JOIN w ON i = p_partkey % {len(SOME)} LEFT JOIN d ON one = word")
 def p4(spark, sf):
-    return read(spark, sf, "part").select("p_partkey", x.as_person(F.col("p_type")).alias("label"))
+    words = F.array(*(F.lit(w) for w in SOME))
+    label = F.get(words, (F.col("p_partkey") % len(SOME)).cast("int"))
+    return read(spark, sf, "part").withColumn("word", label).select("p_partkey", x.as_person(F.col("word")).alias("level1"), x.as_person_or_persons(F.col("word")).alias("level2"))
 
 
 @query("j16_substring_join", "SELECT d.doc_id, b.item_id, CAST(instr(d.text, b.text) - 1 AS BIGINT) AS start, CAST(instr(d.text, b.text) - 1 + length(b.text) AS BIGINT) AS \"end\" FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def j16(spark, sf):
-    """Phrases against captions of their group; documents and passages share one group here, and passages are few."""
-    caps = docs(spark, sf).select("doc_id", F.col("text").alias("caption"), F.lit(0).alias("image_id"))
-    return m.caption_spans(caps, F.broadcast(read(spark, sf, "benchmark").select("item_id", F.col("text").alias("phrase"), F.lit(0).alias("image_id")))).select("doc_id", "item_id", "start", "end")
+    caps = docs(spark, sf).select("doc_id", F.col("text").alias("caption"))
+    return m.spans_anywhere(caps, read(spark, sf, "benchmark").select("item_id", F.col("text").alias("phrase")), "doc_id", "item_id").select("doc_id", "item_id", "start", "end")
 
 
 @query("w6_first_grounding", "SELECT source, lang, min(doc_id) AS doc_id FROM documents GROUP BY ALL")
@@ -200,7 +200,7 @@ def g14(spark, sf):
 def s18(spark, sf):
     r, n = read(spark, sf, "region"), read(spark, sf, "nation")
     edges = r.select(F.lit("world").alias("parent"), F.col("r_name").alias("child")).unionByName(n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child")))
-    return readers.closure(spark, edges)
+    return readers.closure(edges)
 
 
 @query("u1_tag_union", "SELECT source, string_agg(DISTINCT t, ',' ORDER BY t) AS tags FROM (SELECT source, lang AS t FROM documents UNION ALL SELECT source, 'n' || CAST(n_chars % 3 AS VARCHAR) FROM documents) GROUP BY 1")
@@ -274,20 +274,47 @@ def s12(spark, sf):
     return docs(spark, sf).select("doc_id").orderBy("doc_id").limit(100)
 
 
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
 @query("stream_tumbling", "SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf):
     from ..streaming import streams
 
-    ev = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.windowed(ev, "1 hour", by=("event_type",)).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    got = streams.finished(streams.windowed(streams.events(spark, f"{sf}/events.parquet*", EVENTS), "1 hour", by=("event_type",)))
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("stream_sessions")
+@query("stream_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT CAST(min(ts) AS TIMESTAMP) AS start, CAST(max(ts) + INTERVAL '30 minutes' AS TIMESTAMP) AS \"end\", user_id, count(*) AS n FROM s GROUP BY user_id, k")
 def stream_sessions(spark, sf):
     from ..streaming import streams
 
-    ev = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.sessions(ev, "30 minutes", "user_id")
+    got = streams.finished(streams.sessions(streams.events(spark, f"{sf}/events.parquet*", EVENTS), "30 minutes", "user_id"))
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
+
+
+@query("stream_meter", "SELECT event_type, round(sum(value * event_id) / (sum(event_id) + 1e-5), 6) AS avg FROM events GROUP BY 1")
+def stream_meter(spark, sf):
+    from ..streaming import streams
+
+    return streams.finished(streams.running_meter(streams.events(spark, f"{sf}/events.parquet*", EVENTS), "event_type", "value", "event_id")).select("event_type", F.round("avg", 6).alias("avg"))
+
+
+@query("stream_without_repeats", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_without_repeats(spark, sf):
+    from ..streaming import streams
+
+    ev = streams.events(spark, f"{sf}/events.parquet*", EVENTS, "3650 days").select("user_id", "event_type", "ts")
+    return streams.finished(streams.without_repeats(ev, ["user_id", "event_type"]), "append").select("user_id", "event_type")
+
+
+@query("stream_incremental", "SELECT event_id, value * 2 AS twice FROM events")
+def stream_incremental(spark, sf):
+    from ..streaming import streams
+
+    out = streams.shared_path(spark, "incremental")
+    streams.incremental(spark, f"{sf}/events.parquet*", EVENTS, f"{out}/rows", f"{out}/checkpoint", lambda s: s.select("event_id", (F.col("value") * 2).alias("twice")))
+    return spark.read.schema("event_id long, twice double").parquet(f"{out}/rows")
 
 
 @query("s11_point_lookup", "SELECT doc_id, source FROM documents WHERE doc_id IN (1, 5, 250)")

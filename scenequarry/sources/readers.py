@@ -135,15 +135,21 @@ def split_filter(split: Column, asked: str) -> Column:
     return split.contains("test") if asked == "test" else split == asked
 
 
-def closure(spark: SparkSession, edges: DataFrame, view: str = "hierarchy_edges") -> DataFrame:
-    """ancestor, node of all pairs that (parent, child) edges connect, each node being its own ancestor."""
-    edges.createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE up(ancestor, node) AS (
-            SELECT parent, child FROM {view}
-            UNION ALL SELECT up.ancestor, e.child FROM up JOIN {view} e ON e.parent = up.node
-        )
-        SELECT DISTINCT ancestor, node FROM up UNION SELECT DISTINCT child, child FROM {view} UNION SELECT DISTINCT parent, parent FROM {view}""")
+def closure(edges: DataFrame) -> DataFrame:
+    """ancestor, node of all pairs that (parent, child) edges connect, each node being its own ancestor.
+
+    Each round joins pairs with pairs, which doubles the length of what they span, and ends when no pair is new, so that
+    cycles do no harm.
+    """
+    from ..plans.tables import cut
+
+    own = edges.select(F.col("parent").alias("ancestor"), F.col("parent").alias("node")).unionByName(edges.select(F.col("child").alias("ancestor"), F.col("child").alias("node")))
+    pairs, n = cut(own.unionByName(edges.toDF("ancestor", "node")).distinct()), -1
+    while pairs.count() > n:
+        n = pairs.count()
+        step = pairs.select(F.col("ancestor"), F.col("node").alias("via")).join(pairs.select(F.col("ancestor").alias("via"), "node"), "via")
+        pairs = cut(step.select("ancestor", "node").distinct())
+    return pairs
 
 
 def depth_range(path: Column) -> list[Column]:

@@ -6,6 +6,7 @@ what is there has been read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,6 +25,28 @@ def incremental(spark: SparkSession, landing: str, schema: str, out: str, checkp
     return q
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the session's checkpoint folder, which all machines share."""
+    from ..plans.tables import checkpoint_folder
+
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """The stream's rows once everything that is there now has been read, from a table in the shared folder.
+
+    complete rewrites an aggregate with each batch, so that a retried batch changes nothing; append adds rows.
+    """
+    spark = stream.sparkSession
+    out = shared_path(spark, "stream")
+    if mode == "complete":
+        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/rows"))
+    else:
+        writer = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/rows")
+    writer.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
 def events(spark: SparkSession, folder: str, schema: str, watermark: str = "10 minutes") -> DataFrame:
     """An event stream with event time as a timestamp and a watermark."""
     return spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
@@ -49,24 +72,20 @@ def running_meter(stream: DataFrame, by: str, value: str, n: str) -> DataFrame:
     return stream.groupBy(by).agg((F.sum(F.col(value) * F.col(n)) / (F.sum(n) + 1e-5)).alias("avg"))
 
 
-def chat_history(turns: DataFrame, key: str, text: str, most: int = 20, timeout_ms: int = 3_600_000) -> DataFrame:
-    """key, turn, history: after each batch, a conversation's last `most` turns; idle conversations are forgotten.
+def chat_history(turns: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
+    """key, turn, history: after each batch, a conversation's turns in order, all of them or the last `most`.
 
-    State holds the kept turns alone, so it is bounded for each conversation.
+    Turns carry their number, and state holds (number, text), so that one that arrives late stands at its place.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, kept = state.get if state.exists else (0, [])
-        kept = list(kept)
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
         for b in batches:
-            for t in b.sort_values("turn")[text]:
-                n, kept = n + 1, [*kept, t][-most:]
-        state.update((n, kept))
-        state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame({key: [k[0]], "turn": [n], "history": ["\n".join(kept)]})
+            held |= dict(zip(b["turn"].tolist(), b[text].tolist(), strict=True))
+        numbers = sorted(held)
+        state.update((numbers, [held[n] for n in numbers]))
+        kept = numbers if most is None else numbers[-most:]
+        yield pd.DataFrame({key: [k[0]], "turn": [len(numbers)], "history": ["\n".join(held[n] for n in kept)]})
 
     kind = dict(turns.dtypes)[key]
-    return turns.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, turn long, history string", "n long, kept array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, turn long, history string", "numbers array<long>, texts array<string>", "append", GroupStateTimeout.NoTimeout)
