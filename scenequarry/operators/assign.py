@@ -6,6 +6,8 @@ or ignored, 0 background, k + 1 for truth k.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -154,3 +156,86 @@ def grid_anchors(levels: list[tuple[int, int, int]], sizes: list[float], spark)
         b = places.select("level", "y", "x", *g.columns(g.from_center(F.col("x") * stride, F.col("y") * stride, F.col("side"), F.col("side"))))
         out = b if out is None else out.unionByName(b)
     return out
+
+
+def sim_ota(priors: DataFrame, truths: DataFrame, radius: float = 2.5, candidates: int = 10, overlap_weight: float = 3.0, far: float = 1e8) -> DataFrame:
+    """Adds gt: each truth takes as many of its cheapest priors as the overlaps of its best `candidates` add up to.
+
+    priors: image_id, det_id, corners, score, label, stride. A prior is in the race if its center is in a truth or within
+    radius * stride of a truth's center; the cost is a cross entropy of the class score's root, the overlap's logarithm,
+    and `far` where the prior isn't in both of the truth's regions. A prior that several take goes to the cheapest of all.
+    """
+    t = truths.select("image_id", "gt_id", F.col("label").alias("gt_label"), *g.columns(g.box(), "_g"))
+    gt, (cx, cy) = g.box("", "_g"), g.center(g.box())
+    gx, gy = g.center(gt)
+    pairs = priors.join(t, "image_id").withColumns({"overlap": g.iou(g.box(), gt, 0, 1e-6), "inside": g.holds(gt, cx, cy), "central": (F.abs(cx - gx) < radius * F.col("stride")) & (F.abs(cy - gy) < radius * F.col("stride"))})
+    racing = F.max(F.col("inside") | F.col("central")).over(Window.partitionBy("image_id", "det_id"))
+    p = F.least(F.greatest(F.sqrt("score"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    entropy = F.when(F.col("label") == F.col("gt_label"), -F.log(p)).otherwise(-F.log(1 - p))
+    cost = entropy - overlap_weight * F.log(F.col("overlap") + 1e-8) + F.when(F.col("inside") & F.col("central"), 0.0).otherwise(far)
+    pairs = pairs.withColumn("racing", racing).filter("racing").withColumn("cost", cost)
+    of_truth = Window.partitionBy("image_id", "gt_id")
+    pairs = pairs.withColumn("ro", F.row_number().over(of_truth.orderBy(F.desc("overlap"), "det_id"))).withColumn("rc", F.row_number().over(of_truth.orderBy("cost", "det_id")))
+    k = F.greatest(F.lit(1), F.sum(F.when(F.col("ro") <= candidates, F.col("overlap")).otherwise(0.0)).over(of_truth).cast("int"))
+    pairs = pairs.withColumn("taken", F.col("rc") <= k)
+    each = pairs.groupBy("image_id", "det_id").agg(F.count_if("taken").alias("n"), F.max(F.when(F.col("taken"), F.col("gt_id"))).alias("own"), F.min_by("gt_id", F.struct("cost", "gt_id")).alias("cheapest")).filter("n > 0")
+    best = each.select("image_id", "det_id", F.when(F.col("n") > 1, F.col("cheapest")).otherwise(F.col("own")).alias("gt_id"))
+    return priors.join(best, ["image_id", "det_id"], "left").select(*priors.columns, F.coalesce(F.col("gt_id") + 1, F.lit(0)).cast("long").alias("gt"))
+
+
+def uniform(priors: DataFrame, truths: DataFrame, k: int = 4, ignore: float = 0.7, least: float = 0.15) -> DataFrame:
+    """Adds gt: every truth takes the k priors nearest by the sum of differences of centers and sizes; those that overlap
+    it by less than `least` are ignored (-1), and so are priors that nobody takes and that overlap a truth by over `ignore`.
+    A prior that several take goes to the last of them."""
+    t = truths.select("image_id", "gt_id", *g.columns(g.box(), "_g"))
+    a, b = g.to_center(g.box()), g.to_center(g.box("", "_g"))
+    far = sum(F.abs(x - y) for x, y in zip(a, b, strict=True))
+    pairs = priors.join(t, "image_id").withColumns({"overlap": g.iou(g.box(), g.box("", "_g"), 0, 1e-6), "far": far})
+    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("image_id", "gt_id").orderBy("far", "det_id"))).filter(F.col("r") <= k)
+    own = near.groupBy("image_id", "det_id").agg(F.max_by(F.struct("gt_id", "overlap"), "gt_id").alias("b"))
+    most = pairs.groupBy("image_id", "det_id").agg(F.max("overlap").alias("most"))
+    out = priors.join(own, ["image_id", "det_id"], "left").join(most, ["image_id", "det_id"], "left")
+    got = F.when(F.col("b.overlap") < least, F.lit(-1)).when(F.col("b").isNotNull(), F.col("b.gt_id") + 1).when(F.col("most") > ignore, F.lit(-1)).otherwise(F.lit(0))
+    return out.select(*priors.columns, got.cast("long").alias("gt"))
+
+
+def by_grid(priors: DataFrame, truths: DataFrame, pos: float = 0.5, neg: float = 0.4, least: float = 0.3) -> DataFrame:
+    """As by_overlap among priors of cells that hold a truth's center (responsible); others are background under neg,
+    ignored from there on."""
+    resp = by_overlap(priors.filter("responsible"), truths, pos, neg, least)
+    rest = by_overlap(priors.filter("not responsible"), truths, 2.0, neg, 2.0, False)
+    return resp.unionByName(rest)
+
+
+def by_region(priors: DataFrame, truths: DataFrame, core: float = 0.4, ring: float = 0.6, base: float = 8.0, levels: int = 5) -> DataFrame:
+    """Adds gt: on a truth's level (of its size) priors centered in its core are its, the last truth's first; in the ring
+    around it they are ignored. priors have level."""
+    size = F.sqrt(g.width(g.box()) * g.height(g.box()))
+    of = F.floor(F.log2(size) - math.log2(base) + 0.5)
+    t = truths.select("image_id", "gt_id", F.greatest(F.lit(0), F.least(F.lit(levels - 1), of)).cast("long").alias("level"), *g.columns(g.box(), "_g"))
+    gt, (cx, cy) = g.box("", "_g"), g.center(g.box())
+    pairs = priors.join(t, ["image_id", "level"]).withColumns({"core": g.holds(g.about_center(gt, core), cx, cy), "ring": g.holds(g.about_center(gt, ring), cx, cy)}).filter("ring")
+    best = pairs.groupBy("image_id", "det_id").agg(F.max(F.when(F.col("core"), F.col("gt_id"))).alias("own"))
+    out = priors.join(best.withColumn("seen", F.lit(True)), ["image_id", "det_id"], "left")
+    return out.select(*priors.columns, F.when(F.col("own").isNotNull(), F.col("own") + 1).when(F.col("seen"), F.lit(-1)).otherwise(F.lit(0)).cast("long").alias("gt"))
+
+
+def balanced_positives(assigned: DataFrame, num: int, seed: int = 0) -> DataFrame:
+    """Per image `num` positives: of each truth about an equal share, by a seeded hash, then the others by the hash."""
+    order = [F.xxhash64(F.lit(seed), "det_id"), F.col("det_id")]
+    rows = assigned.filter("gt > 0")
+    n = rows.groupBy("image_id").agg(F.countDistinct("gt").alias("n_gt"))
+    rows = rows.join(n, "image_id").withColumn("r", F.row_number().over(Window.partitionBy("image_id", "gt").orderBy(*order)))
+    first = F.when(F.col("r") <= F.round(F.lit(float(num)) / F.col("n_gt")).cast("int") + 1, 0).otherwise(1)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(first, *order))).filter(F.col("rank") <= num).drop("r", "rank", "n_gt")
+
+
+def ranked_negatives(assigned: DataFrame, num: int, group: str) -> DataFrame:
+    """Per image the `num` negatives of the greatest importance: how many rows stand at or below a row's place within its
+    group, by score, the score deciding between equal places; weight falls evenly with the rank."""
+    rows = assigned.filter("gt = 0")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("image_id", group).orderBy(F.desc("score"), "det_id")))
+    n = F.count(F.lit(1)).over(Window.partitionBy("image_id"))
+    rows = rows.withColumn("importance", n - F.col("place") + F.col("score"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("importance"), "det_id"))).withColumn("n", n)
+    return rows.filter(F.col("rank") <= num).withColumn("weight", (F.col("n") - F.col("rank") + 1) / F.col("n")).drop("place", "n")

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a data folder. Python workers can then import this package where it lies at the same place everywhere."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), ROOT) if x)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

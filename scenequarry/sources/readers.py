@@ -186,3 +186,90 @@ def parse_pfm(data: bytes) -> tuple[int, int, np.ndarray] | None:
     except ValueError:
         return None
     return h, w, x.reshape(h, w)[::-1].ravel().astype(np.float32)
+
+
+PREDICTION = "struct<caption:string,phrases:array<string>,pred_masks:array<struct<size:array<int>,counts:string>>>"
+
+
+def predictions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(image_id, caption, labels) and (image_id, category_id, segmentation, score) of grounded-caption predictions.
+
+    docs: image_id, doc, a JSON text {image: {caption, phrases, pred_masks}}, or the inner part alone. Masks have score 1
+    and category 1; a document that doesn't parse gives no row.
+    """
+    bare = F.from_json("doc", PREDICTION)
+    wrapped = F.get(F.map_values(F.from_json("doc", f"map<string,{PREDICTION}>")), 0)
+    p = F.when(bare["caption"].isNotNull(), bare).otherwise(wrapped)
+    rows = docs.select("image_id", p.alias("p")).filter("p.caption is not null")
+    masks = rows.select("image_id", F.explode("p.pred_masks").alias("segmentation")).select("image_id", F.lit(1).alias("category_id"), "segmentation", F.lit(1.0).alias("score"))
+    return rows.select("image_id", "p.caption", F.col("p.phrases").alias("labels")), masks
+
+
+def region_captions(tables: dict[str, DataFrame]) -> DataFrame:
+    """image_id, file_name, caption, ann_id and corners of each region of a COCO file whose images carry captions; the
+    region's own caption comes first."""
+    images = tables["images"].select(F.col("id").alias("image_id"), "file_name", F.col("caption").alias("__whole"))
+    a = tables["annotations"].select(F.col("id").alias("ann_id"), "image_id", F.col("caption").alias("__own"), "x1", "y1", "x2", "y2")
+    return a.join(images, "image_id").select("image_id", "file_name", F.trim(F.coalesce("__own", "__whole")).alias("caption"), "ann_id", "x1", "y1", "x2", "y2")
+
+
+def image_labels(spark: SparkSession, path: str, classes: DataFrame) -> DataFrame:
+    """image_id, labels: (label, confidence) of a CSV of ImageID, Source, LabelName, Confidence; classes (name, label)."""
+    raw = spark.read.option("header", True).csv(path)
+    c = raw.columns
+    rows = raw.select(F.col(c[0]).alias("image_id"), F.col(c[2]).alias("name"), F.col(c[3]).cast("double").alias("confidence")).join(classes, "name")
+    return rows.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("label", "confidence"))).alias("labels"))
+
+
+def with_labels(images: DataFrame, labels: DataFrame) -> DataFrame:
+    """images with their labels, an empty array where there are none."""
+    kind = labels.schema["labels"].dataType
+    return images.join(labels, "image_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast(kind)))
+
+
+def segment_annotations(spark: SparkSession, folder: str) -> DataFrame:
+    """image_id, corners, size and counts of mask annotations, one JSON document per image."""
+    schema = "annotations array<struct<bbox:array<double>,segmentation:struct<size:array<int>,counts:string>>>"
+    raw = spark.read.text(folder, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("image_id"), F.from_json("value", schema).alias("d"))
+    a = raw.select("image_id", F.posexplode("d.annotations").alias("pos", "a"))
+    b = [F.get("a.bbox", i) for i in range(4)]
+    return a.select("image_id", "pos", b[0].alias("x1"), b[1].alias("y1"), (b[0] + b[2]).alias("x2"), (b[1] + b[3]).alias("y2"), "a.segmentation.size", "a.segmentation.counts")
+
+
+def result_shards(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Rows of all JSON result files of a folder but the merged one."""
+    files = spark.read.schema(schema).option("multiLine", True).json(folder).select("*", F.col("_metadata.file_name").alias("__f"))
+    return files.filter("__f <> 'merged.json'").drop("__f")
+
+
+def proposals(images: DataFrame, boxes: DataFrame, most: int) -> DataFrame:
+    """images with their `most` best scored proposals as an array, empty without any."""
+    w = Window.partitionBy("image_id").orderBy(F.desc("score"), "det_id")
+    top = boxes.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most)
+    each = top.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(F.col("__r").alias("r"), "x1", "y1", "x2", "y2", "score"))).alias("proposals"))
+    out = images.join(each, "image_id", "left")
+    return out.withColumn("proposals", F.coalesce("proposals", F.array().cast(each.schema["proposals"].dataType)))
+
+
+#: Fixed value: the step between instances of a class in encoded panoptic ids.
+INSTANCE_OFFSET = 1000
+
+
+def panoptic_segments(docs: DataFrame) -> DataFrame:
+    """image_id, id, category_id, area, iscrowd of panoptic annotations: docs (image_id, segments_info)."""
+    return docs.select("image_id", F.explode("segments_info").alias("s")).select("image_id", "s.id", "s.category_id", "s.area", F.coalesce(F.col("s.iscrowd"), F.lit(0)).alias("iscrowd"))
+
+
+def panoptic_id(category: Column, instance: Column) -> Column:
+    return category + instance * INSTANCE_OFFSET
+
+
+def panoptic_parts(code: Column) -> dict[str, Column]:
+    return {"category": code % INSTANCE_OFFSET, "instance": F.floor(code / INSTANCE_OFFSET)}
+
+
+def file_name(name: Column, url: Column | None = None) -> Column:
+    """A file's name in an image folder: the last two parts of its address where it has one, else the name without a
+    data set's prefix, which are its last 16 characters."""
+    short = F.when(name.startswith("COCO"), F.right(name, F.lit(16))).otherwise(name)
+    return short if url is None else F.coalesce(F.substring_index(url, "/", -2), short)

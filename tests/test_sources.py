@@ -78,3 +78,36 @@ def test_chat_history_and_windows(spark, tmp_path):
     q = w.writeStream.format("memory").queryName("win").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert spark.table("win").count() == 1
+
+
+def test_further_loaders(spark, tmp_path):
+    ann = [{"id": 1, "image_id": 7, "bbox": [1, 2, 30, 40], "caption": " a dog "}, {"id": 2, "image_id": 7, "bbox": [1, 2, 3, 4]}]
+    (tmp_path / "c.json").write_text(json.dumps({"images": [{"id": 7, "file_name": "7.jpg", "width": 100, "height": 90, "caption": "whole"}], "annotations": ann, "categories": []}))
+    got = readers.region_captions(readers.coco(spark, str(tmp_path / "c.json"))).orderBy("ann_id").collect()
+    assert [(r.caption, r.x2) for r in got] == [("a dog", 31.0), ("whole", 4.0)]
+    (tmp_path / "l.csv").write_text("ImageID,Source,LabelName,Confidence\ni,v,/m/1,1\ni,v,/m/2,0\nj,v,/m/9,1\n")
+    classes = spark.createDataFrame([("/m/1", 0), ("/m/2", 1)], "name string, label int")
+    labels = readers.image_labels(spark, str(tmp_path / "l.csv"), classes)
+    images = spark.createDataFrame([("i",), ("k",)], "image_id string")
+    assert {r.image_id: [tuple(x) for x in r.labels] for r in readers.with_labels(images, labels).collect()} == {"i": [(0, 1.0), (1, 0.0)], "k": []}
+    (tmp_path / "sam").mkdir()
+    (tmp_path / "sam" / "sa_1.json").write_text(json.dumps({"annotations": [{"bbox": [1, 2, 3, 4], "segmentation": {"size": [9, 9], "counts": "abc"}}]}))
+    (tmp_path / "sam" / "sa_2.json").write_text("")
+    assert [(r.image_id, r.x2, r.y2, r.counts) for r in readers.segment_annotations(spark, str(tmp_path / "sam")).collect()] == [("sa_1", 4.0, 6.0, "abc")]
+    (tmp_path / "res").mkdir()
+    for n, v in (("a", 1), ("b", 2), ("merged", 3)):
+        (tmp_path / "res" / f"{n}.json").write_text(json.dumps([{"v": v}]))
+    assert sorted(r.v for r in readers.result_shards(spark, str(tmp_path / "res"), "v int").collect()) == [1, 2]
+
+
+def test_predictions_with_and_without_the_image_around(spark):
+    body = {"caption": "c", "phrases": ["p"], "pred_masks": [{"size": [2, 2], "counts": "04"}]}
+    docs = spark.createDataFrame([("a", json.dumps(body)), ("b", json.dumps({"b.jpg": body})), ("x", "{bad"), ("n", None)], "image_id string, doc string")
+    caps, masks = readers.predictions(docs)
+    assert {(r.image_id, r.caption) for r in caps.collect()} == {("a", "c"), ("b", "c")} and masks.count() == 2
+
+
+def test_closure_ends_on_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "parent string, child string")
+    got = {(r.ancestor, r.node) for r in readers.closure(edges).collect()}
+    assert got == {(x, y) for x in "abc" for y in "abcd"} | {("d", "d")}
