@@ -7,6 +7,8 @@ image's boxes are few; where an image may have very many, `suppress_in_rounds` d
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +44,49 @@ def suppress(dets: DataFrame, least_score: float = 0.1, limit: float = 0.9, by:
     return kept.select(*by, *(F.col(f"b.{f}") for f in fields))
 
 
+def cells(limit: float, near: bool = False) -> list[Column]:
+    """xs and ys: a box's cell (level, place) on each axis, or all cells near it, as arrays.
+
+    Boxes that overlap by more than the limit differ in a side by a factor of 1 / limit at most, and in their centres by
+    the larger side times (1 - limit). A level holds sides within a factor; its cells are as wide as its largest side.
+    Each box has one cell of its own, so that two boxes meet once. A box without a side overlaps nothing and has none.
+    """
+    if limit <= 0:
+        raise ValueError("cells need a positive limit")
+    base, slack = max(2.0, 1 / limit), 1 + 1e-9
+
+    def axis(low: str, high: str) -> Column:
+        side, middle = F.col(high) - F.col(low), (F.col(high) + F.col(low)) / 2
+        level = lambda s: F.floor(F.log(s) / math.log(base)).cast("int")
+        reach = side / limit * (1 - limit) * slack + F.abs(middle) * 1e-9 if near else F.lit(0.0)
+        levels = F.sequence(level(side * limit / slack), level(side / limit * slack)) if near else F.array(level(side))
+
+        def of_level(k: Column) -> Column:
+            width = F.pow(F.lit(base), k + 1)
+            places = F.sequence(F.floor((middle - reach) / width), F.floor((middle + reach) / width))
+            return F.transform(places, lambda p: F.struct(k.alias("level"), p.alias("place")))
+
+        return F.when(side > 0, F.flatten(F.transform(levels, of_level)))
+
+    return [axis("x1", "x2").alias("xs"), axis("y1", "y2").alias("ys")]
+
+
 def suppress_in_rounds(dets: DataFrame, limit: float = 0.9, by: str = "image_id", few: int = 100_000) -> DataFrame:
     """The same kept set by joins: in each round, boxes without an undecided earlier conflict are decided.
 
-    For groups too large for one row. conflicts is found once; rounds shrink to what is undecided and go on until
-    nothing is. Chains need a round for every two boxes, so once at most `few` conflicts are undecided, the driver
-    decides these in order.
+    For groups too large for one row. conflicts is found once, through cells, so that boxes meet only where they are of
+    like size and place; limit has to be positive. Rounds shrink to what is undecided and go on until nothing is.
+    Chains need a round for every two boxes, so once at most `few` conflicts are undecided, the driver decides these in
+    order.
     """
     from ..plans.tables import cut
 
-    a = dets.select(by, F.col("det_id").alias("i"), F.col("score").alias("si"), g.struct(g.box()).alias("bi"))
-    b = dets.select(by, F.col("det_id").alias("j"), F.col("score").alias("sj"), g.struct(g.box()).alias("bj"))
+    a = dets.select(by, F.col("det_id").alias("i"), F.col("score").alias("si"), g.struct(g.box()).alias("bi"), *cells(limit, near=True))
+    b = dets.select(by, F.col("det_id").alias("j"), F.col("score").alias("sj"), g.struct(g.box()).alias("bj"), *cells(limit))
+    a, b = (x.select("*", F.explode("xs").alias("cx")).select("*", F.explode("ys").alias("cy")).drop("xs", "ys") for x in (a, b))
     earlier = (F.col("si") > F.col("sj")) | ((F.col("si") == F.col("sj")) & (F.col("i") < F.col("j")))
-    conflicts = cut(a.join(b, by).filter(earlier & (g.iou(g.box(F.col("bi")), g.box(F.col("bj")), 0, 1e-5) > limit)).select("i", "j", "sj"))
+    met = a.join(b, [by, "cx", "cy"])
+    conflicts = cut(met.filter(earlier & (g.iou(g.box(F.col("bi")), g.box(F.col("bj")), 0, 1e-5) > limit)).select("i", "j", "sj"))
     left = cut(dets.select("det_id"))
     kept = None
     while True:
