@@ -92,3 +92,23 @@ def as_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes | None]:
     """UTF-8 of each text, None for null, without decoding."""
     for x in column.cast(pa.binary()):
         yield x.as_py()
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their place in the order, from 0, in the column `name`.
+
+    Spark deals the order's ranges out, so no task sees more than a range; the driver gets one count for each range.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
+    part = F.shiftright(F.col(name), 33)  # an id is the partition's number and the place in it
+    counts = sorted((r.part, r.n) for r in dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    if not counts:
+        return dealt
+    before, total = [], 0
+    for p, k in counts:
+        before.append((p, total))
+        total += k
+    base = rows.sparkSession.createDataFrame(before, "__part long, __base long")
+    out = dealt.join(F.broadcast(base), part == F.col("__part"))
+    return out.withColumn(name, F.col("__base") + F.col(name).bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__base")
