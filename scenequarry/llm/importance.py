@@ -1,8 +1,8 @@
 """Importance resampling towards a target distribution, on hashed n-grams.
 
 Each task hands its texts, some megabytes at a time, to a DuckDB of its own: SQL takes the words, unnests them, looks
-ahead over a window for runs of up to three words, and sums a registered function, zlib's CRC, by document and bucket.
-The CRC of a run goes on from that of the run without its last word, so no n-gram is ever written out. The bucket counts
+ahead over a window for runs of up to three words, and counts registered functions' results by document and bucket: zlib's
+CRC of every different word, and what it becomes when a word follows. So no n-gram is ever written out. The bucket counts
 of each document are spilled to a Parquet table in the shared folder. Spark merges them: sums over all documents and over
 the target give each bucket's gain, the spilled counts give each document's weight, and a noise that depends on the id
 alone turns the choice of the highest scores into a draw without replacement.
@@ -25,44 +25,63 @@ from .common import as_bytes, numbered, stored, texts
 BUCKETS = 10_000
 LONGEST = 3
 #: Bytes of text that one statement gets.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Pieces of text that one statement gets.
 PIECES = 4096
+#: Bytes that a CRC is moved on by at a time.
+SHIFTED = 32
 #: What DuckDB may hold; blocks need a small part of it.
-MEMORY = "512MB"
+MEMORY = "384MB"
 BETWEEN = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]")
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 #: Rows (doc, bucket, n) of the texts `piece` (doc, nth, text, after): `after` words at a text's end belong to the next piece.
 COUNTS = r"""
-WITH word AS (
+WITH word AS MATERIALIZED (
     SELECT doc, nth, len(words) - after AS own, unnest(words) AS w, generate_subscripts(words, 1) AS i
-    FROM (SELECT doc, nth, after, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM piece)
+    FROM (SELECT doc, nth, after, list_filter(string_split_regex(text, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM piece)
+), known AS MATERIALIZED (
+    SELECT w, crc(w) AS alone, crc(' ' || w) AS behind, CAST(strlen(w) + 1 AS INTEGER) AS size FROM (SELECT DISTINCT w FROM word)
 ), ahead AS (
-    SELECT doc, i, own, crc(w, 0::UINTEGER) AS one, ' ' || lead(w, 1) OVER run AS second, ' ' || lead(w, 2) OVER run AS third
-    FROM word WINDOW run AS (PARTITION BY nth ORDER BY i)
+    SELECT doc, i, own, alone AS one, lead(behind, 1) OVER run AS behind_2, lead(size, 1) OVER run AS size_2, lead(behind, 2) OVER run AS behind_3, lead(size, 2) OVER run AS size_3
+    FROM word JOIN known USING (w) WINDOW run AS (PARTITION BY nth ORDER BY i)
 ), two AS (
-    SELECT doc, one, CASE WHEN second IS NOT NULL THEN crc(second, one) END AS two, third FROM ahead WHERE i <= own
+    SELECT doc, one, crc_on(one, behind_2, size_2) AS two, behind_3, size_3 FROM ahead WHERE i <= own
 ), three AS (
-    SELECT doc, one, two, CASE WHEN third IS NOT NULL THEN crc(third, two) END AS three FROM two
-), bucket AS (
-    SELECT doc, one % 10000 AS bucket FROM three
-    UNION ALL SELECT doc, two % 10000 FROM three WHERE two IS NOT NULL
-    UNION ALL SELECT doc, three % 10000 FROM three WHERE three IS NOT NULL
+    SELECT doc, [one, two, crc_on(two, behind_3, size_3)] AS runs FROM two
 )
-SELECT doc, bucket, count(*) AS n FROM bucket GROUP BY doc, bucket ORDER BY doc, bucket"""
+SELECT doc, bucket, count(*) AS n FROM (SELECT doc, unnest(runs) % 10000 AS bucket FROM three) WHERE bucket IS NOT NULL GROUP BY doc, bucket ORDER BY doc, bucket"""
+
+
+def shifts() -> np.ndarray:
+    """What SHIFTED zero bytes or fewer make of each byte of a CRC, by zlib itself: sizes x 4 x 256. A CRC is linear, so
+    that of a text followed by another is the first one moved on by the second one's bytes, xor the second one's."""
+    moved = lambda c, n: zlib.crc32(bytes(n), c) ^ zlib.crc32(bytes(n))
+    return np.array([[[moved(c << 8 * k, n) for c in range(256)] for k in range(4)] for n in range(SHIFTED + 1)], np.uint32)
 
 
 def database():
-    """An in-memory DuckDB of one thread that spills nowhere, with zlib's CRC as crc(text, CRC so far)."""
+    """An in-memory DuckDB of one thread that spills nowhere, with zlib's CRC: crc(text), and crc_on(a, b, size), the CRC of
+    a text of CRC a followed by `size` bytes of CRC b."""
     import duckdb
 
-    def crc(text: pa.ChunkedArray, so_far: pa.ChunkedArray) -> pa.Array:
-        pairs = zip(text.cast(pa.binary()).to_pylist(), so_far.to_pylist(), strict=True)
-        return pa.array([None if a is None or b is None else zlib.crc32(a, b) for a, b in pairs], pa.uint32())
+    table = shifts()
+
+    def crc(text: pa.ChunkedArray) -> pa.Array:
+        return pa.array([zlib.crc32(x) for x in text.cast(pa.binary()).to_pylist()], pa.uint32())
+
+    def crc_on(a: pa.ChunkedArray, b: pa.ChunkedArray, size: pa.ChunkedArray) -> pa.Array:
+        c, left = a.to_numpy().copy(), size.to_numpy().copy()
+        while True:
+            n = np.minimum(left, SHIFTED)
+            c = table[n, 0, c & 255] ^ table[n, 1, c >> 8 & 255] ^ table[n, 2, c >> 16 & 255] ^ table[n, 3, c >> 24]
+            left = left - n
+            if not left.any():
+                return pa.array(c ^ b.to_numpy(), pa.uint32())
 
     con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
-    con.create_function("crc", crc, ["VARCHAR", "UINTEGER"], "UINTEGER", type="arrow")
+    con.create_function("crc", crc, ["VARCHAR"], "UINTEGER", type="arrow")
+    con.create_function("crc_on", crc_on, ["UINTEGER", "UINTEGER", "INTEGER"], "UINTEGER", type="arrow")
     return con
 
 
