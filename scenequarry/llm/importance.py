@@ -137,11 +137,18 @@ def bucket_counts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             if ids:
                 offsets, sums = pa.array(ends, pa.int32()), np.diff(np.append(0, np.cumsum(n))[ends])
                 words = np.where(sums > 0, (sums + 3) // 3, 0)  # n words have 1, 3, 6, 9, 12, ... runs
-                columns = [pa.array(ids, pa.int64()), pa.array(words), pa.array(sums), pa.ListArray.from_arrays(offsets, pa.array(bucket[: ends[-1]], pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(n[: ends[-1]], pa.int64()))]
+                columns = [pa.array(ids, pa.int64()), pa.array(words), pa.array(sums), pa.ListArray.from_arrays(offsets, pa.array(bucket[: ends[-1]], pa.int16())), pa.ListArray.from_arrays(offsets, pa.array(n[: ends[-1]], pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_features", "buckets", "counts"])
         con.close()
 
-    return texts(docs, id_col).mapInArrow(run, "doc_id long, n_words long, n_features long, buckets array<int>, counts array<long>")
+    return texts(docs, id_col).mapInArrow(run, "doc_id long, n_words long, n_features long, buckets array<short>, counts array<int>")
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, so that what numpy makes of their arrays stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def merged(spilled: DataFrame) -> np.ndarray:
@@ -149,7 +156,7 @@ def merged(spilled: DataFrame) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(BUCKETS, np.int64)
-        for b in batches:
+        for b in parts(batches):
             np.add.at(total, b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
@@ -170,7 +177,7 @@ def weights(spilled: DataFrame, gain: np.ndarray) -> DataFrame:
     """doc_id, n_words, n_features and weight, the sum of the gains of a row's features."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             buckets, counts = b.column(3), b.column(4)
             summed = np.append(0, np.cumsum(gain[buckets.flatten().to_numpy()] * counts.flatten().to_numpy()))
             at = np.append(0, np.cumsum(buckets.value_lengths().to_numpy()))
