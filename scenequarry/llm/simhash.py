@@ -10,19 +10,11 @@ threshold e means one mask for each choice of e bits left out; rows that agree u
 verified there. A group over `most` rows isn't compared whole: the bits that its mask leaves open are cut in radius + 1
 parts, one of which must agree in a linked pair, so it is dealt again under longer masks until groups are small or
 all the bits left open fit in the radius. Nothing is capped, and no two rows are paired twice for being equal.
-
-Copies of a similarity. Texts of which 0.8 of the five-word shingles agree differ in about 0.15 of the bits, a radius at
-which no partition of 64 bits tells texts apart. `similar` takes fingerprints of 512 bits, whose distance estimates the
-similarity, and masks of so many bits, drawn by a seed, that unrelated texts seldom agree under one; there are as many
-masks as it takes for a pair at the limit to meet with the probability `recall`, closer pairs meeting more often. What
-meets is verified by its distance.
 """
 
 from __future__ import annotations
 
-import hashlib
 import itertools
-import math
 import re
 from collections.abc import Iterator
 
@@ -34,8 +26,6 @@ from pyspark.sql import functions as F
 from .common import as_bytes, cut, stored, texts
 
 BITS = 64
-#: Bits of the fingerprints that estimate a similarity.
-WIDE = 512
 SEED = 42
 #: Bytes of text that are split into words at a time.
 BLOCK = 1 << 20
@@ -78,27 +68,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(data: bytes | None, width: int = 5) -> bytes:
-    """SimHash of WIDE bits over the different shingles of a text, each counting once, as in the similarity of sets; all
-    zero without words, the whole sequence as one shingle below `width` words."""
-    from xxhash import xxh64_intdigest
-
-    parts = []
-    for words in word_blocks(data or b"", width):
-        if len(words) >= width:
-            parts.append(np.array([xxh64_intdigest(b" ".join(t), SEED) for t in zip(*(words[i:] for i in range(width)), strict=False)], np.uint64))
-        elif words and not parts:
-            parts.append(np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64))
-    if not parts:
-        return bytes(WIDE // 8)
-    h = np.unique(np.concatenate(parts))
-    steps = (np.arange(WIDE // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-    ones = np.zeros(WIDE, np.int64)
-    for at in range(0, len(h), 1 << 13):
-        ones += np.unpackbits(mixed(h[at : at + (1 << 13), None] + steps).astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
-
-
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a long) for every row; a null text has no words."""
 
@@ -263,13 +232,12 @@ def links(classes: DataFrame, radius: int = 3, most: int = 256) -> DataFrame:
         return none
     masks = plan_masks(classes, n, radius)
     rows = classes.select("fp", F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask"))
-    found, seen = none, set()
+    found = none
     while masks:
         rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         # a table of its own, so that the join deals both sides anew and Spark can split a hot bucket
         sizes = cut(rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
         live = cut(rows.join(sizes, ["mask", "value"]))
-        seen.update(masks)
         found = found.unionByName(verify(live.filter(F.col("size") <= most), radius))
         hot = live.filter(F.col("size") > most)
         big = [r.mask & (1 << 64) - 1 for r in hot.select("mask").distinct().collect()]  # masks, of which there are few
@@ -308,112 +276,6 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(group numbers, rows' second column as bytes) of rows sorted by the first column, a group never being split."""
-    held_keys, held = np.zeros(0, np.int64), np.zeros(0, object)
-    for b in batches:
-        keys = np.concatenate([held_keys, b.column(0).to_numpy(zero_copy_only=False)])
-        values = np.concatenate([held, np.array(b.column(1).to_pylist(), object)])
-        at = np.searchsorted(keys, keys[-1]) if len(keys) else 0
-        if at:
-            yield np.cumsum(np.append(0, keys[1:at] != keys[: at - 1])), values[:at]
-        held_keys, held = keys[at:], values[at:]
-    if len(held):
-        yield np.zeros(len(held), np.int64), held
-
-
-def spanning_bytes(group: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[bytes, bytes]]:
-    """Links (fingerprint, an earlier one it is within the radius of) that connect what is connected within groups.
-
-    Rows are compared at one distance between places after the other, until every group is one component.
-    """
-    n = len(fps)
-    x = np.frombuffer(b"".join(fps), np.uint64).reshape(n, -1)
-    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, n)
-    first = np.append(0, ends[:-1])
-    end, start = np.repeat(ends, ends - first), np.repeat(first, ends - first)
-    root, at, d, out = np.arange(n), np.arange(n), 1, []
-    while len(at := at[at + d < end[at]]):
-        hit = at[np.bitwise_count(x[at] ^ x[at + d]).sum(axis=1) <= radius]
-        hit = hit[root[hit] != root[hit + d]]
-        out += [(fps[j], fps[i]) for i, j in zip(hit, hit + d, strict=True)]
-        a, b = hit, hit + d
-        while len(a):
-            ra, rb = root[a], root[b]
-            apart = ra != rb
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while (up := root[root] != root).any():
-                root[up] = root[root[up]]
-        loose = np.bincount(start[root != start], minlength=n) > 0
-        at, d = at[loose[start[at]]], d + 1
-    return out
-
-
-def agreeing(classes: DataFrame, bits: np.ndarray, key: str | None = None) -> DataFrame:
-    """key, id for each row (fp, id) and each of bits (masks x places): hashes of what a fingerprint has at a mask's
-    places, and of the old key where there is one."""
-
-    def run(batches):
-        for b in batches:
-            fps = b.column(0).to_pylist()
-            if not fps:
-                continue
-            x = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
-            old = b.column(2).to_numpy(zero_copy_only=False).view(np.uint64) if key else np.zeros(len(fps), np.uint64)
-            for i, places in enumerate(bits):
-                part = np.zeros((len(fps), 8), np.uint8)
-                packed = np.packbits(x[:, places], axis=1)
-                part[:, : packed.shape[1]] = packed
-                h = mixed(mixed(part.view(np.uint64)[:, 0] + old) + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64)))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(1)], ["key", "id"])
-
-    return classes.select("fp", "id", *([key] if key else [])).mapInArrow(run, "key long, id long")
-
-
-def similar(classes: DataFrame, similarity: float = 0.8, recall: float = 0.9, most: int = 4096, seed: int = 1) -> DataFrame:
-    """(a, b): links between fingerprints `fp` of WIDE bits, all different, whose distance says `similarity` or more.
-
-    Keys are grouped with a hash of the fingerprint alone; rows whose key no other shares stay there, the rest get their
-    fingerprints back by that hash, and as each pair is verified, hashes that coincide do no harm. A group of over `most`
-    rows that agree is not compared in one task: its rows are held against one of them, chosen by a hash that differs from
-    mask to mask, and what isn't similar to it is dealt again under longer masks.
-    """
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = max(classes.count(), 2)
-    radius = int(WIDE * differ + math.sqrt(WIDE * differ * (1 - differ)))  # one deviation beyond, as it is an estimate
-    k = min(60, max(12, math.ceil(math.log2(n)) + 3))
-    masks = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** k))
-    r = np.random.default_rng(seed)
-    draw = lambda m, size: np.array([r.choice(WIDE, size, replace=False) for _ in range(m)])
-    known = stored(classes.select("fp", F.xxhash64("fp").alias("id")))
-    rows, found = stored(agreeing(known, draw(masks, k))), None
-
-    def run(batches):
-        for group, fps in whole_groups(batches):
-            links = spanning_bytes(group, fps, radius)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([x for _, x in links], pa.binary())], ["a", "b"])
-
-    def measure(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (1, 3))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.bitwise_count(x ^ y).sum(axis=1).astype(np.int32))], ["key", "fp", "id", "center", "apart"])
-
-    while True:
-        sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-        live = lambda s: rows.join(s.select("key"), "key").join(known, "id").select("key", "fp", "id")
-        few = live(sizes.filter(F.col("size") <= most)).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a binary, b binary")
-        found = few if found is None else found.unionByName(few)
-        if not sizes.filter(F.col("size") > most).limit(1).count():
-            break
-        hot = stored(live(sizes.filter(F.col("size") > most)))
-        centers = cut(hot.groupBy("key").agg(F.min_by("fp", F.xxhash64("key", "fp")).alias("center")))
-        hot = stored(hot.join(centers, "key").filter("fp <> center").select("key", "fp", "id", "center").mapInArrow(measure, "key long, fp binary, id long, center binary, apart int"))
-        found = found.unionByName(hot.filter(F.col("apart") <= radius).select(F.col("fp").alias("a"), F.col("center").alias("b")))
-        rows = stored(agreeing(hot.filter(F.col("apart") > radius), draw(4, 16), "key"))
-    return cut(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-
-
 def named_classes(prints: DataFrame, order: list[str], tree_of) -> DataFrame:
     """fp and rep for each fingerprint of prints: the least (order) of all rows of its class.
 
@@ -438,36 +300,3 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, most: int
     # a table of its own, so that the last join deals both its sides anew and Spark can split a frequent fingerprint
     whole = stored(named_classes(prints, ["none", "doc_id"], lambda classes: links(classes, radius, most)))
     return prints.join(whole, "fp").select("doc_id", "fp", F.col("rep.doc_id").alias("component_id"))
-
-
-def digests(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, digest, fp: a text's SHA-256 and its fingerprint of WIDE bits; null counts as empty."""
-
-    def run(batches):
-        for b in batches:
-            data = [x or b"" for x in as_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(x).digest() for x in data], pa.binary()), pa.array([wide_fingerprint(x, width) for x in data], pa.binary())], ["doc_id", "digest", "fp"])
-
-    return texts(docs).mapInArrow(run, "doc_id long, digest binary, fp binary")
-
-
-def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9, most: int = 4096) -> DataFrame:
-    """The rows of docs, same columns, that stand for their class of similar texts: one row of each, with the least id.
-
-    Texts are similar if the distance of their fingerprints says that `similarity` of their shingles of `width` words
-    agree. Null ids come last; among rows of an id the least digest of a text decides, so that an id that repeats with
-    other texts leads several classes; of equal rows one stays. Null and empty texts are one class. Other columns,
-    whatever their names, don't matter.
-    """
-    prints = cut(digests(docs, width)).withColumn("none", F.col("doc_id").isNull())
-    whole = stored(named_classes(prints, ["none", "doc_id", "digest"], lambda classes: similar(classes, similarity, recall, most)))
-    kept = whole.select("rep").distinct()
-    # how often a kept (id, text) stands in docs: counted over its class's fingerprint, so nothing but kept rows is grouped
-    times = cut(prints.select("doc_id", "digest").join(kept.select(F.col("rep.doc_id").alias("k_id"), F.col("rep.digest").alias("k_digest")), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest"))).groupBy("k_id", "k_digest").agg(F.count(F.lit(1)).alias("times")))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("digest"))
-    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest"))
-    once = rows.join(times.filter("times = 1"), same, "left_semi").select("row.*")
-    if not times.filter("times > 1").limit(1).count():
-        return once
-    again = rows.join(times.filter("times > 1"), same, "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
-    return once.unionByName(again)

@@ -78,75 +78,8 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_keep_one(spark):
-    _, docs = rows(spark)
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    ids = sorted(r.doc_id for r in kept.collect())
-    assert ids in ([4, 11, 20, 30], [4, 7, 11, 20, 30])
-    plain = docs.filter("doc_id is not null and doc_id <> 20")
-    assert sorted(r.doc_id for r in simhash.keep_one(plain).collect()) == [i for i in ids if i != 20]
-    assert simhash.keep_one(docs.filter("doc_id is null").union(docs.filter("doc_id is null"))).count() == 1
-
-
 def test_thresholds_follow_the_principle():
     for m in (2, 3, 4):
         parts = simhash.correlated_parts(np.full((64, 64), 25.0) + np.diag(np.full(64, 25.0)), 100, m)
         assert sorted(itertools.chain(*parts)) == list(range(64))
     assert F is not None
-
-
-def jaccard(a, b, width=5):
-    x, y = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.lower().split(), b.lower().split()))
-    return len(x & y) / len(x | y)
-
-
-@pytest.mark.parametrize("most", [6, 4096])
-def test_similar_texts_meet_and_others_do_not(spark, most):
-    r = random.Random(11)
-    word = lambda: "".join(r.choices("abcdefghij", k=6))
-    texts = []
-    for _ in range(60):
-        base = [word() for _ in range(150)]
-        for _ in range(5):
-            copy = list(base)
-            for _ in range(r.randrange(3)):
-                copy[r.randrange(len(copy))] = word()
-            texts.append(" ".join(copy))
-        texts.append(" ".join(base[:75] + [word() for _ in range(75)]))
-    texts = sorted(set(texts))
-    prints = [simhash.wide_fingerprint(t.encode()) for t in texts]
-    frame = spark.createDataFrame([(bytearray(p),) for p in sorted(set(prints))], "fp binary").repartition(3)
-    root = {bytes(x.node): bytes(x.root) for x in simhash.components(simhash.similar(frame, most=most)).collect()}
-    linked = lambda i, j: root.get(prints[i], prints[i]) == root.get(prints[j], prints[j])
-    near, far = [], []
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        v = jaccard(texts[i], texts[j])
-        near += [(i, j)] if v >= 0.85 else []
-        far += [(i, j)] if v < 0.6 else []
-    assert len(near) > 200 and sum(linked(i, j) for i, j in near) >= 0.97 * len(near)
-    assert not any(linked(i, j) for i, j in far)
-
-
-def test_spanning_links_connect_what_is_close():
-    r = np.random.default_rng(3)
-    group = np.repeat([0, 1, 2], [1, 200, 60])
-    base = r.integers(0, 256, 32, dtype=np.uint8)
-    x = np.array([base] * 261)
-    for i in range(201, 261):
-        x[i] = r.integers(0, 256, 32, dtype=np.uint8)
-    for i in range(1, 201):
-        x[i, r.integers(0, 32)] ^= 1 << r.integers(0, 8)
-    fps = np.array([v.tobytes() for v in x], object)
-    links = simhash.spanning_bytes(group, fps, 4)
-    assert {a for a, _ in links} | {b for _, b in links} <= set(fps[1:201].tolist()) and len(links) == 199
-    assert simhash.spanning_bytes(np.zeros(1, int), fps[:1], 4) == []
-
-
-def test_keep_one_of_ids_that_repeat(spark):
-    a, b = "one text of several words that stands here for itself", "quite a different text of other words which stands alone too"
-    rows = [(1, a, "x"), (1, b, "x"), (2, a, "y"), (None, b, "z"), (None, None, "n"), (None, "", "n"), (3, a.upper(), "u"), (1, b, "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(3)
-    kept = sorted((str(r.doc_id), r.text or "") for r in simhash.keep_one(docs).collect())
-    assert kept == sorted([("1", a), ("1", b), ("None", "")]) or kept == sorted([("1", a), ("1", b), ("None", None or "")])
-    assert simhash.keep_one(docs.limit(0)).count() == 0
