@@ -1,8 +1,8 @@
 """A corpus pipeline over documents; every stage reads what the one before it has written.
 
 1. language ID: documents whose language isn't told go (no letters, or a posterior under one half)
-2. near duplicates: of each class of texts of which 0.8 of the five-word shingles agree, by the distance of their
-   fingerprints, the document with the smallest id stays
+2. near duplicates: of each class of texts of which 0.8 of the five-word shingles agree, found by SimHash and by bands of
+   minima and verified on whole texts, the document with the smallest id stays
 3. decontamination: documents that benchmark windows cover by a twentieth or more go
 4. secrets: found spans are replaced by their kind, documents stay
 5. packing: one row per piece of the documents' token ids, with its place in a sequence
@@ -14,7 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenequarry.llm import decontam, langid, packing, secrets, simhash
+from scenequarry.llm import decontam, langid, packing, secrets, similar
 from scenequarry.llm.common import is_held_out, read, shared_folder, ship
 
 
@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
