@@ -7,10 +7,12 @@ texts that agree in ROWS minima of rehashed shingles. A pair of similarity s sha
 
 Verification. Texts that share a group get the sets of their shingles, and a pair counts if the sets themselves are as
 similar as asked. A group of up to `most` texts is compared in one task through an inverted list of its shingles; texts
-that links connect already are not compared again. In a larger group some texts, one of each component known so far, are
-compared with all others; whatever isn't one component then is dealt again, under as many bands of new minima within the
-group, so that a pair at the limit meets again with the same probability. Every round takes its centres out of a group,
-so it ends without a limit on what a group holds.
+that links connect already are not compared again. Larger groups are compared in chunks. First every text meets some centres of
+its largest group, which makes one component of most copies of a text. Where few texts of a group stay outside its
+largest component, these are compared with all others, and the group is done. Where many do, some texts of different
+components are compared with all others and taken out, and the rest is dealt again under as many bands of new minima
+within the group, so that a pair at the limit meets again with the same probability, and rounds end without a limit on
+what a group holds.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ WIDTH = 5
 BANDS, ROWS = 8, 5
 #: Texts that a task compares with one another, and shingles that it holds for it, unless there are only two texts.
 MOST, WEIGHT = 512, 1 << 21
-#: Texts of a larger group that all its others are compared with in a round.
-CENTERS = 8
+#: Of a larger group: texts that a task compares with its centres, centres of a round, and texts outside the largest
+#: component that may all be centres.
+CHUNK, CENTERS, OUTSIDE = 512, 8, 512
 #: Bytes of a text's digest that name it.
 NAME = 16
 EMPTY = np.zeros(1, np.uint64)
@@ -109,23 +112,23 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame
     return rows.mapInArrow(run, "id binary, data binary")
 
 
-def spanning(sets: list[np.ndarray], share: Fraction) -> list[tuple[int, int]]:
-    """Pairs of places that connect whatever pairs of sets as similar as `share` connect."""
+def spanning(sets: list[np.ndarray], share: Fraction, centers: list[int] | None = None) -> list[tuple[int, int]]:
+    """Pairs of places that connect whatever pairs of sets as similar as `share` connect; with centres, pairs with one."""
     n, sizes = len(sets), np.array([len(x) for x in sets])
     tokens, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(inverse, kind="stable")
     holder = np.repeat(np.arange(n), sizes)[order]
     first = np.searchsorted(inverse[order], np.arange(len(tokens) + 1))
     at, root, out = np.append(0, np.cumsum(sizes)), np.arange(n), []
-    for i in range(n - 1):
-        if (root[i + 1 :] == root[i]).all():
+    for i in range(n - 1) if centers is None else centers:
+        if (root[i + 1 if centers is None else 0 :] == root[i]).all():
             continue
         own = inverse[at[i] : at[i + 1]]
         lens = first[own + 1] - first[own]
         places = np.repeat(first[own] - np.append(0, np.cumsum(lens)[:-1]), lens) + np.arange(lens.sum())
         common = np.bincount(holder[places], minlength=n)
         near = common * share.denominator >= (sizes[i] + sizes - common) * share.numerator
-        near[: i + 1] = False
+        near[: i + 1 if centers is None else 0] = False
         for j in np.flatnonzero(near):
             if root[i] != root[j]:
                 out.append((i, int(j)))
@@ -133,19 +136,23 @@ def spanning(sets: list[np.ndarray], share: Fraction) -> list[tuple[int, int]]:
     return out
 
 
-def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[bytes]]]:
-    """ids and data of one key at a time, from batches (key, id, data) sorted by key."""
-    key, ids, data = None, [], []
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
+    """The other columns' values of one key at a time, from batches sorted by key, the first column."""
+    key, held = None, []
     for b in batches:
-        for k, i, d in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-            if k != key and ids:
-                yield ids, data
-                ids, data = [], []
+        for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if k != key and held:
+                yield tuple(zip(*held, strict=True))
+                held = []
             key = k
-            ids.append(i)
-            data.append(d)
-    if ids:
-        yield ids, data
+            held.append(row)
+    if held:
+        yield tuple(zip(*held, strict=True))
+
+
+def links_of(ids: tuple[bytes, ...], data: tuple[bytes, ...], share: Fraction, centers: list[int] | None = None) -> pa.RecordBatch:
+    found = spanning([np.frombuffer(d, np.uint64) for d in data], share, centers)
+    return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.binary()), pa.array([ids[j] for _, j in found], pa.binary())], ["a", "b"])
 
 
 def compared(rows: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
@@ -153,31 +160,25 @@ def compared(rows: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
 
     def run(batches):
         for ids, data in groups(batches):
-            found = spanning([np.frombuffer(d, np.uint64) for d in data], share)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.binary()), pa.array([ids[j] for _, j in found], pa.binary())], ["a", "b"])
+            yield links_of(ids, data, share)
 
     return rows.join(sets, "id").select("key", "id", "data").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a binary, b binary")
 
 
 def beside(rows: DataFrame, centers: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """Links (a, b) between each row (key, id) and the centres (key, center) of its group."""
-    c = stored(centers.join(sets.select(F.col("id").alias("center"), F.col("data").alias("other")), "center"))
+    """Links (a, b) between each row (key, id, n, weight) and the centres (key, id) of its group, chunk by chunk of its n rows."""
+    chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("weight") / WEIGHT)).cast("int")
+    mine = rows.select(F.xxhash64("key", F.pmod(F.xxhash64("id"), chunks).cast("int")).alias("part"), "id", F.lit(False).alias("center"))
+    sizes = rows.groupBy("key").agg(F.max("n").alias("n"), F.max("weight").alias("weight"))
+    theirs = centers.join(sizes, "key").select("key", "id", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")).select(F.xxhash64("key", "chunk").alias("part"), "id", F.lit(True).alias("center"))
+    both = mine.unionByName(theirs).groupBy("part", "id").agg(F.max("center").alias("center"))
 
     def run(batches):
-        for b in batches:
-            a, z = [], []
-            for i, d, c, other in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                x, y = np.frombuffer(d, np.uint64), np.frombuffer(other, np.uint64)
-                short, long = (x, y) if len(x) < len(y) else (y, x)
-                at = np.searchsorted(long, short)
-                common = int((long[np.minimum(at, len(long) - 1)] == short).sum())
-                if common * share.denominator >= (len(x) + len(y) - common) * share.numerator:
-                    a.append(i)
-                    z.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(z, pa.binary())], ["a", "b"])
+        for ids, data, center in groups(batches):
+            if any(center):
+                yield links_of(ids, data, share, [i for i, x in enumerate(center) if x])
 
-    return rows.join(c, "key").filter("id <> center").join(sets, "id").select("id", "data", "center", "other").mapInArrow(run, "a binary, b binary")
+    return both.join(sets, "id").select("part", "id", "data", "center").repartition("part").sortWithinPartitions("part", "id").mapInArrow(run, "a binary, b binary")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -211,6 +212,12 @@ def named_by(found: DataFrame) -> DataFrame:
     return tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("id"), F.col("root").alias("comp"))
 
 
+def some_centers(rows: DataFrame) -> DataFrame:
+    """key, id of CENTERS texts of each group of rows (key, id, comp), of different components."""
+    place = F.pmod(F.xxhash64("comp"), F.lit(CENTERS)).alias("place")
+    return rows.groupBy("key", place).agg(F.min_by("id", F.xxhash64("key", "id")).alias("id")).select("key", "id")
+
+
 def similar(docs: DataFrame, known: DataFrame, similarity: float = 0.8, width: int = WIDTH, most: int = MOST, weight: int = WEIGHT) -> DataFrame:
     """Links (a, b), a > b, that connect the texts known (id, doc_id, size, fp, keys) as far as candidates reach."""
     share = Fraction(similarity).limit_denominator(1000)
@@ -223,7 +230,7 @@ def similar(docs: DataFrame, known: DataFrame, similarity: float = 0.8, width: i
     while True:
         sizes = shared(rows)
         few = stored(rows.join(sizes.filter(small), "key").select("key", "id"))
-        hot = stored(rows.join(sizes.filter(~small), "key").select("key", "id", "size", "comp"))
+        hot = stored(rows.join(sizes.filter(~small), "key").select("key", "id", "size", "comp", "n", "weight"))
         if sets is None:
             wanted = few.select("id").unionByName(hot.select("id")).distinct()
             sets = stored(sets_of(docs, known.join(wanted, "id").select("id", "doc_id"), width))
@@ -231,15 +238,20 @@ def similar(docs: DataFrame, known: DataFrame, similarity: float = 0.8, width: i
         found = stored(ordered(got if found is None else got.unionByName(found)))
         if not hot.limit(1).count():
             return found
-        # texts of CENTERS different components, one of each that has no other's place
-        place = F.pmod(F.xxhash64("comp"), F.lit(CENTERS)).alias("place")
-        centers = cut(hot.groupBy("key", place).agg(F.min_by("id", F.xxhash64("key", "id")).alias("center")).select("key", "center"))
-        found = stored(ordered(found.unionByName(beside(hot.select("key", "id"), centers, sets, share))))
-        labels = stored(named_by(found))
-        rest = hot.join(centers.withColumnRenamed("center", "id"), ["key", "id"], "left_anti")
-        rest = stored(labelled(rest, labels))
+        largest = stored(hot.groupBy("id").agg(F.max(F.struct("n", "key", "comp", "weight")).alias("g")).select("g.*", "id"))
+        found = stored(ordered(found.unionByName(beside(largest, some_centers(largest), sets, share))))
+        rest = stored(labelled(hot, named_by(found)))
+        of_comp = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
+        split = of_comp.groupBy("key").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max(F.struct("n", "weight", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
+        many = (F.col("n") - F.col("top.n") > OUTSIDE) | (F.col("weight") - F.col("top.weight") > weight)
+        split = cut(split.filter("comps > 1").select("key", "n", "weight", F.col("top.comp").alias("top"), many.alias("many")))
+        rest = stored(rest.join(split, "key").select("key", "id", "size", "comp", "n", "weight", "top", "many"))
+        outside = rest.filter("not many and comp <> top").select("key", "id")
+        centers = cut(outside.unionByName(some_centers(rest.filter("many"))))
+        found = stored(ordered(found.unionByName(beside(rest, centers, sets, share))))
+        rest = rest.filter("many").select("key", "id", "size").join(centers, ["key", "id"], "left_anti")
         level += 1
-        rows = stored(labelled(dealt_again(rest.join(shared(rest).select("key"), "key", "left_semi"), sets, level), labels))
+        rows = stored(labelled(dealt_again(rest, sets, level), named_by(found)))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = WIDTH, most: int = MOST, weight: int = WEIGHT) -> DataFrame:
