@@ -81,31 +81,32 @@ def suppress_in_rounds(dets: DataFrame, limit: float = 0.9, by: str = "image_id"
     """
     from ..plans.tables import cut
 
+    box = [by, "det_id"]
     a = dets.select(by, F.col("det_id").alias("i"), F.col("score").alias("si"), g.struct(g.box()).alias("bi"), *cells(limit, near=True))
     b = dets.select(by, F.col("det_id").alias("j"), F.col("score").alias("sj"), g.struct(g.box()).alias("bj"), *cells(limit))
     a, b = (x.select("*", F.explode("xs").alias("cx")).select("*", F.explode("ys").alias("cy")).drop("xs", "ys") for x in (a, b))
     earlier = (F.col("si") > F.col("sj")) | ((F.col("si") == F.col("sj")) & (F.col("i") < F.col("j")))
     met = a.join(b, [by, "cx", "cy"])
-    conflicts = cut(met.filter(earlier & (g.iou(g.box(F.col("bi")), g.box(F.col("bj")), 0, 1e-5) > limit)).select("i", "j", "sj"))
-    left = cut(dets.select("det_id"))
+    conflicts = cut(met.filter(earlier & (g.iou(g.box(F.col("bi")), g.box(F.col("bj")), 0, 1e-5) > limit)).select(by, "i", "j", "sj"))
+    left = cut(dets.select(by, "det_id"))
     kept = None
     while True:
-        now = cut(left.join(conflicts.select(F.col("j").alias("det_id")).distinct(), "det_id", "left_anti"))
+        now = cut(left.join(conflicts.select(by, F.col("j").alias("det_id")).distinct(), box, "left_anti"))
         kept = now if kept is None else kept.unionByName(now)
-        gone = conflicts.join(now.select(F.col("det_id").alias("i")), "i").select(F.col("j").alias("det_id")).distinct()
-        left = cut(left.join(now, "det_id", "left_anti").join(gone, "det_id", "left_anti"))
+        gone = conflicts.join(now.withColumnRenamed("det_id", "i"), [by, "i"]).select(by, F.col("j").alias("det_id")).distinct()
+        left = cut(left.join(now, box, "left_anti").join(gone, box, "left_anti"))
         if not left.limit(1).count():
             break
-        conflicts = cut(conflicts.join(left.select(F.col("det_id").alias("i")), "i", "left_semi").join(left.select(F.col("det_id").alias("j")), "j", "left_semi"))
+        conflicts = cut(conflicts.join(left.withColumnRenamed("det_id", "i"), [by, "i"], "left_semi").join(left.withColumnRenamed("det_id", "j"), [by, "j"], "left_semi"))
         if conflicts.count() <= few:
             dropped = set()
-            for r in conflicts.orderBy(F.desc("sj"), "j").collect():
-                if r.i not in dropped:
-                    dropped.add(r.j)
-            lost = dets.sparkSession.createDataFrame([(x,) for x in dropped], left.schema)
-            kept = kept.unionByName(left.join(lost, "det_id", "left_anti"))
+            for r in conflicts.orderBy(by, F.desc("sj"), "j").collect():
+                if (r[by], r.i) not in dropped:
+                    dropped.add((r[by], r.j))
+            lost = dets.sparkSession.createDataFrame(list(dropped), left.schema)
+            kept = kept.unionByName(left.join(lost, box, "left_anti"))
             break
-    return dets.join(kept, "det_id", "left_semi")
+    return dets.join(kept, box, "left_semi")
 
 
 def suppress_same_label(dets: DataFrame, limit: float = 0.9) -> DataFrame:

@@ -6,10 +6,8 @@ prefers them. Phrase words come without a parser: words that aren't stop words,
 
 from __future__ import annotations
 
-import difflib
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,51 +107,47 @@ def combined_models(dets: DataFrame, limit: float = 0.65, dice: float = 0.75) ->
     return got.select("image_id", "det_id", F.transform("l", lambda v: v["label"]).alias("labels"))
 
 
-def rejoined_words(phrase: Column, words: set[str]) -> Column:
-    """Fragments of a phrase joined, one after the other, until they are a word of the dictionary; the rest stays joined."""
-    from pyspark.sql import SparkSession
+def rejoined_words(rows: DataFrame, phrase: str, words: DataFrame) -> DataFrame:
+    """rows with `rejoined`: fragments of the phrase joined to the shortest run that is a word of the table (word), from
+    the first fragment on, then from the one behind that run; where none begins, all that is left is joined.
 
-    known = SparkSession.active().sparkContext.broadcast(frozenset(words))
+    Phrases are distinct texts that meet the table on runs no longer than its longest word.
+    """
+    known = words.select(F.col("word").alias("__run")).filter(F.length("__run") > 0).distinct()
+    longest = known.agg(F.max(F.length("__run"))).first()[0] or 0
+    fragments = F.filter(F.split(F.col("__p"), r"\s+"), lambda f: f != "")
+    said = rows.select(F.col(phrase).alias("__p")).filter("__p is not null").distinct().withColumn("f", fragments)
+    starts = said.select("__p", "f", F.posexplode("f").alias("i", "__first"))
+    ends = F.sequence(F.col("i"), F.least(F.size("f"), F.col("i") + max(longest, 1)) - 1)
+    runs = starts.select("__p", "i", "f", F.explode(ends).alias("j")).select("__p", "i", "j", F.array_join(F.slice("f", F.col("i") + 1, F.col("j") - F.col("i") + 1), "").alias("__run"))
+    nearest = runs.join(known, "__run").groupBy("__p", "i").agg(F.min("j").alias("j")).groupBy("__p").agg(F.map_from_entries(F.collect_list(F.struct("i", "j"))).alias("ends"))
+
+    def step(acc: Column, i: Column) -> Column:
+        end = F.coalesce(F.element_at("ends", i), F.size("f") - 1)
+        joined = F.concat_ws(" ", acc["text"], F.array_join(F.slice("f", i + 1, end - i + 1), ""))
+        return F.when(i == acc["next"], F.struct((end + 1).alias("next"), joined.alias("text"))).otherwise(acc)
 
-    def join(s: str | None) -> str | None:
-        if s is None:
-            return None
-        out, held = [], ""
-        for w in s.split():
-            held += w
-            if held in known.value:
-                out.append(held)
-                held = ""
-        return " ".join([*out, held] if held else out)
+    begin = F.struct(F.lit(0).alias("next"), F.lit(None).cast("string").alias("text"))
+    places = F.when(F.size("f") > 0, F.sequence(F.lit(0), F.size("f") - 1)).otherwise(F.array().cast("array<int>"))
+    done = said.join(nearest, "__p", "left").select("__p", F.aggregate(places, begin, step, lambda acc: F.coalesce(acc["text"], F.lit(""))).alias("rejoined"))
+    return rows.join(done, F.col(phrase) == F.col("__p"), "left").drop("__p")
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(join)
 
-    return run(phrase)
+def pairs_of_characters(s: Column) -> Column:
+    n = F.length(s)
+    return F.when(n > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(s, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
 
 
 def best_phrase(phrases: Column, caption: Column) -> Column:
-    """Of several readings of a phrase: the first if all are equal, else the first whose words stand in a row in the
-    caption, else the one most like the caption (matching blocks)."""
-
-    def pick(options, text):
-        if options is None or not len(options):
-            return None
-        if all(o == options[0] for o in options):
-            return options[0]
-        tokens = re.findall(r"\b\w+\b", text or "")
-        for o in options:
-            t = re.findall(r"\b\w+\b", o)
-            if any(tokens[i : i + len(t)] == t for i in range(len(tokens))):
-                return " ".join(t)
-        return max(options, key=lambda o: difflib.SequenceMatcher(None, o, text or "").ratio())
-
-    @F.pandas_udf("string")
-    def run(options: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([pick(o, t) for o, t in zip(options, text, strict=True)], dtype=object)
-
-    return run(phrases, caption)
+    """Of several readings of a phrase: the first if all are equal, else the words of the first that stand in a row in the
+    caption, else the reading that shares most of its pairs of characters with it (Dice), the first of equal ones."""
+    words = lambda s: F.regexp_extract_all(s, F.lit(r"((?U)\w+)"), 1)
+    said = F.coalesce(caption, F.lit(""))
+    found = F.filter(phrases, lambda p: x.contains_run(words(said), words(p)))
+    all_of = pairs_of_characters(said)
+    shared = lambda p: 2.0 * F.size(F.array_intersect(pairs_of_characters(p), all_of)) / F.greatest(F.size(pairs_of_characters(p)) + F.size(all_of), F.lit(1))
+    ranked = F.transform(phrases, lambda p, i: F.struct(shared(p).alias("shared"), (-i).alias("place"), p.alias("p")))
+    return F.when(F.size(F.array_distinct(phrases)) == 1, F.get(phrases, F.lit(0))).when(F.size(found) > 0, F.array_join(words(F.get(found, F.lit(0))), " ")).otherwise(F.array_max(ranked)["p"])
 
 
 def noun_phrases(caption: Column, stop: list[str] | None = None) -> Column:

@@ -1,4 +1,4 @@
-"""Queries over captions and phrases: conversations give an image's caption (turn 1) and its phrases (turn 0)."""
+"""Queries over captions and phrases: every two turns of a conversation are an image, its phrases (even) and caption (odd)."""
 
 from __future__ import annotations
 
@@ -14,11 +14,11 @@ from .registry import fold_sql, iou_sql, query
 from .tables import read
 
 WORDS = r"regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)"
-TURNS = rf"cap AS (SELECT conv_id AS image_id, lower(trim(text)) AS caption, {WORDS} AS cw FROM conversations WHERE turn = 1), src AS (SELECT conv_id AS image_id, {WORDS} AS w FROM conversations WHERE turn = 0)"
+TURNS = rf"cap AS (SELECT conv_id * 1000 + turn // 2 AS image_id, lower(trim(text)) AS caption, {WORDS} AS cw FROM conversations WHERE turn % 2 = 1), src AS (SELECT conv_id * 1000 + turn // 2 AS image_id, {WORDS} AS w FROM conversations WHERE turn % 2 = 0)"
 
 
 def turn(spark, sf, n):
-    return read(spark, sf, "conversations").filter(F.col("turn") == n).select(F.col("conv_id").alias("image_id"), "text", x.words(F.lower("text")).alias("w"))
+    return read(spark, sf, "conversations").filter(F.col("turn") % 2 == n).select((F.col("conv_id") * 1000 + F.floor(F.col("turn") / 2)).alias("image_id"), "text", x.words(F.lower("text")).alias("w"))
 
 
 def captions(spark, sf):
@@ -118,16 +118,28 @@ def x14(spark, sf):
     return both.select("image_id", F.get(gr.phrases_of(long, F.col("v")), 0).alias("first"))
 
 
-@query("x4_rejoined_words", f"WITH {TURNS} SELECT image_id, 'the of with ' || w[1] AS phrase FROM src WHERE len(w) > 0")
+@query("x4_rejoined_words", f"""WITH RECURSIVE t AS (SELECT conv_id, turn, {WORDS} AS w FROM conversations), d AS (SELECT word FROM (SELECT DISTINCT conv_id, turn, unnest(w) AS word FROM t) GROUP BY word HAVING count(*) >= 3),
+fr AS (SELECT conv_id, turn, string_split(array_to_string(list_transform(w, lambda v: CASE WHEN length(v) > 3 THEN substr(v, 1, 2) || ' ' || substr(v, 3) ELSE v END), ' '), ' ') AS f FROM t WHERE len(w) > 0),
+st AS (SELECT conv_id, turn, f, unnest(range(0, len(f))) AS i FROM fr), rn AS (SELECT conv_id, turn, f, i, unnest(range(i, least(len(f), i + (SELECT max(length(word)) FROM d)))) AS j FROM st),
+e AS (SELECT conv_id, turn, i, min(j) AS j FROM rn JOIN d ON word = array_to_string(f[i + 1:j + 1], '') GROUP BY ALL), sg AS MATERIALIZED (SELECT st.*, coalesce(e.j, len(f) - 1) AS j FROM st LEFT JOIN e USING (conv_id, turn, i)),
+wk AS (SELECT conv_id, turn, i, j, f FROM sg WHERE i = 0 UNION ALL SELECT s.conv_id, s.turn, s.i, s.j, s.f FROM wk JOIN sg s ON s.conv_id = wk.conv_id AND s.turn = wk.turn AND s.i = wk.j + 1)
+SELECT conv_id, turn, string_agg(array_to_string(f[i + 1:j + 1], ''), ' ' ORDER BY i) AS phrase FROM wk GROUP BY ALL""")
 def x4(spark, sf):
-    rows = turn(spark, sf, 0).filter(F.size("w") > 0)
-    return rows.select("image_id", gr.rejoined_words(F.concat(F.lit("t he of w it h "), F.get("w", 0)), {"the", "of", "with"}).alias("phrase"))
+    """Longer words of every turn in two fragments, against the words that three turns or more have."""
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", x.words(F.lower("text")).alias("w")).filter(F.size("w") > 0)
+    words = rows.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").count().filter("count >= 3").select("word")
+    broken = F.transform("w", lambda v: F.when(F.length(v) > 3, F.concat_ws(" ", F.substring(v, 1, 2), F.substring(v, F.lit(3), F.length(v)))).otherwise(v))
+    return gr.rejoined_words(rows.select("conv_id", "turn", F.array_join(broken, " ").alias("said")), "said", words).select("conv_id", "turn", F.col("rejoined").alias("phrase"))
 
 
-@query("x5_best_phrase")
+CHARACTERS = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
+DICE = f"2.0 * len(list_intersect({CHARACTERS}, {CHARACTERS.format('s')})) / greatest(len({CHARACTERS}) + len({CHARACTERS.format('s')}), 1)"
+
+
+@query("x5_best_phrase", f"WITH {TURNS}, o AS (SELECT image_id, array_to_string(cw, ' ') AS s, cw[1] || ' ' || cw[3] AS a, cw[2] || ' ' || cw[1] || 's' AS b FROM cap WHERE len(cw) > 2) SELECT image_id, CASE WHEN a = b THEN a WHEN contains(' ' || s || ' ', ' ' || a || ' ') THEN a WHEN contains(' ' || s || ' ', ' ' || b || ' ') THEN b WHEN {DICE.format('b')} > {DICE.format('a')} THEN b ELSE a END AS phrase FROM o")
 def x5(spark, sf):
     rows = turn(spark, sf, 1).filter(F.size("w") > 2)
-    options = F.array(F.concat(F.get("w", 0), F.lit(" nowhere")), F.concat_ws(" ", F.get("w", 0), F.get("w", 1)))
+    options = F.array(F.concat_ws(" ", F.get("w", 0), F.get("w", 2)), F.concat(F.concat_ws(" ", F.get("w", 1), F.get("w", 0)), F.lit("s")))
     return rows.select("image_id", gr.best_phrase(options, F.array_join("w", " ")).alias("phrase"))
 
 
