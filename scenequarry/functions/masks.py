@@ -53,3 +53,34 @@ def encode(pixels: DataFrame, keys: list[str], order: list[str], value: str) ->
     whole = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("run", "n"))).alias("r"), F.sum("n").alias("size"))
     counts = F.transform("r", lambda x: x["n"])
     return whole.select(*keys, F.when(F.col("r")[0]["run"] == 0, counts).otherwise(F.concat(F.array(F.lit(0).cast("long")), counts)).alias("counts"), "size")
+
+
+def packed(counts: Column) -> Column:
+    """Run lengths as the COCO string: from the fourth on as differences to those two before, each in groups of five bits
+    from the lowest, a sixth bit saying that more follow, as characters from '0' on."""
+    number = F.transform(counts, lambda c, i: F.when(i > 2, c - F.get(counts, i - 2)).otherwise(c).cast("long"))
+
+    def characters(d: Column) -> Column:
+        groups = F.lit(1)
+        for k in range(7):
+            groups = groups + F.when((d >= (16 << 5 * k)) | (d < -(16 << 5 * k)), 1).otherwise(0)
+        bits = lambda k: F.call_function("shiftright", d, k * 5).bitwiseAND(F.lit(31))
+        return F.array_join(F.transform(F.sequence(F.lit(0), groups - 1), lambda k: F.char(F.lit(48) + bits(k) + F.when(k < groups - 1, 32).otherwise(0))), "")
+
+    return F.array_join(F.transform(number, characters), "")
+
+
+def unpacked(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, counts of masks written as COCO strings; empty strings have no runs and give no row.
+
+    Differences are summed by a window over every second number, so long masks stay linear.
+    """
+    parts = rows.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit("([P-o]*[0-O])"), 1)).alias("pos", "part"))
+    n = F.length("part")
+    code = lambda k: F.ascii(F.substring(F.col("part"), k + 1, F.lit(1))).cast("long") - 48
+    low = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda acc, k: acc + F.call_function("shiftleft", code(k).bitwiseAND(F.lit(31)), k * 5))
+    below = F.when(code(n - 1).bitwiseAND(F.lit(16)) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), n * 5)).otherwise(F.lit(0).cast("long"))
+    turn = F.when(F.col("pos") == 0, -1).otherwise(F.col("pos") % 2).alias("turn")
+    w = Window.partitionBy(*keys, "turn").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    each = parts.select(*keys, "pos", turn, (low - below).alias("d")).withColumn("c", F.sum("d").over(w))
+    return each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "c"))), lambda s: s["c"]).alias("counts"))

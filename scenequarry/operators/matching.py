@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import text as x
 
 
 def first_match(left: DataFrame, right: DataFrame, left_id: str, right_order: str, limit: float, pixel: int = 1) -> DataFrame:
@@ -119,7 +120,6 @@ def run_matches(docs: DataFrame, labels: DataFrame, doc_id: str, label_id: str)
 
     Pairs meet on the label's rarest word and are then verified; an empty label is in every document and isn't asked.
     """
-    from ..functions import text as x
 
     at, keys = rarest_words(docs, labels.filter(F.size("words") > 0), doc_id, label_id)
     near = at.join(keys, "word").select(doc_id, label_id).distinct()
@@ -155,3 +155,14 @@ def spans_anywhere(captions: DataFrame, phrases: DataFrame, caption_id: str, phr
     if near is None:
         near = captions.select(caption_id).limit(0).join(phrases.select(phrase_id).limit(0), F.lit(False))
     return with_span(near.join(phrases, phrase_id).join(captions, caption_id).filter(F.col("caption").contains(F.col("phrase"))))
+
+
+def best_of_own(objects: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """key, label, similarity: of an object's own labels the one most like it by cosine, the least of equal ones.
+
+    objects (key, vector, labels); names (label, vector). Objects meet their own labels alone; labels without a vector
+    don't count.
+    """
+    asked = objects.select(key, "vector", F.explode(F.array_distinct("labels")).alias("label"))
+    near = asked.join(names.select("label", F.col("vector").alias("__name")), "label").select(key, "label", x.cosine(F.col("vector"), F.col("__name")).alias("similarity"))
+    return near.groupBy(key).agg(F.min(F.struct((-F.col("similarity")).alias("less"), "label")).alias("b")).select(key, "b.label", (-F.col("b.less")).alias("similarity"))
