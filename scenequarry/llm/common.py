@@ -88,6 +88,13 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return cut(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text"))
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, so that what Python makes of them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes | None]:
     """UTF-8 of each text, None for null, without decoding."""
     for x in column.cast(pa.binary()):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, numbered, stored, texts
+from .common import as_bytes, numbered, parts, stored, texts
 
 BUCKETS = 10_000
 LONGEST = 3
@@ -144,13 +144,6 @@ def bucket_counts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return texts(docs, id_col).mapInArrow(run, "doc_id long, n_words long, n_features long, buckets array<short>, counts array<int>")
 
 
-def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Batches of a few rows, so that what numpy makes of their arrays stays small."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def merged(spilled: DataFrame) -> np.ndarray:
     """How many features each bucket holds over all rows; a task sends one row for each bucket."""
 

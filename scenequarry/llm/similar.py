@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, stored, texts
+from .common import as_bytes, cut, parts, stored, texts
 from .simhash import BITS, SEED, components, links, mixed, word_blocks
 
 WIDTH = 5
@@ -81,7 +81,7 @@ def prints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, id (the text's name), size (its shingles), fp, keys of every row; null counts as empty."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             names, sizes, fps, keys = [], [], [], []
             for x in as_bytes(b.column(1)):
                 h = shingles(x, width)
@@ -106,7 +106,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame
     rows = rows.join(w, (F.col("id") == F.col("w_id")) & F.col("doc_id").eqNullSafe(F.col("w_doc")), "left_semi").select("id", "text").dropDuplicates(["id"])
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, width).tobytes() for x in as_bytes(b.column(1))], pa.binary())], ["id", "data"])
 
     return rows.mapInArrow(run, "id binary, data binary")
@@ -139,7 +139,7 @@ def spanning(sets: list[np.ndarray], share: Fraction, centers: list[int] | None
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
     """The other columns' values of one key at a time, from batches sorted by key, the first column."""
     key, held = None, []
-    for b in batches:
+    for b in parts(batches):
         for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if k != key and held:
                 yield tuple(zip(*held, strict=True))
@@ -193,7 +193,7 @@ def dealt_again(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     """key, id, size, comp under the level's bands within the old groups."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             for old, i, size, d in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 h = mixed(bands(np.frombuffer(d, np.uint64), level) + np.uint64(old & 0xFFFFFFFFFFFFFFFF))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([i] * BANDS, pa.binary()), pa.array([size] * BANDS, pa.int64())], ["key", "id", "size"])
