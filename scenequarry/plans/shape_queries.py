@@ -55,11 +55,11 @@ def a37(spark, sf):
     return rows.select("image_id", r6(raster.stability(F.col("v"), 0.4, 0.2), "stability"))
 
 
-@query("f29_small_regions", f"{W} SELECT det_id, CASE WHEN w * 4 >= 30 THEN w * 4 WHEN w * 4 >= 5 THEN w * 4 ELSE 5 END + CASE WHEN w * 4 < 30 AND w * 4 < 5 THEN 0 ELSE 0 END AS area FROM (SELECT det_id, CAST(l % 9 + 2 AS BIGINT) AS w FROM (SELECT det_id, det_id // 1000 AS l FROM dets WHERE score > 0.9))")
+@query("f29_small_regions", f"{W} SELECT det_id, CASE WHEN w * 4 >= 30 THEN w * 4 WHEN w * 4 >= 5 THEN w * 4 ELSE 5 END + CASE WHEN w * 4 < 30 AND w * 4 < 5 THEN 0 ELSE 0 END AS area FROM (SELECT det_id, CAST(l % 9 + 2 AS BIGINT) AS w FROM (SELECT det_id, det_id // 1000 AS l FROM dets))")
 def f29(spark, sf):
     """A block of 4 rows and a speck of 5 pixels two columns behind it: specks under 8 pixels go."""
     w = (F.floor(F.col("det_id") / 1000) % 9 + 2).cast("int")
-    rows = t.detections(spark, sf).filter("score > 0.9").select("det_id", w.alias("w"))
+    rows = t.detections(spark, sf).select("det_id", w.alias("w"))
     counts = F.concat(F.flatten(F.array_repeat(F.array(F.lit(0), F.lit(4)), 1)), F.flatten(F.array_repeat(F.array(F.lit(2), F.lit(4)), F.col("w") - 1)), F.array(F.lit(2 + 12), F.lit(5), F.lit(1)))
     clean = raster.without_small_regions(counts, F.array(F.lit(6), F.col("w") + 3), 8, False)
     return rows.select("det_id", masks.run_area(clean).alias("area"))
