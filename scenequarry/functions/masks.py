@@ -55,6 +55,36 @@ def encode(pixels: DataFrame, keys: list[str], order: list[str], value: str) ->
     return whole.select(*keys, F.when(F.col("r")[0]["run"] == 0, counts).otherwise(F.concat(F.array(F.lit(0).cast("long")), counts)).alias("counts"), "size")
 
 
+def by_column(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, c, top, bottom: the runs (keys, start, end, height) cut at columns; bottom is exclusive."""
+    h = F.col("height")
+    each = spans.filter("end > start").select("*", F.explode(F.sequence(F.floor(F.col("start") / h), F.floor((F.col("end") - 1) / h))).alias("c"))
+    return each.select(*keys, "c", F.greatest(F.col("start") - F.col("c") * h, F.lit(0)).alias("top"), F.least(F.col("end") - F.col("c") * h, h).alias("bottom"))
+
+
+def targets(spans: DataFrame, boxes: DataFrame, keys: list[str], box_id: str, size: int = 28, share: float = 0.5) -> DataFrame:
+    """keys, box_id, start, end: each box's part of its mask, resampled to size x size cells, as column-major runs.
+
+    A cell is set if the mask covers at least `share` of its area; outside the image nothing is set. spans are the runs of
+    disjoint pixels of masks (keys, start, end, height); boxes (keys, box_id, x1..y2) name theirs by keys. Pieces of
+    columns are moved to cells by arithmetic, so no bitmap is made. Boxes without a set cell, or without area, have no row.
+    """
+    b = boxes.select(*keys, box_id, "x1", "y1", "x2", "y2").filter("x2 > x1 and y2 > y1")
+    met = by_column(spans, keys).join(b, keys)
+
+    def cell(v, low: str, high: str):
+        return F.greatest(F.least((v - F.col(low)) * size / (F.col(high) - F.col(low)), F.lit(float(size))), F.lit(0.0))
+
+    at = {"left": cell(F.col("c"), "x1", "x2"), "right": cell(F.col("c") + 1, "x1", "x2"), "up": cell(F.col("top"), "y1", "y2"), "down": cell(F.col("bottom"), "y1", "y2")}
+    met = met.select(*keys, box_id, *(v.alias(k) for k, v in at.items())).filter("right > left and down > up")
+    over = lambda low, high: F.explode(F.sequence(F.floor(low), F.ceil(high) - 1))
+    met = met.select("*", over("left", "right").alias("j")).select("*", over("up", "down").alias("i"))
+    part = lambda low, high, n: F.least(F.col(high), F.col(n) + 1.0) - F.greatest(F.col(low), F.col(n).cast("double"))
+    area = met.groupBy(*keys, box_id, "j", "i").agg(F.sum(part("left", "right", "j") * part("up", "down", "i")).alias("area"))
+    start = F.col("j") * size + F.col("i")
+    return merged(area.filter(F.round("area", 9) >= share).select(*keys, box_id, start.alias("start"), (start + 1).alias("end")), [*keys, box_id])
+
+
 def packed(counts: Column) -> Column:
     """Run lengths as the COCO string: from the fourth on as differences to those two before, each in groups of five bits
     from the lowest, a sixth bit saying that more follow, as characters from '0' on."""

@@ -102,3 +102,15 @@ def a32_masks(spark, sf):
     runs = masks.runs(coded.withColumn("width", F.ceil(F.col("size") / 8)), [*keys, "width"]).withColumn("height", F.lit(8).cast("long"))
     own = ["user_id", "view", "w"]
     return views.voted(views.flipped_runs(views.flipped_runs(runs, own), own), ["user_id"], "w", F.lit(4.0))
+
+
+@query("m18_mask_targets", f"""{W}, {PX}, on_ AS (SELECT user_id AS image_id, p // 8 AS c, p % 8 AS r FROM px WHERE event_type = 'click'), b AS (SELECT image_id, det_id, x1 / 20 AS x1, y1 / 20 AS y1, x2 / 20 AS x2, y2 / 20 AS y2 FROM dets),
+t AS (SELECT image_id, det_id, (c - x1) * 7 / (x2 - x1) AS l, (c + 1 - x1) * 7 / (x2 - x1) AS r_, (r - y1) * 7 / (y2 - y1) AS u, (r + 1 - y1) * 7 / (y2 - y1) AS d FROM b JOIN on_ USING (image_id)),
+a AS (SELECT image_id, det_id, j * 7 + i AS k, sum((least(r_, j + 1) - greatest(l, j)) * (least(d, i + 1) - greatest(u, i))) AS s FROM t, range(7) x(j), range(7) y(i) WHERE l < j + 1 AND r_ > j AND u < i + 1 AND d > i GROUP BY ALL),
+n AS (SELECT *, k - row_number() OVER (PARTITION BY image_id, det_id ORDER BY k) AS island FROM a WHERE round(s, 9) >= 0.5)
+SELECT image_id, det_id, CAST(min(k) AS BIGINT) AS "start", CAST(max(k) + 1 AS BIGINT) AS "end" FROM n GROUP BY image_id, det_id, island""")
+def m18(spark, sf):
+    """Clicks are the mask, eight pixels a column; boxes of an image take part of its mask to seven cells a side."""
+    coded = masks.encode(pixels(spark, sf).select(F.col("user_id").alias("image_id"), "p", (F.col("event_type") == "click").cast("int").alias("on")), ["image_id"], ["p"], "on")
+    boxes = t.detections(spark, sf).select("image_id", "det_id", *g.columns(g.of(*(F.col(f) / 20 for f in g.FIELDS))))
+    return masks.targets(masks.runs(coded, ["image_id"]).withColumn("height", F.lit(8).cast("long")), boxes, ["image_id"], "det_id", 7)

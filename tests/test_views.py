@@ -6,6 +6,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 from scenequarry.functions import geometry as g
+from scenequarry.functions import masks
 from scenequarry.operators import coders, crops, depth, views
 
 R = random.Random(11)
@@ -134,3 +135,31 @@ def test_votes_are_what_pixels_say(spark):
     assert {(r.k, p) for r in got for p in range(r.start, r.end)} == set(want) and all(r.end > r.start for r in got)
     ends = [(r.k, r.end) for r in got]
     assert not {(r.k, r.start) for r in got} & set(ends)
+
+
+def test_mask_targets_are_what_a_bitmap_says(spark):
+    w, h, size = 9, 6, 4
+    spans, boxes, want, bits = [], [], set(), {}
+    for k in range(5):
+        at, bits[k] = 0, set()
+        while at < w * h:
+            n = R.randrange(1, 8)
+            if R.random() < 0.6:
+                spans.append((k, at, min(at + n, w * h), h))
+                bits[k] |= set(range(at, min(at + n, w * h)))
+            at += n
+    for k in range(5):
+        for b in range(6):
+            x, y = R.randrange(-2, 7), R.randrange(-2, 4)
+            x2, y2 = x + R.choice([1, 2, 4, 8]), y + R.choice([1, 2, 4, 8])
+            boxes.append((k, b, float(x), float(y), float(x2), float(y2)))
+            for j in range(size):
+                for i in range(size):
+                    # sixteenths of a cell fall on whole pixels, since sides are powers of two
+                    inside = [(math.floor(x + (j + (a + 0.5) / 16) * (x2 - x) / size), math.floor(y + (i + (c + 0.5) / 16) * (y2 - y) / size)) for a in range(16) for c in range(16)]
+                    if sum(0 <= px < w and 0 <= py < h and px * h + py in bits[k] for px, py in inside) >= 128:
+                        want.add((k, b, j * size + i))
+    boxes += [(0, 90, 1.0, 1.0, 1.0, 3.0), (9, 91, 0.0, 0.0, 2.0, 2.0)]
+    schema = "k long, b long, x1 double, y1 double, x2 double, y2 double"
+    got = masks.targets(spark.createDataFrame(spans, "k long, start long, end long, height long").repartition(3), spark.createDataFrame(boxes, schema), ["k"], "b", size).collect()
+    assert {(r.k, r.b, p) for r in got for p in range(r.start, r.end)} == want and want
