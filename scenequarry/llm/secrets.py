@@ -29,6 +29,9 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]+", 0, 16),
 ]
+#: Patterns of the kept matches alone: a run of one alphabet ends where the alphabet does, so the least length can stand in
+#: the pattern, and the many short runs of a text need no place.
+KEPT = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 #: A cheap test for whether a text can have a kept match of each pattern at all.
 HINTS = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}"}
 KINDS = ["assign", "access", "hex", "random"]
@@ -98,7 +101,7 @@ def matches(text: Column, pattern: str, keep: Column | None = None, group: int =
 def base_spans(docs: DataFrame) -> DataFrame:
     """docs with one array of (start, end, value) for each base kind; expects a text without nulls in column text."""
     t = F.col("text")
-    return docs.withColumns({kind: matches(t, pattern, t.rlike(HINTS[kind]), group, least) for kind, pattern, group, least in BASE})
+    return docs.withColumns({kind: matches(t, KEPT.get(kind, pattern), t.rlike(HINTS[kind]), group, least) for kind, pattern, group, least in BASE})
 
 
 def counts_of(token: Column) -> Column:
@@ -263,7 +266,7 @@ def kind_by_kind(text: Column, passes: Callable[[Column], Column]) -> Column:
     Marks stand in brackets, which no pattern takes, so that what lies beside a span reads as before.
     """
     for kind, pattern, group, least in BASE:
-        text = let(text, replaced(kind, pattern, group, lambda v, n=least: F.length(v) >= n))
+        text = let(text, replaced(kind, KEPT.get(kind, pattern), group, lambda v, n=least: F.length(v) >= n))
     return let(text, replaced(KINDS[3], TOKEN % LEAST, 0, passes))
 
 
