@@ -13,15 +13,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_sample, labelled_ids, texts, texts_of
+from .common import as_bytes, bounded_sample, labelled_ids, parts, texts, texts_of
 from .toxicity import logistic
 
 PIECE = 1024
 LEVEL = 3
 DICTIONARY = 96 * 1024
-#: Bound of the sample that dictionaries are built from, beside its number of texts: pieces of a labelled text, evenly
-#: spaced over the whole of it. Scoring and calibration read whole texts.
-SPACED = 4
 FEATURES = 2
 
 
@@ -30,7 +27,7 @@ def pieces(data: bytes) -> list[bytes]:
 
 
 def build(samples: list[bytes]) -> bytes:
-    """A dictionary trained on samples; where there are too few, their plain content.
+    """A dictionary trained on samples; where there are too few to train on, all their content as it is.
 
     Training depends on the samples' order, so they are sorted: partitioning and lost tasks don't change the model.
     """
@@ -38,7 +35,7 @@ def build(samples: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-DICTIONARY:] or b" " * 8
+        return b"".join(samples).ljust(8)
 
 
 class Model:
@@ -60,24 +57,20 @@ class Sizes:
         """Normalised difference (bad - good) of the sizes, and the same weighed by evidence."""
         if not data:
             return [0.0] * FEATURES
-        parts = pieces(data)
-        good, bad = (sum(len(z.compress(x)) for x in parts) for z in self.all)
+        cut = pieces(data)
+        good, bad = (sum(len(z.compress(x)) for x in cut) for z in self.all)
         d = 100 * (bad - good) / (bad + good)
         return [d, d * min(1.0, len(data) / PIECE)]
 
 
-def spaced_pieces(rows: DataFrame) -> DataFrame:
-    """label, piece: some pieces of each text, spaced over the whole of it."""
+def all_pieces(rows: DataFrame) -> DataFrame:
+    """label, piece: the pieces of each text, all of it."""
 
     def run(batches):
-        for b in batches:
-            labels, out = [], []
+        for b in parts(batches):
             for label, data in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                parts = pieces(data or b"")
-                for i in range(min(SPACED, len(parts))):
-                    labels.append(label)
-                    out.append(parts[i * len(parts) // min(SPACED, len(parts))])
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(out, pa.binary())], ["label", "piece"])
+                got = pieces(data or b"")
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(got), pa.int32()), pa.array(got, pa.binary())], ["label", "piece"])
 
     return rows.select("label", "text").mapInArrow(run, "label int, piece binary")
 
@@ -95,7 +88,7 @@ def measured(rows: DataFrame, good: bytes, bad: bytes) -> DataFrame:
     return rows.mapInArrow(run, f"{key} {kind}, x array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column, most: int = 12_000, for_dictionaries: int = 2_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, keep: Column, most: int = 12_000, for_dictionaries: int = 500) -> Model:
     """Fits on labelled rows where `keep` holds: dictionaries on about `for_dictionaries` of each label, the calibration
     on others, about `most` in all, chosen by a hash of the id. A label's rows are halved where they are few, so that no
     row serves for both.
@@ -109,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, most: int = 12_000,
         return Model(b" " * 8, b" " * 8, np.append(np.log(rate / (1 - rate)), np.zeros(FEATURES)))
     h = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("label") == 1, min(0.5, for_dictionaries / totals[1])).otherwise(min(0.5, for_dictionaries / totals[0]))
-    first = spaced_pieces(texts_of(docs, ids.filter(h < share))).collect()  # for_dictionaries x 2 x SPACED pieces
+    first = all_pieces(texts_of(docs, ids.filter(h < share))).collect()  # the texts of for_dictionaries rows of each label
     good, bad = (build([bytes(r.piece) for r in first if r.label == x]) for x in (1, 0))
     rest = texts_of(docs, bounded_sample(ids.filter(h >= share), F.col("doc_id"), most))
     got = measured(rest, good, bad).collect()  # `most` rows of a few numbers
