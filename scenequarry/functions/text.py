@@ -81,7 +81,9 @@ def tagged(caption: Column, spans: Column, before: str = "<p> ", after: str = "
 
 
 def phrases_in_tags(s: Column) -> Column:
-    return F.transform(F.regexp_extract_all(s, F.lit(r"<p>(.*?)</p>"), F.lit(1)), F.trim)
+    """What stands between <p> and </p> in a line, which ends at \\n alone; blanks of any kind go at both ends."""
+    trimmed = lambda v: F.regexp_replace(v, r"\A\p{Zs}+|(?<!\p{Zs})\p{Zs}+\z", "")
+    return F.transform(F.regexp_extract_all(s, F.lit(r"<p>([^\n]*?)</p>"), F.lit(1)), trimmed)
 
 
 def cleaned(s: Column) -> Column:
