@@ -134,20 +134,29 @@ def rejoined_words(rows: DataFrame, phrase: str, words: DataFrame) -> DataFrame:
 
 
 def pairs_of_characters(s: Column) -> Column:
-    n = F.length(s)
-    return F.when(n > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(s, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    """The different pairs of neighbouring characters, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(s, F.lit(r"(?s)(?=(..))."), F.lit(1)))
 
 
 def best_phrase(phrases: Column, caption: Column) -> Column:
     """Of several readings of a phrase: the first if all are equal, else the words of the first that stand in a row in the
-    caption, else the reading that shares most of its pairs of characters with it (Dice), the first of equal ones."""
-    words = lambda s: F.regexp_extract_all(s, F.lit(r"((?U)\w+)"), 1)
+    caption, else the reading that shares most of its pairs of characters with it (Dice), the first of equal ones.
+
+    What is taken from the caption is bound once for all readings, and each step is linear in the caption.
+    """
+    words = lambda s: F.regexp_extract_all(s, F.lit(r"((?U)\w+)"), F.lit(1))
+    apart = lambda s: F.concat(F.lit(" "), F.array_join(F.transform(words(s), lambda w: F.concat(w, F.lit(" "))), ""))
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
     said = F.coalesce(caption, F.lit(""))
-    found = F.filter(phrases, lambda p: x.contains_run(words(said), words(p)))
-    all_of = pairs_of_characters(said)
-    shared = lambda p: 2.0 * F.size(F.array_intersect(pairs_of_characters(p), all_of)) / F.greatest(F.size(pairs_of_characters(p)) + F.size(all_of), F.lit(1))
-    ranked = F.transform(phrases, lambda p, i: F.struct(shared(p).alias("shared"), (-i).alias("place"), p.alias("p")))
-    return F.when(F.size(F.array_distinct(phrases)) == 1, F.get(phrases, F.lit(0))).when(F.size(found) > 0, F.array_join(words(F.get(found, F.lit(0))), " ")).otherwise(F.array_max(ranked)["p"])
+    found = bound(apart(said), lambda row: F.get(F.filter(phrases, lambda p: row.contains(apart(p))), F.lit(0)))
+
+    def rank(all_of: Column) -> Column:
+        shared = lambda own: 2.0 * F.size(F.array_intersect(own, all_of)) / F.greatest(F.size(own) + F.size(all_of), F.lit(1))
+        ranked = F.transform(phrases, lambda p, i: F.struct(bound(pairs_of_characters(p), shared).alias("shared"), (-i).alias("place"), p.alias("p")))
+        return F.array_max(ranked)["p"]
+
+    in_a_row = bound(found, lambda p: F.coalesce(F.array_join(words(p), " "), bound(pairs_of_characters(said), rank)))
+    return F.when(F.size(F.array_distinct(phrases)) == 1, F.get(phrases, F.lit(0))).otherwise(in_a_row)
 
 
 def noun_phrases(caption: Column, stop: list[str] | None = None) -> Column:

@@ -1,10 +1,22 @@
 """Texts of many words, and line ends and blanks beyond ASCII."""
 
+import time
+
 from pyspark.sql import functions as F
 from scenequarry.functions import text as x
+from scenequarry.operators import grounding
 
 
 def test_phrases_in_tags_end_at_newlines_alone(spark):
     html = "<p> a\rb </p><p>c d\x85</p><p>  e f　</p><p>g\nh</p><p>  </p>"
     row = spark.createDataFrame([(html,), (None,)], "h string").select(x.phrases_in_tags(F.col("h")).alias("p")).collect()
     assert row[0].p == ["a\rb", "c d\x85", "e f", ""] and row[1].p is None
+
+
+def test_best_phrase_is_linear_in_the_caption(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(["w5 w6", "w6 w5"], long), (["w9 w5s", "w5 w29999s"], long), (["x\U0001f600y", "\U0001f600yx"], "\U0001f600yxq"), (["", "a"], "b"), (["a", "b"], None)]
+    start = time.monotonic()
+    got = spark.createDataFrame(rows, "o array<string>, c string").select(grounding.best_phrase(F.col("o"), F.col("c")).alias("b")).collect()
+    assert [r.b for r in got] == ["w5 w6", "w5 w29999s", "\U0001f600yx", "", "a"]
+    assert time.monotonic() - start < 20
