@@ -7,7 +7,9 @@ prefers them. Phrase words come without a parser: words that aren't stop words,
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,20 +109,59 @@ def combined_models(dets: DataFrame, limit: float = 0.65, dice: float = 0.75) ->
     return got.select("image_id", "det_id", F.transform("l", lambda v: v["label"]).alias("labels"))
 
 
-def rejoined_words(rows: DataFrame, phrase: str, words: DataFrame) -> DataFrame:
+def rejoined_words(rows: DataFrame, phrase: str, words: DataFrame, most: int = 8 << 20) -> DataFrame:
     """rows with `rejoined`: fragments of the phrase joined to the shortest run that is a word of the table (word), from
     the first fragment on, then from the one behind that run; where none begins, all that is left is joined.
 
-    Phrases are distinct texts that meet the table on runs no longer than its longest word.
+    A table of up to `most` characters goes to the tasks, which walk each phrase once, so phrases aren't shuffled. Phrases
+    meet a larger one by a join of their runs.
     """
-    known = words.select(F.col("word").alias("__run")).filter(F.length("__run") > 0).distinct()
-    longest = known.agg(F.max(F.length("__run"))).first()[0] or 0
+    from ..plans.tables import cut
+
+    known = cut(words.select(F.col("word").alias("__run")).filter(F.length("__run") > 0).distinct())
+    size, longest = known.agg(F.sum(F.octet_length("__run")), F.max(F.length("__run"))).first()
+    if (size or 0) > most:
+        return joined_runs(rows, phrase, known, longest)
+    sent = rows.sparkSession.sparkContext.broadcast({r[0] for r in known.collect()})  # of `most` characters at most
+
+    @F.pandas_udf("string")
+    def walk(said: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = sent.value
+        sizes = {len(w) for w in table}
+        last = max(sizes, default=0)
+
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            f = [v for v in re.split(r"[ \t\n\x0b\f\r]+", text) if v]
+            out, i = [], 0
+            while i < len(f):
+                end, n = len(f), 0
+                for j in range(i, len(f)):
+                    n += len(f[j])
+                    if n > last:
+                        break
+                    if n in sizes and "".join(f[i : j + 1]) in table:
+                        end = j + 1
+                        break
+                out.append("".join(f[i:end]))
+                i = end
+            return " ".join(out)
+
+        for series in said:
+            yield pd.Series([one(v) for v in series], dtype=object)
+
+    return rows.withColumn("rejoined", walk(F.col(phrase)))
+
+
+def joined_runs(rows: DataFrame, phrase: str, known: DataFrame, longest: int) -> DataFrame:
+    """rejoined_words by a join: runs of no more characters than the longest word, keyed by their text's digest."""
     fragments = F.filter(F.split(F.col("__p"), r"\s+"), lambda f: f != "")
-    said = rows.select(F.col(phrase).alias("__p")).filter("__p is not null").distinct().withColumn("f", fragments)
-    starts = said.select("__p", "f", F.posexplode("f").alias("i", "__first"))
-    ends = F.sequence(F.col("i"), F.least(F.size("f"), F.col("i") + max(longest, 1)) - 1)
-    runs = starts.select("__p", "i", "f", F.explode(ends).alias("j")).select("__p", "i", "j", F.array_join(F.slice("f", F.col("i") + 1, F.col("j") - F.col("i") + 1), "").alias("__run"))
-    nearest = runs.join(known, "__run").groupBy("__p", "i").agg(F.min("j").alias("j")).groupBy("__p").agg(F.map_from_entries(F.collect_list(F.struct("i", "j"))).alias("ends"))
+    said = rows.select(F.col(phrase).alias("__p")).filter("__p is not null").select(F.unhex(F.sha2("__p", 256)).alias("__h"), "__p").groupBy("__h").agg(F.first("__p").alias("__p")).withColumn("f", fragments)
+    starts = said.select("__h", "f", F.posexplode("f").alias("i", "__first")).filter(F.length("__first") <= longest)
+    ends = F.sequence(F.col("i"), F.least(F.size("f"), F.col("i") + longest) - 1)
+    runs = starts.select("__h", "i", "f", F.explode(ends).alias("j")).select("__h", "i", "j", F.array_join(F.slice("f", F.col("i") + 1, F.col("j") - F.col("i") + 1), "").alias("__run")).filter(F.length("__run") <= longest)
+    nearest = runs.join(known, "__run").groupBy("__h", "i").agg(F.min("j").alias("j")).groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct("i", "j"))).alias("ends"))
 
     def step(acc: Column, i: Column) -> Column:
         end = F.coalesce(F.element_at("ends", i), F.size("f") - 1)
@@ -129,8 +170,8 @@ def rejoined_words(rows: DataFrame, phrase: str, words: DataFrame) -> DataFrame:
 
     begin = F.struct(F.lit(0).alias("next"), F.lit(None).cast("string").alias("text"))
     places = F.when(F.size("f") > 0, F.sequence(F.lit(0), F.size("f") - 1)).otherwise(F.array().cast("array<int>"))
-    done = said.join(nearest, "__p", "left").select("__p", F.aggregate(places, begin, step, lambda acc: F.coalesce(acc["text"], F.lit(""))).alias("rejoined"))
-    return rows.join(done, F.col(phrase) == F.col("__p"), "left").drop("__p")
+    done = said.join(nearest, "__h", "left").select("__h", F.aggregate(places, begin, step, lambda acc: F.coalesce(acc["text"], F.lit(""))).alias("rejoined"))
+    return rows.withColumn("__h", F.unhex(F.sha2(phrase, 256))).join(done, "__h", "left").drop("__h")
 
 
 def pairs_of_characters(s: Column) -> Column:
