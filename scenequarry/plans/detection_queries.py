@@ -117,7 +117,7 @@ def a1(spark, sf):
 @query("a1_suppression_in_rounds", f"""{W}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS rk FROM dets),
 {fold_sql('r', 'image_id', iou_sql('k', 'e', 0, '1e-5') + ' > 0.6')} SELECT r.image_id, r.det_id FROM r JOIN kept USING (image_id, rk)""")
 def a1_rounds(spark, sf):
-    return d.suppress_in_rounds(t.detections(spark, sf), 0.6).select("image_id", "det_id")
+    return d.suppress_in_rounds(t.detections(spark, sf).select("image_id", "det_id", "score", *g.FIELDS), 0.6).select("image_id", "det_id")
 
 
 @query("a2_suppression_by_label", f"""{W}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y2 DESC, det_id) AS rk FROM dets),
