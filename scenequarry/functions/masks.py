@@ -6,6 +6,9 @@ ends exclusive, so that areas, unions and intersections are interval arithmetic
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +47,81 @@ def overlaps(a: DataFrame, b: DataFrame, on: list[str], a_key: str, b_key: str)
     return x.join(y, on).filter("s1 < e2 and s2 < e1").groupBy(*on, a_key, b_key).agg(F.sum(shared).alias("inter"))
 
 
+def overlaps_within(spans: DataFrame, on: list[str], key: str, weight: int = 1 << 15) -> DataFrame:
+    """on, key, other, inter: shared pixels of every two masks of a group that meet, once, key < other; runs of a mask are disjoint.
+
+    A group's masks are dealt to chunks of about `weight` runs, and every two chunks are a task's work of their own, so a
+    large group is spread and no task holds more than two chunks and their pairs.
+    """
+    each = spans.filter("end > start").groupBy(*on, key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("r"))
+    each = each.select(*on, key, F.col("r.start").alias("start"), F.col("r.end").alias("end"))
+    total = each.groupBy(*on).agg(F.ceil(F.sum(F.size("start") + 16) / weight).cast("int").alias("chunks"))
+    dealt = each.join(total, on).withColumn("chunk", F.pmod(F.xxhash64(key), F.col("chunks")).cast("int"))
+    met = dealt.select(*on, key, "start", "end", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("partner"))
+    met = met.select(*on, key, "start", "end", F.least("chunk", "partner").alias("low"), F.greatest("chunk", "partner").alias("high"), (F.col("chunk") <= F.col("partner")).alias("left"))
+    kinds = dict(spans.dtypes)
+
+    def pairs(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        if group["low"][0] == group["high"][0]:
+            a = b = group
+        else:
+            a, b = group.filter(group["left"]), group.filter(pc.invert(group["left"]))
+        i, j, inter = _meeting(*_flat(a), *_flat(b))
+        x, y = a[key].to_numpy()[i], b[key].to_numpy()[j]
+        if a is b:
+            ok = x < y
+            x, y, inter = x[ok], y[ok], inter[ok]
+        low, high = np.where(x < y, x, y), np.where(x < y, y, x)
+        same = {c: pa.array([group[c][0].as_py()] * len(low), group[c].type) for c in on}
+        return pa.table({**same, key: pa.array(low, group[key].type), "other": pa.array(high, group[key].type), "inter": pa.array(inter, pa.int64())})
+
+    names = ", ".join(f"{c} {kinds[c]}" for c in on)
+    # a number given, as little is shuffled for the work that it makes, and small partitions would be put together
+    met = met.repartition(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on, "low", "high")
+    return met.groupBy(*on, "low", "high").applyInArrow(pairs, f"{names}, {key} {kinds[key]}, other {kinds[key]}, inter long")
+
+
+def _flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all masks in a row, and where each mask begins."""
+    start, end = (pa.concat_arrays(rows[c].chunks) if rows.num_rows else pa.array([], pa.list_(pa.int64())) for c in ("start", "end"))
+    sizes = pc.list_value_length(start).to_numpy(zero_copy_only=False).astype(int)
+    return start.flatten().to_numpy(), end.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _meeting(start, end, at, start2, end2, at2, dense: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of masks of both sides that meet and their shared pixels.
+
+    With the pixels that a mask has before a place, its share of a run is a difference of two such numbers. Of few places
+    these differences are a product of matrices; of many they are looked up, a mask at a time. Both are whole numbers.
+    """
+    n, m = len(at) - 1, len(at2) - 1
+    if not n or not m:
+        return (np.empty(0, int),) * 3
+    places = np.unique(np.concatenate([start2, end2]))
+
+    def before(i, where):
+        s, e = start[at[i] : at[i + 1]], end[at[i] : at[i + 1]]
+        covered = np.concatenate([[0], np.cumsum(e - s)])
+        k = np.searchsorted(s, where, side="right")
+        return covered[k] - np.where(k > 0, np.maximum(e[np.maximum(k - 1, 0)] - where, 0), 0)
+
+    if len(places) <= dense:
+        run = np.zeros((len(places), m))
+        which = np.repeat(np.arange(m), np.diff(at2))
+        np.add.at(run, (np.searchsorted(places, end2), which), 1)
+        np.add.at(run, (np.searchsorted(places, start2), which), -1)
+        inter = np.rint(np.stack([before(i, places) for i in range(n)]).astype(float) @ run).astype(np.int64)
+        i, j = np.nonzero(inter)
+        return i, j, inter[i, j]
+    out = []
+    for i in range(n):
+        inter = np.add.reduceat(before(i, end2) - before(i, start2), at2[:-1])
+        j = np.flatnonzero(inter)
+        out.append((np.full(len(j), i), j, inter[j]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def encode(pixels: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """keys, counts, size: run lengths of a 0/1 column in order, the first of zeros."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -179,7 +179,7 @@ def g16(spark, sf):
 @query("j22_g4_mask_overlap", f"WITH {BITS}, po AS (SELECT user_id, user_id % 10 AS image_id, b, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS p FROM bits) SELECT a.user_id AS a, c.user_id AS b, CAST(count(*) AS BIGINT) AS inter FROM po a JOIN po c ON a.image_id = c.image_id AND a.user_id < c.user_id AND a.p = c.p WHERE a.b = 1 AND c.b = 1 GROUP BY ALL")
 def j22(spark, sf):
     runs = masks.runs(encoded(spark, sf), ["user_id"]).withColumn("image_id", F.col("user_id") % 10)
-    return masks.overlaps(runs.withColumnRenamed("user_id", "a"), runs.withColumnRenamed("user_id", "b"), ["image_id"], "a", "b").filter("a < b").select("a", "b", "inter")
+    return masks.overlaps_within(runs, ["image_id"], "user_id").select(F.col("user_id").alias("a"), F.col("other").alias("b"), "inter")
 
 
 @query("a31_mask_union", f"WITH {BITS}, po AS (SELECT user_id % 10 AS image_id, b, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS p FROM bits) SELECT image_id, CAST(count(DISTINCT p) AS BIGINT) AS area FROM po WHERE b = 1 GROUP BY 1")
