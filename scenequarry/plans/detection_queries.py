@@ -414,9 +414,14 @@ def g11(spark, sf):
 MAXIOU = f"q AS (SELECT p.image_id, p.det_id, g.gt_id, {iou_sql('p', 'g', 0, '1e-6')} AS o FROM preds p JOIN gts g ON p.image_id = g.image_id), b AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY image_id, det_id ORDER BY o DESC, gt_id) = 1), f AS (SELECT image_id, det_id, max(gt_id) AS forced FROM (SELECT *, max(o) OVER (PARTITION BY image_id, gt_id) AS top FROM q) WHERE o = top AND o >= 0.3 GROUP BY ALL), asg AS (SELECT p.*, CASE WHEN forced IS NOT NULL THEN forced + 1 WHEN b.o >= 0.5 THEN b.gt_id + 1 WHEN coalesce(b.o, 0) < 0.4 THEN 0 ELSE -1 END AS gt, b.o AS o FROM preds p LEFT JOIN b USING (image_id, det_id) LEFT JOIN f USING (image_id, det_id))"
 
 
+def priors(spark, sf, *more):
+    """Predictions with no more columns than an assigner needs, as it carries all that it is given."""
+    return t.predictions(spark, sf).select("image_id", "det_id", *g.FIELDS, *more)
+
+
 @query("m1_assign_by_overlap", f"{W}, {t.TRUTHS}, {MAXIOU} SELECT image_id, det_id, CAST(gt AS BIGINT) AS gt FROM asg")
 def m1(spark, sf):
-    return assign.by_overlap(t.predictions(spark, sf), t.truths(spark, sf)).select("image_id", "det_id", "gt")
+    return assign.by_overlap(priors(spark, sf), t.truths(spark, sf)).select("image_id", "det_id", "gt")
 
 
 @query("m3_adaptive_assign", f"""{W}, {t.TRUTHS}, q AS (SELECT p.image_id, p.det_id, p.model_id % 2 AS level, g.gt_id, {iou_sql('p', 'g', 0, '1e-6')} AS o, sqrt(pow((p.x1 + p.x2) / 2 - (g.x1 + g.x2) / 2, 2) + pow((p.y1 + p.y2) / 2 - (g.y1 + g.y2) / 2, 2)) AS far, ((p.x1 + p.x2) / 2 - g.x1 > 0.01 AND (p.y1 + p.y2) / 2 - g.y1 > 0.01 AND g.x2 - (p.x1 + p.x2) / 2 > 0.01 AND g.y2 - (p.y1 + p.y2) / 2 > 0.01) AS inside FROM preds p JOIN gts g ON p.image_id = g.image_id),
@@ -443,18 +448,18 @@ def m11(spark, sf):
 
 @query("m12_random_sample")
 def m12(spark, sf):
-    return assign.sample(assign.by_overlap(t.predictions(spark, sf), t.truths(spark, sf)), 8, 0.25).groupBy("image_id", "role").agg(F.count(F.lit(1)).alias("n"))
+    return assign.sample(assign.by_overlap(priors(spark, sf), t.truths(spark, sf)), 8, 0.25).groupBy("image_id", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("m15_hardest", f"{W}, {t.TRUTHS}, {MAXIOU}, h AS (SELECT image_id, det_id, CASE WHEN gt > 0 THEN 'pos' WHEN gt = 0 THEN 'neg' END AS role, score FROM asg WHERE gt >= 0) SELECT image_id, det_id, role FROM h QUALIFY row_number() OVER (PARTITION BY image_id, role ORDER BY score DESC, det_id) <= CASE role WHEN 'pos' THEN 2 ELSE 6 END")
 def m15(spark, sf):
-    return assign.hardest(assign.by_overlap(t.predictions(spark, sf), t.truths(spark, sf)), 8, 0.25, "score").select("image_id", "det_id", "role")
+    return assign.hardest(assign.by_overlap(priors(spark, sf, "score"), t.truths(spark, sf)), 8, 0.25, "score").select("image_id", "det_id", "role")
 
 
 @query("m4_least_cost_assignment")
 def m4(spark, sf):
-    pairs = m.pairs_of(t.predictions(spark, sf), t.truths(spark, sf), "det_id", "gt_id", 0, 1e-6)
-    return assign.least_cost(pairs.select("image_id", "det_id", "gt_id", (1 - F.col("overlap")).alias("cost")), "det_id", "gt_id").groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("cost"), "cost"))
+    got = assign.least_cost(t.predictions(spark, sf), t.truths(spark, sf), "det_id", "gt_id", lambda p, q: 1 - g.iou_arrays(p[:, :, None], q[:, None, :], 0, 1e-6))
+    return got.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("cost"), "cost"))
 
 
 @query("g22_anchors", "SELECT CAST(l AS BIGINT) AS level, CAST(k // w AS BIGINT) AS y, CAST(k % w AS BIGINT) AS x, (k % w) * s - side * s / 2 AS x1, (k // w) * s + side * s / 2 AS y2 FROM (VALUES (0, 8, 12, 8), (1, 4, 6, 16)) v(l, h, w, s), LATERAL (SELECT unnest(range(0, h * w)) AS k) c, (VALUES (4.0), (8.0)) z(side)")

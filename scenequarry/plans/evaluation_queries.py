@@ -8,7 +8,7 @@ from ..functions import geometry as g
 from ..operators import assign, evaluation as ev, matching as m, metrics as mt
 from . import scene_queries  # noqa: F401  (its SQL is extended here)
 from . import tables as t
-from .detection_queries import MAXIOU, W, r6
+from .detection_queries import MAXIOU, W, priors, r6
 from .registry import ORACLE_SQL, iou_sql, query
 from .tables import read
 
@@ -149,5 +149,5 @@ def g12(spark, sf):
 
 @query("m17_z22_all_sampled", f"{W}, {t.TRUTHS}, {MAXIOU} SELECT image_id, count(*) FILTER (WHERE gt > 0) AS positives, count(*) FILTER (WHERE gt = 0) AS negatives FROM asg WHERE gt >= 0 GROUP BY 1")
 def m17(spark, sf):
-    got = ev.all_sampled(assign.by_overlap(t.predictions(spark, sf), t.truths(spark, sf)))
+    got = ev.all_sampled(assign.by_overlap(priors(spark, sf), t.truths(spark, sf)))
     return got.groupBy("image_id").agg(F.count_if("positive").alias("positives"), F.count_if(~F.col("positive")).alias("negatives"))

@@ -11,7 +11,7 @@ from ..operators import matching as m
 from ..operators import metrics as mt
 from ..operators import mixing
 from . import tables as t
-from .detection_queries import AP, MAXIOU, NEAREST, SEEDS, W, hits, r6, totals
+from .detection_queries import AP, MAXIOU, NEAREST, SEEDS, W, hits, priors, r6, totals
 from .registry import area_sql, fold_sql, iou_sql, query
 from .tables import read
 
@@ -196,8 +196,8 @@ def f20(spark, sf):
 
 @query("m2_best_of_approximations", f"{W}, {t.TRUTHS} SELECT p.image_id, p.model_id AS square, g.gt_id, round(max({iou_sql('p', 'g', 0, '1e-6')}), 6) AS overlap FROM preds p JOIN gts g ON p.image_id = g.image_id GROUP BY ALL")
 def m2(spark, sf):
-    pairs = m.pairs_of(t.predictions(spark, sf).withColumn("k", F.struct("det_id", "model_id")), t.truths(spark, sf), "k", "gt_id", 0, 1e-6)
-    return pairs.groupBy("image_id", F.col("k.model_id").alias("square"), "gt_id").agg(r6(F.max("overlap"), "overlap"))
+    got = m.best_of_groups(t.predictions(spark, sf).withColumnRenamed("model_id", "square"), t.truths(spark, sf), "square", "gt_id", 0, 1e-6)
+    return got.withColumn("overlap", r6(F.col("overlap"), "overlap"))
 
 
 @query("m8_point_levels", f"{W}, {t.TRUTHS} SELECT gt_id, CAST(greatest(0, least(4, floor((log2((x2 - x1) / 4) + log2((y2 - y1) / 4)) / 2))) AS BIGINT) AS level FROM gts")
@@ -208,14 +208,13 @@ def m8(spark, sf):
 
 @query("m14_balanced_negatives")
 def m14(spark, sf):
-    got = assign.by_overlap(t.predictions(spark, sf), t.truths(spark, sf))
-    best = m.pairs_of(t.predictions(spark, sf), t.truths(spark, sf), "det_id", "gt_id", 0, 1e-6).groupBy("image_id", "det_id").agg(F.max("overlap").alias("overlap"))
-    return assign.balanced_negatives(got.join(best, ["image_id", "det_id"]), 6).groupBy("image_id", "bin").agg(F.count(F.lit(1)).alias("n"))
+    got = assign.by_overlap(priors(spark, sf), t.truths(spark, sf), overlap="overlap").filter("overlap is not null")
+    return assign.balanced_negatives(got, 6).groupBy("image_id", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("z20_unmap", f"{W}, {t.TRUTHS}, {MAXIOU} SELECT d.det_id, coalesce(a.gt, -1) AS gt FROM dets d LEFT JOIN asg a USING (image_id, det_id)")
 def z20(spark, sf):
-    got = assign.by_overlap(t.predictions(spark, sf), t.truths(spark, sf)).select("image_id", "det_id", "gt")
+    got = assign.by_overlap(priors(spark, sf), t.truths(spark, sf)).select("image_id", "det_id", "gt")
     return t.detections(spark, sf).join(got, ["image_id", "det_id"], "left").select("det_id", F.coalesce("gt", F.lit(-1)).cast("long").alias("gt"))
 
 

@@ -8,7 +8,7 @@ from ..functions import geometry as g
 from ..functions import masks, raster
 from ..operators import assign
 from . import tables as t
-from .detection_queries import MAXIOU, W, r6
+from .detection_queries import MAXIOU, W, priors, r6
 from .registry import iou_sql, query
 
 
@@ -84,7 +84,7 @@ def m5(spark, sf):
 n AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY image_id, gt_id ORDER BY far, det_id) <= 4), b AS (SELECT image_id, det_id, max(gt_id) AS gt_id, max_by(o, gt_id) AS o FROM n GROUP BY ALL), m AS (SELECT image_id, det_id, max(o) AS most FROM q GROUP BY ALL)
 SELECT p.image_id, p.det_id, CASE WHEN b.o < 0.15 THEN -1 WHEN b.gt_id IS NOT NULL THEN b.gt_id + 1 WHEN most > 0.7 THEN -1 ELSE 0 END AS gt FROM preds p LEFT JOIN b USING (image_id, det_id) LEFT JOIN m USING (image_id, det_id)""")
 def m7(spark, sf):
-    return assign.uniform(t.predictions(spark, sf), t.truths(spark, sf)).select("image_id", "det_id", "gt")
+    return assign.uniform(priors(spark, sf), t.truths(spark, sf)).select("image_id", "det_id", "gt")
 
 
 def grid_sql(where):
@@ -106,11 +106,11 @@ def m10(spark, sf):
 
 @query("m13_balanced_positives", f"{W}, {t.TRUTHS}, {MAXIOU} SELECT image_id, least(4, count(*)) AS n FROM asg WHERE gt > 0 GROUP BY 1")
 def m13(spark, sf):
-    got = assign.balanced_positives(assign.by_overlap(t.predictions(spark, sf), t.truths(spark, sf)), 4)
+    got = assign.balanced_positives(assign.by_overlap(priors(spark, sf), t.truths(spark, sf)), 4)
     return got.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("m16_w11_ranked_negatives", f"{W}, {t.TRUTHS}, {MAXIOU}, n AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS n, row_number() OVER (PARTITION BY image_id, label ORDER BY score DESC, det_id) AS place FROM asg WHERE gt = 0), i AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n - place + score DESC, det_id) AS rank FROM n) SELECT image_id, det_id, CAST(rank AS BIGINT) AS rank, round((n - rank + 1) / n, 6) AS weight FROM i WHERE rank <= 3")
 def m16(spark, sf):
-    got = assign.ranked_negatives(assign.by_overlap(t.predictions(spark, sf), t.truths(spark, sf)), 3, "label")
+    got = assign.ranked_negatives(assign.by_overlap(priors(spark, sf, "score", "label"), t.truths(spark, sf)), 3, "label")
     return got.select("image_id", "det_id", F.col("rank").cast("long").alias("rank"), r6(F.col("weight"), "weight"))

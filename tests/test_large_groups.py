@@ -1,8 +1,14 @@
 """Steps that must not keep a large group in one task, one row of Python at a time, or as all its pairs."""
 
+import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
+from scenequarry.functions import geometry as g
 from scenequarry.functions import masks
+from scenequarry.operators import assign
+from scenequarry.operators import matching as m
 
 R = random.Random(9)
 
@@ -29,10 +35,40 @@ def test_masks_of_a_group_meet_in_chunks_of_their_own(spark):
 
 
 def test_pairs_of_masks_are_looked_up_where_places_are_many():
-    import numpy as np
-
     flat = lambda ms: (np.array([s for m in ms for s, _ in m]), np.array([e for m in ms for _, e in m]), np.cumsum([0, *map(len, ms)]))
     ms = [[(0, 4), (6, 9)], [(2, 7)], [(20, 30)], [(8, 25), (26, 27)]]
     few, many = masks._meeting(*flat(ms), *flat(ms)), masks._meeting(*flat(ms), *flat(ms), dense=0)
     assert [x.tolist() for x in few] == [x.tolist() for x in many]
     assert (0, 1, 3) in zip(*(x.tolist() for x in few))
+
+
+def boxes(spark, key, n):
+    rows = [(k % 3, k, x := R.randint(0, 20), y := R.randint(0, 20), x + R.randint(1, 20), y + R.randint(1, 20), k % 2) for k in range(n)]
+    return spark.createDataFrame([(*r[:2], *map(float, r[2:6]), r[6]) for r in rows], f"image_id long, {key} long, x1 double, y1 double, x2 double, y2 double, kind int")
+
+
+def test_pairs_of_an_image_are_neither_joined_nor_sorted_nor_shuffled(spark):
+    a, b = boxes(spark, "det_id", 30), boxes(spark, "gt_id", 20)
+    cost = lambda p, q: 1 - g.iou_arrays(p[:, :, None], q[:, None, :], 0, 1e-6)
+    for got in (assign.by_overlap(a, b), assign.uniform(a, b), assign.least_cost(a, b, "det_id", "gt_id", cost), m.nearest(a, b, "det_id", "gt_id"), m.best_of_groups(a, b, "kind", "gt_id")):
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "Join" not in plan and "Window" not in plan and plan.count("Exchange ") == 1
+
+
+def test_pairs_come_in_parts():
+    kind = pa.list_(pa.struct([("id", pa.int64()), *((c, pa.float64()) for c in g.FIELDS)]))
+    row = lambda *ids: [{"id": i, **dict.fromkeys(g.FIELDS, float(i))} for i in ids]
+    a, b = m.Side(pa.array([row(3, 1), row(), row(5), row(7, 8, 9)], kind), "id"), m.Side(pa.array([row(2, 4), row(6), row(), row(10, 11)], kind), "id")
+    for cells in (1, 3, 100):
+        pairs = [(int(a.box[0, i]), int(b.box[0, j])) for part in a.pairs(b, cells) for i, j in zip(*part, strict=True)]
+        assert pairs == [(1, 2), (1, 4), (3, 2), (3, 4), (7, 10), (7, 11), (8, 10), (8, 11), (9, 10), (9, 11)]
+
+
+def test_matrices_are_solved_together():
+    rng = np.random.default_rng(3)
+    costs = [rng.integers(0, 9, (rng.integers(1, 6), rng.integers(1, 6))).astype(float) for _ in range(80)]
+    for c, (rows, cols) in zip(costs, assign.assignments(costs, 200), strict=True):
+        w = c if c.shape[0] <= c.shape[1] else c.T
+        least = min(sum(w[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(w.shape[1]), w.shape[0]))
+        assert len(set(rows)) == len(set(cols)) == min(c.shape) and c[rows, cols].sum() == least
