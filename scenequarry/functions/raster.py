@@ -82,17 +82,18 @@ def bitmap_of(counts, height: int, width: int) -> np.ndarray:
 
 
 def inside_polygon(xs, ys, height: int, width: int) -> np.ndarray:
-    """Pixels whose center lies inside, by the even-odd rule, a row at a time."""
-    out = np.zeros((height, width), bool)
+    """Pixels whose center lies inside, by the even-odd rule: along a row each edge before a pixel turns it over."""
     xs, ys = np.asarray(xs, float), np.asarray(ys, float)
     x2, y2 = np.roll(xs, -1), np.roll(ys, -1)
-    centers = np.arange(width) + 0.5
-    for row in range(max(0, int(ys.min())), min(height, int(np.ceil(ys.max())))):
-        y = row + 0.5
-        cross = (ys <= y) != (y2 <= y)
-        at = np.sort(xs[cross] + (y - ys[cross]) * (x2[cross] - xs[cross]) / (y2[cross] - ys[cross]))
-        out[row] = np.searchsorted(at, centers, side="right") % 2 == 1
-    return out
+    y = np.arange(height)[:, None] + 0.5
+    row, edge = np.nonzero((ys <= y) != (y2 <= y))
+    at = xs[edge] + (y[row, 0] - ys[edge]) * (x2[edge] - xs[edge]) / (y2[edge] - ys[edge])
+    first = np.clip(np.ceil(at - 0.5), 0, width).astype(int)
+    first += (first < width) & (first + 0.5 < at)
+    first -= (first > 0) & (first - 0.5 >= at)
+    turns = np.zeros((height, width + 1), np.int32)
+    np.add.at(turns, (row, first), 1)
+    return np.cumsum(turns[:, :width], axis=1) % 2 == 1
 
 
 def rasterized(p: Column, height: Column, width: Column) -> Column:
@@ -107,50 +108,80 @@ def rasterized(p: Column, height: Column, width: Column) -> Column:
 
 def labelled(bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers (from 1) of 8-connected components and their sizes, by joining the runs of neighbouring rows."""
-    out, root, rows = np.zeros(bitmap.shape, int), [0], []
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    last = []
-    for r, line in enumerate(bitmap):
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], line.astype(np.int8), [0]])))
-        now = []
-        for a, b in zip(edges[::2], edges[1::2], strict=True):
-            root.append(len(root))
-            k = len(root) - 1
-            for c, d, j in last:
-                if c <= b and a <= d:
-                    root[max(find(j), find(k))] = min(find(j), find(k))
-            now.append((a, b, k))
-            rows.append((r, a, b, k))
-        last = now
-    for r, a, b, k in rows:
-        out[r, a:b] = find(k)
-    names, out = np.unique(out, return_inverse=True)
-    out = out.reshape(bitmap.shape) + (names[0] != 0)
-    return out, np.bincount(out.ravel(), minlength=1)[1:]
-
-
-def without_small_regions(counts: Column, size: Column, least: int, holes: bool) -> Column:
+    turn = np.diff(np.pad(bitmap, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (row, begin), end = np.nonzero(turn == 1), np.nonzero(turn == -1)[1]
+    above, wide = (row - 1) * (bitmap.shape[1] + 2), bitmap.shape[1] + 2
+    low = np.searchsorted(row * wide + end, above + begin)
+    n = np.maximum(np.searchsorted(row * wide + begin, above + end, side="right") - low, 0)
+    a = np.repeat(np.arange(len(row)), n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    root = np.arange(len(row))
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    names, label = np.unique(root, return_inverse=True)
+    out = np.zeros(bitmap.shape, int)
+    out[bitmap] = np.repeat(label + 1, end - begin)
+    return out, np.bincount(label, weights=end - begin, minlength=len(names)).astype(int)
+
+
+def without_small_regions(counts: Column, size: Column, least: int, holes: bool, cells: int = 1 << 22) -> Column:
     """Run lengths of a bitmap with holes filled or islands removed that have fewer pixels than `least`; of islands that
-    are all small the largest stays."""
-
-    def clean(c, s):
-        bitmap = bitmap_of(c, *s)
-        parts, sizes = labelled(~bitmap if holes else bitmap)
-        small = np.flatnonzero(sizes < least) + 1
-        if holes:
-            return runs_of(bitmap | np.isin(parts, small))
-        if len(small) == len(sizes) and len(sizes):
-            small = np.setdiff1d(small, [sizes.argmax() + 1])
-        return runs_of(bitmap & ~np.isin(parts, small))
+    are all small the largest stays, the first by rows of equal ones. Bitmaps are done together, up to `cells` pixels or one."""
 
     @F.pandas_udf("array<int>")
     def run(counts: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None else clean(c, s) for c, s in zip(counts, size, strict=True)], dtype=object)
+        counts, size = counts.tolist(), size.tolist()
+        out, at = [None] * len(counts), [k for k, c in enumerate(counts) if c is not None]
+        area = [int(size[k][0]) * int(size[k][1]) for k in at]
+        while at:
+            n, total = 0, 0
+            while n < len(at) and (not n or total + area[n] <= cells):
+                total, n = total + area[n], n + 1
+            for k, c in zip(at[:n], cleaned([counts[k] for k in at[:n]], np.array([size[k] for k in at[:n]], int), least, holes), strict=True):
+                out[k] = c
+            at, area = at[n:], area[n:]
+        return pd.Series(out, dtype=object)
 
     return run(counts, size)
+
+
+def cleaned(counts: list, size: np.ndarray, least: int, holes: bool) -> list[np.ndarray]:
+    """Run lengths without small regions of bitmaps that stand beside one another, an empty column between them."""
+    height, width = size[:, 0], size[:, 1]
+    n = np.array([len(c) for c in counts])
+    turn = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) % 2 == 1
+    pixels = np.repeat(turn, np.concatenate(counts).astype(int))
+    first = np.concatenate([[0], np.cumsum(width + 1)])  # a mask's first column
+    column = np.repeat(np.arange(len(n)), width + 1)
+    tall = np.where(np.arange(first[-1]) - first[column] < width[column], height[column], 0)
+    there = np.arange(max(height.max(), 1)) < tall[:, None]
+    board = np.zeros(there.shape, bool)
+    board[there] = ~pixels if holes else pixels
+    parts, sizes = labelled(board)
+    small = sizes < least
+    if not holes and len(sizes):
+        x, y = np.nonzero(board)
+        part, mask = parts[board] - 1, column[x]
+        begin = np.full(len(sizes), np.iinfo(np.int64).max)
+        np.minimum.at(begin, part, y * width[mask] + x - first[mask])
+        of = np.zeros(len(sizes), int)
+        of[part] = mask
+        order = np.lexsort((begin, -sizes, of))
+        small[order[np.flatnonzero(np.diff(of[order], prepend=-1))]] = False
+    gone = np.concatenate([[False], small])[parts][there]
+    pixels = pixels | gone if holes else pixels & ~gone
+    area = height * width
+    start = (np.cumsum(area) - area)[area > 0]
+    change = np.concatenate([[True], pixels[1:] != pixels[:-1]]) if len(pixels) else np.zeros(0, bool)
+    change[start] = True
+    at = np.flatnonzero(change)
+    runs = np.diff(np.append(at, len(pixels)))
+    lead = np.searchsorted(at, start)
+    set_first = pixels[start]
+    runs = np.insert(runs, lead[set_first], 0)
+    many = np.zeros(len(n), int)
+    many[area > 0] = np.diff(np.append(lead, len(at))) + set_first
+    return np.split(runs, np.cumsum(many)[:-1])

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 from scenequarry.functions import geometry as g
-from scenequarry.functions import masks
+from scenequarry.functions import masks, raster
 from scenequarry.operators import assign
 from scenequarry.operators import matching as m
 
@@ -72,3 +72,23 @@ def test_matrices_are_solved_together():
         w = c if c.shape[0] <= c.shape[1] else c.T
         least = min(sum(w[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(w.shape[1]), w.shape[0]))
         assert len(set(rows)) == len(set(cols)) == min(c.shape) and c[rows, cols].sum() == least
+
+
+def test_bitmaps_are_cleaned_together():
+    rng = np.random.default_rng(5)
+    bitmaps = [rng.random((h, w)) < 0.35 for h, w in ((5, 7), (1, 1), (9, 4), (3, 12), (6, 6)) * 6] + [np.ones((2, 3), bool), np.zeros((2, 3), bool), np.eye(4, dtype=bool)[::3]]
+    for holes in (False, True):
+        got = raster.cleaned([raster.runs_of(b) for b in bitmaps], np.array([b.shape for b in bitmaps]), 4, holes)
+        for b, c in zip(bitmaps, got, strict=True):
+            parts, sizes = raster.labelled(~b if holes else b)
+            small = np.flatnonzero(sizes < 4) + 1
+            if not holes and len(small) == len(sizes) and len(sizes):
+                small = np.setdiff1d(small, [sizes.argmax() + 1])
+            want = b | np.isin(parts, small) if holes else b & ~np.isin(parts, small)
+            assert c.tolist() == raster.runs_of(want)
+
+
+def test_pixels_on_an_edge_and_beyond_the_bitmap():
+    got = raster.inside_polygon([0.5, 2.5, 2.5, 0.5], [-3, -3, 9, 9], 2, 4)
+    assert got.tolist() == [[True, True, False, False]] * 2
+    assert not raster.inside_polygon([9, 12, 12], [0, 0, 2], 3, 4).any()
