@@ -30,6 +30,29 @@ def curve(hits: DataFrame, totals: DataFrame, by: list[str], on: list[str] | Non
     return out.withColumns({"recall": F.col("ctp") / F.greatest(F.col("n_gt"), F.lit(1e-9)), "precision": F.col("ctp") / F.greatest(F.col("ctp") + F.col("cfp"), F.lit(1e-9))})
 
 
+def hits_over_limits(claims: DataFrame, totals: DataFrame, by: list[str], limits: list[float]) -> DataFrame:
+    """by..., limit, recall, precision of the hits of each limit's curve, and a point at zero for each curve.
+
+    claims: by..., score, det_id, tp_from, tp_to, skip_to (matching.claimed_limits); totals: by..., n_gt. A detection is
+    one row up to its sums over all limits. A miss isn't a point: the hit before it has its recall and more precision.
+    """
+    at = range(len(limits))
+    rows = in_parts(claims.join(totals, by, "left_semi").select(*by, "score", "det_id", "tp_from", "tp_to", "skip_to"), by, [F.desc("score"), F.asc("det_id")])
+    one = {f"t{k}": F.when((F.col("tp_from") <= k) & (F.col("tp_to") > k), 1).otherwise(0) for k in at} | {f"n{k}": F.when(F.col("skip_to") <= k, 1).otherwise(0) for k in at}
+    sums = rows.groupBy(*by, "part").agg(*(F.sum(v).alias(c) for c, v in one.items()))
+    ahead = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = sums.select(*by, "part", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_before") for c in one)).join(totals, by)
+    w = Window.partitionBy(*by, "part").orderBy(F.desc("score"), "det_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({c: F.sum(v).over(w) for c, v in one.items()}).filter("tp_to > tp_from").join(sums, [*by, "part"])
+    of = lambda c: F.get(F.array(*(F.col(f"{c}{k}") + F.col(f"{c}{k}_before") for k in at)), F.col("k"))
+    out = out.withColumn("k", F.explode(F.sequence(F.col("tp_from").cast("int"), F.col("tp_to") - 1)))
+    n = F.greatest(F.col("n_gt"), F.lit(1e-9))
+    limit = F.get(F.array(*(F.lit(x) for x in limits)), F.col("k")).alias("limit")
+    hits = out.select(*by, limit, (of("t") / n).alias("recall"), (of("t") / F.greatest(of("n"), F.lit(1e-9))).alias("precision"))
+    zero = sums.select(*by).distinct().select(*by, F.explode(F.array(*(F.lit(x) for x in limits))).alias("limit"), F.lit(0.0).alias("recall"), F.lit(0.0).alias("precision"))
+    return hits.unionByName(zero)
+
+
 def envelope(points: DataFrame, by: list[str]) -> DataFrame:
     """Adds env, the greatest precision from a point of the curve on: within its range, and of the ranges behind."""
     best = points.groupBy(*by, "part").agg(F.max("precision").alias("m"))

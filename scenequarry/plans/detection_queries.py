@@ -274,14 +274,21 @@ pr AS (SELECT cu.*, n_gt, ctp / n_gt AS recall, ctp / (ctp + cfp) AS precision F
 AP = f"{TP}, en AS (SELECT *, max(precision) OVER (PARTITION BY label ORDER BY score DESC, det_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env, recall - coalesce(lag(recall) OVER (PARTITION BY label ORDER BY score DESC, det_id), 0) AS step FROM pr)"
 
 
-def hits(spark, sf, limit=0.5):
-    return m.true_positives(t.predictions(spark, sf), t.truths(spark, sf), limit, ("image_id", "label"))
+def hits(spark, sf):
+    return m.true_positives(t.predictions(spark, sf), t.truths(spark, sf), 0.5, ("image_id", "label"))
 
 
 def totals(spark, sf):
     return t.truths(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n_gt"))
 
 
+def ap_over_limits(spark, sf):
+    """label, limit, ap: the 101-point precision at ten overlap limits."""
+    limits = [k / 100 for k in range(50, 100, 5)]
+    claims = m.claimed_limits(t.predictions(spark, sf), t.truths(spark, sf), limits, ("image_id", "label"))
+    return mt.interpolated_precision(mt.hits_over_limits(claims, totals(spark, sf), ["label"], limits), ["label", "limit"], 101)
+
+
 @query("j27_true_positives", f"{W}, {t.TRUTHS}, {TP} SELECT label, count(*) AS n, CAST(sum(tp) AS BIGINT) AS tp FROM tpx GROUP BY 1")
 def j27(spark, sf):
     return hits(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("tp").alias("tp"))

@@ -8,7 +8,7 @@ from ..functions import geometry as g
 from ..operators import assign, evaluation as ev, matching as m, metrics as mt
 from . import scene_queries  # noqa: F401  (its SQL is extended here)
 from . import tables as t
-from .detection_queries import MAXIOU, W, priors, r6
+from .detection_queries import MAXIOU, W, ap_over_limits, priors, r6
 from .registry import ORACLE_SQL, iou_sql, query
 from .tables import read
 
@@ -63,10 +63,7 @@ A21 = ORACLE_SQL["a21_ap_over_thresholds"].rsplit(" SELECT label, round(", 1)[0]
 @query("a26_instance_report", f"{A21}, ap AS (SELECT label, k, avg(coalesce(p, 0)) AS ap FROM b GROUP BY ALL) SELECT CASE WHEN grouping(label) = 1 THEN 'all' ELSE label END AS label, round(avg(ap), 6) AS ap, round(avg(ap) FILTER (WHERE k = 50), 6) AS ap50 FROM ap GROUP BY ROLLUP (label)")
 def a26(spark, sf):
     """Mean over ten limits and at 0.5, of each class and of all."""
-    hits = m.true_positives(t.predictions(spark, sf), t.truths(spark, sf), [k / 100 for k in range(50, 100, 5)], KEYS)
-    totals = t.truths(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n_gt"))
-    ap = mt.interpolated_precision(mt.curve(hits, totals, ["label", "limit"], ["label"]), ["label", "limit"], 101)
-    return ev.instance_report(ap).select("label", r6(F.col("ap"), "ap"), r6(F.col("ap50"), "ap50"))
+    return ev.instance_report(ap_over_limits(spark, sf)).select("label", r6(F.col("ap"), "ap"), r6(F.col("ap50"), "ap50"))
 
 
 @query("t9_top_classes", f"{W}, l AS (SELECT det_id, unnest([x1 / 40, y1 / 40, score, CAST(model_id AS DOUBLE)]) AS v, unnest([0, 1, 2, 3]) AS i FROM dets), e AS (SELECT det_id, i, exp(v) / sum(exp(v)) OVER (PARTITION BY det_id) AS s, row_number() OVER (PARTITION BY det_id ORDER BY v DESC, i) AS r FROM l) SELECT det_id, string_agg(substr('abcd', i + 1, 1), '' ORDER BY r) AS names, round(max(s), 6) AS best FROM e WHERE r <= 2 GROUP BY 1")

@@ -11,7 +11,7 @@ from ..operators import matching as m
 from ..operators import metrics as mt
 from ..operators import mixing
 from . import tables as t
-from .detection_queries import AP, MAXIOU, NEAREST, SEEDS, W, hits, priors, r6, totals
+from .detection_queries import AP, MAXIOU, NEAREST, SEEDS, W, ap_over_limits, hits, priors, r6, totals
 from .registry import area_sql, fold_sql, iou_sql, query
 from .tables import read
 
@@ -138,9 +138,7 @@ cu AS (SELECT *, sum(tp) OVER w AS ctp, sum(1 - tp) OVER w AS cfp FROM tpx WINDO
 lv AS (SELECT unnest(range(0, 101)) AS i), b AS (SELECT label, k, i, max(precision) FILTER (WHERE recall >= i / 100.0) AS p FROM pr, lv GROUP BY ALL) SELECT label, round(avg(coalesce(p, 0)), 6) AS ap FROM b GROUP BY 1""")
 def a21(spark, sf):
     """Mean over ten overlap thresholds of the 101-point precision; overlaps are computed once."""
-    at = hits(spark, sf, [k / 100 for k in range(50, 100, 5)])
-    ap = mt.interpolated_precision(mt.curve(at, totals(spark, sf), ["label", "limit"], ["label"]), ["label", "limit"], 101)
-    return ap.groupBy("label").agg(r6(F.avg("ap"), "ap"))
+    return ap_over_limits(spark, sf).groupBy("label").agg(r6(F.avg("ap"), "ap"))
 
 
 @query("a32_mean_boxes", f"{W} SELECT image_id, label, round(avg(x1), 6) AS x1, round(avg(y1), 6) AS y1, round(avg(x2), 6) AS x2, round(avg(y2), 6) AS y2, round(avg(score), 6) AS score FROM dets GROUP BY ALL")
