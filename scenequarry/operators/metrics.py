@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 
@@ -124,13 +124,27 @@ def panoptic_quality(pairs: DataFrame, truths: DataFrame, preds: DataFrame) -> D
     return each.rollup("isthing").agg(F.avg("pq").alias("pq"), F.avg("sq").alias("sq"), F.avg("rq").alias("rq"), F.count(F.lit(1)).alias("n"))
 
 
-def ngrams(texts: DataFrame, keys: list[str], words: str, n: int) -> DataFrame:
-    """keys, gram, c: how often each run of n words occurs."""
-    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return texts.select(*keys, F.explode(F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))).alias("gram")).groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("c"))
+def gram_counts(candidates: DataFrame, references: DataFrame, key: str, sizes: list[int]) -> DataFrame:
+    """key, n, gram, c, r: how often each run of n words occurs in a key's candidate and in its reference (key, words).
+
+    Only words are shuffled, by key; their runs are counted where they lie.
+    """
+    side = lambda t, i: t.select(key, "words", F.lit(i).alias("__side"))
+    rows = side(candidates, 0).unionByName(side(references, 1)).repartition(key)
+
+    def runs(n: int) -> Column:
+        at = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("words", i, n), " ").alias("gram")))
+
+    each = rows.select(key, "__side", F.explode(F.concat(*map(runs, sizes))).alias("g")).select(key, "g.n", "g.gram", "__side")
+    return each.groupBy(key, "n", "gram").agg(F.count_if(F.col("__side") == 0).alias("c"), F.count_if(F.col("__side") == 1).alias("r"))
 
 
 def clipped_precision(candidates: DataFrame, references: DataFrame, key: str, n: int) -> DataFrame:
     """key, matched, total: candidate n-grams, and those that a reference has, each counted as often as there at most."""
-    c, r = ngrams(candidates, [key], "words", n), ngrams(references, [key], "words", n).withColumnRenamed("c", "r")
-    return c.join(r, [key, "gram"], "left").groupBy(key).agg(F.sum(F.least("c", F.coalesce("r", F.lit(0)))).alias("matched"), F.sum("c").alias("total"))
+    return clipped(gram_counts(candidates, references, key, [n]).filter("c > 0").groupBy(key))
+
+
+def clipped(counts: GroupedData) -> DataFrame:
+    """matched, total of groups of gram_counts' rows."""
+    return counts.agg(F.sum(F.least("c", "r")).alias("matched"), F.sum("c").alias("total"))
