@@ -6,10 +6,13 @@ prefers them. Phrase words come without a parser: words that aren't stop words,
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +37,78 @@ def phrase_similarity(a: Column, b: Column) -> Column:
     return F.when(a.contains(b) | b.contains(a), F.lit(1.0)).when(F.size(words) == 0, F.lit(0.0)).otherwise(hits / F.size(words))
 
 
+def words_held(words: list[list[str]], texts: list[str]) -> np.ndarray:
+    """How many of each list's words (letters and digits alone) each text contains, as lists x texts."""
+    joined, starts = "\n".join(texts), np.cumsum([0] + [len(v) + 1 for v in texts]).tolist()
+    place = {w: k for k, w in enumerate({w for ws in words for w in ws})}
+    held = np.zeros((len(place), len(texts)), bool)
+    for w, k in place.items():
+        i = joined.find(w)
+        while i >= 0:
+            at = bisect.bisect_right(starts, i)
+            held[k, at - 1] = True
+            i = joined.find(w, starts[at])
+    some = [i for i, ws in enumerate(words) if ws]
+    out = np.zeros((len(words), len(texts)), np.int32)
+    if some:
+        first = np.cumsum([0] + [len(words[i]) for i in some])[:-1]
+        out[some] = np.add.reduceat(held[[place[w] for ws in words for w in ws]], first, axis=0, dtype=np.int32)
+    return out
+
+
+def best_matches(left: list[dict], right: list[dict], cells: int = 1 << 20) -> list[dict]:
+    """at, similarity: for each left phrase the place of the first right phrase of the greatest phrase_similarity. Phrases
+    have text, words (content_words) and plain: lower-casing leaves them as they are. Pairs are gone over `cells` at a time.
+
+    A plain phrase with content words that is part of another has all its words there, so it needn't be looked for.
+    """
+    texts, n = [p["text"] for p in right], np.array([len(p["words"]) for p in right])
+    size = np.array([len(v) for v in texts])
+    seek = [j for j, p in enumerate(right) if not p["words"] or not p["plain"]]
+    out, step = [], max(1, cells // len(right))
+    for low in range(0, len(left), step):
+        part = left[low : low + step]
+        own, own_n = [p["text"] for p in part], np.array([len(p["words"]) for p in part])
+        shorter = np.array([len(v) for v in own])[:, None] < size
+        hits = np.where(shorter, words_held([p["words"] for p in part], texts), words_held([p["words"] for p in right], own).T)
+        similarity = hits / np.maximum(np.where(shorter, own_n[:, None], n), 1)
+        for i, p in enumerate(part):
+            if not p["words"] or not p["plain"]:
+                for j in np.flatnonzero(shorter[i]):
+                    if own[i] in texts[j]:
+                        similarity[i, j] = 1.0
+        for j in seek:
+            for i in np.flatnonzero(~shorter[:, j]):
+                if texts[j] in own[i]:
+                    similarity[i, j] = 1.0
+        at = similarity.argmax(axis=1)
+        out += [{"at": int(j), "similarity": float(v)} for j, v in zip(at, similarity[np.arange(len(part)), at], strict=True)]
+    return out
+
+
 def fuzzy_matches(left: DataFrame, right: DataFrame, limit: float = 0.75, by: str = "image_id") -> DataFrame:
     """left (by, pos, phrase) with the most similar right phrase (by, pos, phrase) of its image, the first of equal ones,
-    if it is similar by the limit or more: match, match_pos, similarity."""
-    r = right.select(by, F.col("pos").alias("match_pos"), F.col("phrase").alias("match"))
-    scored = left.join(r, by).withColumn("similarity", phrase_similarity(F.col("phrase"), F.col("match")))
-    best = scored.groupBy(by, "pos", "phrase").agg(F.max_by(F.struct("match", "match_pos", "similarity"), F.struct("similarity", -F.col("match_pos"))).alias("b"))
-    return best.select(by, "pos", "phrase", "b.match", "b.match_pos", "b.similarity").filter(F.col("similarity") >= limit)
+    if it is similar by the limit or more: match, match_pos, similarity.
+
+    An image's phrases travel once, and their content words are taken once; pairs aren't rows (best_matches).
+    """
+    place = F.struct(F.col("pos").isNull().alias("none"), "pos", "phrase")
+    side = lambda t, name: t.filter(F.col(by).isNotNull() & F.col("phrase").isNotNull()).select(by, place.alias(name))
+    images = side(left, "a").unionByName(side(right, "b"), allowMissingColumns=True).groupBy(by).agg(F.collect_set("a").alias("a"), F.array_sort(F.collect_set("b")).alias("b")).filter((F.size("a") > 0) & (F.size("b") > 0))
+    told = lambda c: F.transform(c, lambda v: F.struct(v["phrase"].alias("text"), content_words(v["phrase"]).alias("words"), (F.lower(v["phrase"]) == v["phrase"]).alias("plain")))
+    rows = images.withColumns({"left": told("a"), "right": told("b")})
+    found = pa.list_(pa.struct([("at", pa.int32()), ("similarity", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best = [best_matches(x.as_py(), y.as_py()) for x, y in zip(b["left"], b["right"], strict=True)]
+            yield pa.RecordBatch.from_arrays([b[by], b["a"], b["b"], pa.array(best, found)], [by, "a", "b", "best"])
+
+    types = dict(images.dtypes)
+    done = rows.mapInArrow(run, f"{by} {types[by]}, a {types['a']}, b {types['b']}, best array<struct<at:int,similarity:double>>")
+    kept = F.filter(F.zip_with("a", "best", lambda v, m: F.struct(v.alias("v"), m["at"].alias("at"), m["similarity"].alias("similarity"))), lambda v: v["similarity"] >= limit)
+    each = done.select(by, "b", F.explode(kept).alias("m")).select(by, "m.v.pos", "m.v.phrase", F.get("b", F.col("m.at")).alias("o"), "m.similarity")
+    return each.select(by, "pos", "phrase", F.col("o.phrase").alias("match"), F.col("o.pos").alias("match_pos"), "similarity")
 
 
 def exact_groundings(captions: DataFrame, attributes: DataFrame, relations: DataFrame, by: str = "image_id") -> DataFrame:
