@@ -29,6 +29,8 @@ BITS = 64
 SEED = 42
 #: Bytes of text that are split into words at a time.
 BLOCK = 1 << 20
+#: Tasks for a table of up to SMALL edges: more of them would hold no rows, yet leave files and records of their own.
+FEW, SMALL = 8, 1 << 18
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -254,26 +256,27 @@ def links(classes: DataFrame, radius: int = 3, most: int = 256) -> DataFrame:
     return cut(found.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """node, root (the least node it is connected to) of every node of the edges (a, b) with a > b.
 
-    Alternates large-star and small-star steps: each joins nodes to the least of their neighbours until nothing moves;
-    the number of steps grows with the logarithm of a component's size.
+    Alternates large-star and small-star steps: each joins nodes to the least of their neighbours until every edge is a
+    star's, which the count of neighbours tells; the number of steps grows with the logarithm of a component's size. No
+    step adds edges, so up to `small` of them stay with FEW tasks.
     """
-    state = None
+    few = (lambda x: x.coalesce(FEW)) if edges.count() <= small else lambda x: x
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = few(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        below = F.count_if(F.col("b") < F.col("a"))
         # stored, so that the join deals both sides anew and Spark can split a hot star
-        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = cut(large)
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = cut(small.select("e.a", "e.b").filter("a <> b").distinct())
-        now = tuple(edges.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
-            return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-        state = now
+        least = cut(few(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), below.alias("below"), F.count(F.lit(1)).alias("n"))))
+        if not least.filter("below > 1 or below = 1 and n > 1").limit(1).count():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        large = few(both.filter("b > a").join(least, "a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut(few(large.filter("a <> b").distinct()))
+        least = cut(few(large.groupBy("a").agg(F.min("b").alias("m"))))
+        ends = F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        both = few(large.join(least, "a")).select(F.explode(ends).alias("e"))
+        edges = cut(few(both.select("e.a", "e.b").filter("a <> b").distinct()))
 
 
 def named_classes(prints: DataFrame, order: list[str], tree_of) -> DataFrame:
