@@ -5,8 +5,11 @@ A point is a struct of x and y. Bitmaps travel as run lengths (size [height, wid
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,31 +84,106 @@ def bitmap_of(counts, height: int, width: int) -> np.ndarray:
     return np.repeat(values, np.asarray(counts, int)).reshape(width, height).T.astype(bool)
 
 
-def inside_polygon(xs, ys, height: int, width: int) -> np.ndarray:
-    """Pixels whose center lies inside, by the even-odd rule: along a row each edge before a pixel turns it over."""
-    xs, ys = np.asarray(xs, float), np.asarray(ys, float)
-    x2, y2 = np.roll(xs, -1), np.roll(ys, -1)
-    y = np.arange(height)[:, None] + 0.5
-    row, edge = np.nonzero((ys <= y) != (y2 <= y))
-    at = xs[edge] + (y[row, 0] - ys[edge]) * (x2[edge] - xs[edge]) / (y2[edge] - ys[edge])
-    first = np.clip(np.ceil(at - 0.5), 0, width).astype(int)
-    first += (first < width) & (first + 0.5 < at)
-    first -= (first > 0) & (first - 0.5 >= at)
-    turns = np.zeros((height, width + 1), np.int32)
-    np.add.at(turns, (row, first), 1)
-    return np.cumsum(turns[:, :width], axis=1) % 2 == 1
-
-
-def rasterized(p: Column, height: Column, width: Column) -> Column:
-    """Run lengths of a polygon's bitmap."""
+def _first_center(v: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The first pixel whose center isn't before v, `most` if none of that many is."""
+    k = np.clip(np.ceil(v - 0.5), 0, most).astype(int)
+    k += (k < most) & (k + 0.5 < v)
+    k -= (k > 0) & (k - 0.5 >= v)
+    return k
+
+
+def polygon_runs(xs: np.ndarray, ys: np.ndarray, n: np.ndarray, height: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Run lengths of the bitmaps of polygons of n points each, one after another, and how many runs each has.
+
+    Pixels are set whose center lies inside, by the even-odd rule: along a row each edge before a pixel turns it over. There
+    is no bitmap: a turn that the row above has too changes nothing down a column, so the others tell where runs begin.
+    """
+    area = height * width
+    stop = np.cumsum(area)
+    start, last = stop - area, np.cumsum(n)
+    of, after = np.repeat(np.arange(len(n)), n), np.arange(1, len(xs) + 1)
+    after[last[n > 0] - 1] = (last - n)[n > 0]
+    x2, y2 = xs[after], ys[after]
+    low, high = _first_center(np.minimum(ys, y2), height[of]), _first_center(np.maximum(ys, y2), height[of])
+    straight = xs == x2  # turns the same pixel in all its rows: one is enough
+    m = np.where(straight, np.minimum(high - low, 1), high - low)
+    edge = np.repeat(np.arange(len(m)), m)
+    y = np.arange(len(edge)) + np.repeat(low - np.cumsum(m) + m, m)
+    x = _first_center(xs[edge] + (y + 0.5 - ys[edge]) * (x2[edge] - xs[edge]) / (y2[edge] - ys[edge]), width[of[edge]])
+    same = (edge[1:] == edge[:-1]) & (x[1:] == x[:-1])
+    turns = []
+    for row, new in ((y, np.append(True, ~same)[: len(x)]), (np.where(straight[edge], high[edge], y + 1), np.append(~same, True)[-len(x) :])):  # its own, and the one below
+        new = np.flatnonzero(new & (x < width[of[edge]]))
+        at, row, p = x[new], row[new], of[edge[new]]
+        at, row = np.where(row < height[p], at, at + 1), np.where(row < height[p], row, 0)  # below the lowest pixel is the next column's first
+        turns.append((start[p] + row * width[p] + at)[at < width[p]])
+    turn = np.sort(np.concatenate(turns))
+    first = np.flatnonzero(np.diff(turn, prepend=-1))
+    turn = turn[first[np.diff(first, append=len(turn)) % 2 == 1]]
+    of = np.searchsorted(stop, turn, side="right")
+    y, x = np.divmod(turn - start[of], width[of])
+    line = turn - x
+    begin = np.flatnonzero(np.diff(line, prepend=-1))
+    place = np.arange(len(line)) - np.repeat(begin, np.diff(begin, append=len(line)))
+    opens = np.flatnonzero(place % 2 == 0)
+    of, x, y, ends = of[opens], x[opens], y[opens], np.append(x, 0)[opens + 1]
+    ends = np.where(np.append(line, -1)[opens + 1] == line[opens], ends, width[of])
+    m = ends - x
+    change = np.repeat(start[of] + x * height[of] + y, m) + (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)) * np.repeat(height[of], m)
+    at = np.sort(np.concatenate([change, start[area > 0]]))
+    return np.diff(at, append=area.sum()), np.where(area > 0, 1, 0) + np.bincount(of, weights=m, minlength=len(n)).astype(int)
 
-    @F.pandas_udf("array<int>")
-    def run(p: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else runs_of(inside_polygon([v["x"] for v in a], [v["y"] for v in a], i, j)) for a, i, j in zip(p, h, w, strict=True)], dtype=object)
+
+def inside_polygon(xs, ys, height: int, width: int) -> np.ndarray:
+    """A polygon's bitmap."""
+    return bitmap_of(polygon_runs(np.asarray(xs, float), np.asarray(ys, float), *(np.array([v]) for v in (len(xs), height, width)))[0], height, width)
+
+
+def in_chunks(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to `most` at most, or one row."""
+    ends, low = np.cumsum(size), 0
+    while low < len(size):
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield low, high
+        low = high
+
+
+def rasterized(p: Column, height: Column, width: Column, cells: int = 1 << 20) -> Column:
+    """Run lengths of a polygon's bitmap. Polygons are filled together, up to `cells` pixels or one."""
+
+    @F.arrow_udf("array<int>")
+    def run(p: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
+        n, flat = p.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int), p.flatten()
+        xs, ys = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+        there = p.is_valid().to_numpy(zero_copy_only=False)
+        h, w = (np.where(there, v.to_numpy(zero_copy_only=False), 0).astype(int) for v in (h, w))
+        at, runs, many = np.concatenate([[0], np.cumsum(n)]), [np.zeros(0, int)], [np.zeros(0, int)]
+        for low, high in in_chunks(h * w, cells):
+            points = slice(at[low], at[high])
+            some, each = polygon_runs(xs[points], ys[points], n[low:high], h[low:high], w[low:high])
+            runs.append(some)
+            many.append(each)
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(many))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(runs), pa.int32()), mask=pa.array(~there))
 
     return run(p, height, width)
 
 
+def pixels_set(counts: Column) -> Column:
+    """masks.run_area of runs that are made here: they stay in the Python worker that made them."""
+
+    @F.arrow_udf("long")
+    def run(counts: pa.Array) -> pa.Array:
+        n, flat = counts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int), counts.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(n)
+        odd = (np.arange(len(flat)) - np.repeat(ends - n, n)) % 2 == 1
+        total = np.concatenate([[0], np.cumsum(np.where(odd, flat, 0), dtype=int)])
+        return pa.array(total[ends] - total[ends - n], mask=~counts.is_valid().to_numpy(zero_copy_only=False))
+
+    return run(counts)
+
+
 def labelled(bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers (from 1) of 8-connected components and their sizes, by joining the runs of neighbouring rows."""
     turn = np.diff(np.pad(bitmap, ((0, 0), (1, 1))).astype(np.int8), axis=1)

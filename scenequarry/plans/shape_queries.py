@@ -32,14 +32,14 @@ def g19(spark, sf):
     return roofs(spark, sf).select("det_id", at(both, 1, "x").alias("ridge_x"), at(both, 3, "y").alias("low_y"), at(raster.translated(p, 100, 0, 260.0, 400.0), 2, "x").alias("right_x"), at(raster.cropped(p, 30, 10), 3, "x").alias("crop_x"), at(raster.sheared(p, 0.5), 4, "x").alias("shear_x"))
 
 
-@query("g17_g18_polygon_masks", f"{W} SELECT det_id, CAST((x2 - x1) * (y2 - y1) AS BIGINT) AS area FROM dets WHERE score > 0.9")
+@query("g17_g18_polygon_masks", f"{W} SELECT det_id, CAST((x2 - x1) * (y2 - y1) AS BIGINT) AS area FROM dets")
 def g17(spark, sf):
     """Bitmaps of whole-numbered boxes, from their corner on."""
     w, h = g.width(g.box()), g.height(g.box())
     zero = F.lit(0.0)
     p = raster.points((zero, zero), (w, zero), (w, h), (zero, h))
-    rows = t.detections(spark, sf).filter("score > 0.9").withColumn("counts", raster.rasterized(p, F.ceil(h).cast("int") + 3, F.ceil(w).cast("int") + 2))
-    return rows.select("det_id", masks.run_area(F.col("counts")).alias("area"))
+    counts = raster.rasterized(p, F.ceil(h).cast("int") + 3, F.ceil(w).cast("int") + 2)
+    return t.detections(spark, sf).select("det_id", raster.pixels_set(counts).alias("area"))
 
 
 @query("g20_split_polygons", f"{W} SELECT image_id, len(l[1:2]) + 10 * len(l[3:5]) AS sizes, l[3] AS third FROM (SELECT image_id, list(det_id ORDER BY det_id) AS l FROM dets GROUP BY 1) WHERE len(l) >= 3")

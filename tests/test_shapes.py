@@ -105,3 +105,18 @@ def test_balanced_positives_spread_over_truths(spark, num):
         by.setdefault(r.image_id, []).append(r.gt)
     assert len(by[1]) == num and by[2] == [5]
     assert all(by[1].count(k) <= int(num / 4 + 0.5) + 1 for k in by[1])  # four truths, of which each has that share at most
+
+
+def test_polygons_of_one_call_equal_point_tests(spark):
+    r = random.Random(11)
+    rows = [(k, None if k == 7 else [{"x": float(r.randint(-4, 14)) / r.choice([1, 2]), "y": float(r.randint(-4, 11))} for _ in range(r.randint(0, 6))], r.randint(0, 9), r.randint(0, 12)) for k in range(60)]
+    df = spark.createDataFrame(rows, "k long, p array<struct<x:double,y:double>>, h int, w int").coalesce(1)
+    counts = raster.rasterized(F.col("p"), F.col("h"), F.col("w"), 100)
+    got = {x.k: x for x in df.select("k", counts.alias("c"), raster.pixels_set(counts).alias("set"), masks.run_area(counts).alias("area")).collect()}
+    for k, p, h, w in rows:
+        if p is None:
+            assert tuple(got[k])[1:] == (None, None, None)
+            continue
+        xs, ys = [v["x"] for v in p], [v["y"] for v in p]
+        want = np.array([[inside(x + 0.5, y + 0.5, xs, ys) for x in range(w)] for y in range(h)], bool).reshape(h, w)
+        assert got[k].c == raster.runs_of(want) and got[k].set == got[k].area == want.sum()

@@ -6,3 +6,8 @@ from scenequarry.plans.queries import QUERIES
 def test_least_cost_assignment_sees_every_image(spark):
     ids = lambda df: {r.image_id for r in df.select("image_id").distinct().collect()}
     assert ids(QUERIES["m4_least_cost_assignment"](spark, SF)) == ids(t.predictions(spark, SF)) & ids(t.truths(spark, SF))
+
+
+def test_polygon_masks_are_of_every_box(spark):
+    got, dets = QUERIES["g17_g18_polygon_masks"](spark, SF), t.detections(spark, SF)
+    assert got.count() == dets.count() and not dets.select("det_id").exceptAll(got.select("det_id")).count()
