@@ -72,14 +72,8 @@ def g8(spark, sf):
     """A moved box against the box itself, coded and read back with nearness as the buckets' scores."""
     q = F.col("score") * 1.37 + 0.11
     truth = g.of(F.col("x1") + q, F.col("y1") - q * 0.3, F.col("x2") - q * 0.7, F.col("y2") + q * 0.9)
-    coded = t.detections(spark, sf).select("det_id", *g.FIELDS, *(c.alias(side) for side, c in coders.bucket_targets(g.box(), truth).items()))
-    of = lambda field: {s: F.col(s)[field] for s in coders.SIDES}
-    offsets = of("offsets")
-    box, sure = coders.bucket_boxes(g.box(), {s: F.transform(o, lambda v: -F.abs(v)) for s, o in offsets.items()}, offsets)
-    total = lambda arrays: F.aggregate(F.flatten(F.array(*arrays)), F.lit(0.0), lambda a, v: a + v)
-    at = [F.get(offsets[s], F.col(s)["bucket"]) for s in coders.SIDES]
-    return coded.select("det_id", F.concat_ws(",", *(F.col(s)["bucket"] for s in sorted(coders.SIDES))).alias("buckets"), total(of("weights").values()).cast("long").alias("weighed"), (28 - total(of("classes").values())).cast("long").alias("spared"),
-        F.round(at[0] + at[1] + at[2] + at[3], 6).alias("offsets"), *(F.round(box[f], 6).alias(f) for f in g.FIELDS), F.round(sure, 6).alias("sure"))
+    sides = t.detections(spark, sf).select("det_id", coders.round_trip(g.box(), truth).alias("r")).select("det_id", "r.*")
+    return sides.select("det_id", F.concat_ws(",", *sorted(coders.SIDES)).alias("buckets"), "weighed", "spared", *(F.round(c, 6).alias(c) for c in ("offsets", *g.FIELDS, "sure")))
 
 
 @query("a32_merged_views", f"{W} SELECT image_id, det_id, round(x1 + CAST(3.5 AS DOUBLE) / 3, 4) AS x1, round(y1 - CAST(3.5 AS DOUBLE) / 3, 4) AS y1, round(x2 + CAST(3.5 AS DOUBLE) / 3, 4) AS x2, round(y2 - CAST(3.5 AS DOUBLE) / 3, 4) AS y2, round(score * 2, 4) AS score FROM dets")

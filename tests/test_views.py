@@ -163,3 +163,30 @@ def test_mask_targets_are_what_a_bitmap_says(spark):
     schema = "k long, b long, x1 double, y1 double, x2 double, y2 double"
     got = masks.targets(spark.createDataFrame(spans, "k long, start long, end long, height long").repartition(3), spark.createDataFrame(boxes, schema), ["k"], "b", size).collect()
     assert {(r.k, r.b, p) for r in got for p in range(r.start, r.end)} == want and want
+
+
+def test_coded_boxes_read_back_in_one_go(spark):
+    rows = [(k, *b, *(v + R.uniform(-8, 8) for v in b)) for k in range(50) for x in [R.uniform(0, 50)] for y in [R.uniform(0, 50)] for b in [(x, y, x + R.uniform(20, 60), y + R.uniform(20, 60))]]
+    rows.append((50, None, 0.0, 9.0, 9.0, 0.0, 0.0, 9.0, 9.0))
+    df = spark.createDataFrame(rows, "k long, x1 double, y1 double, x2 double, y2 double, t1 double, u1 double, t2 double, u2 double").coalesce(1)
+    truth = g.of(*(F.col(c) for c in ("t1", "u1", "t2", "u2")))
+    cells = df.select("k", *g.FIELDS, coders.round_trip(g.box(), truth, rows=7).alias("r"), *(c.alias(s) for s, c in coders.bucket_targets(g.box(), truth).items()))
+    offsets = {s: F.col(s)["offsets"] for s in coders.SIDES}
+    box, sure = coders.bucket_boxes(g.box(), {s: F.transform(o, lambda v: -F.abs(v)) for s, o in offsets.items()}, offsets)
+    for r in cells.select("k", "r", *coders.SIDES, g.struct(box).alias("box"), sure.alias("sure")).collect():
+        sides = [r[s] for s in coders.SIDES]
+        assert [r.r[s] for s in coders.SIDES] == [s.bucket for s in sides]
+        assert (r.r.weighed, r.r.spared) == (sum(sum(s.weights) for s in sides), 28 - sum(sum(s.classes) for s in sides))
+        assert [r.r[f] for f in g.FIELDS] == list(r.box) and r.r.sure == r.sure
+        if r.k < 50:
+            assert r.r.offsets == pytest.approx(sum(s.offsets[s.bucket] for s in sides)) and list(r.box) == pytest.approx(rows[r.k][5:])
+        else:
+            assert (r.r.x1, r.r.x2, r.r.offsets, r.sure) == (None,) * 4 and (r.r.y1, r.r.y2) == pytest.approx((0, 9))
+
+
+def test_the_bucket_coder_s_query_codes_boxes_in_batches(spark):
+    from compare import SF
+    from scenequarry.plans.queries import QUERIES
+
+    plan = QUERIES["g8_bucket_coder"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("ArrowEvalPython") == 1
