@@ -34,6 +34,12 @@ def with_ancestors(rows: DataFrame, closure: DataFrame) -> DataFrame:
     return rows.join(up, "label", "left").withColumn("label", F.coalesce("__up", "label")).drop("__up").select(*rows.columns)
 
 
+def ancestors(rows: DataFrame, closure: DataFrame) -> DataFrame:
+    """rows with an array of labels, the ancestors that with_ancestors gives a row each. A class tree is small by its nature."""
+    up = closure.groupBy(F.col("node").alias("label")).agg(F.collect_list(F.coalesce("ancestor", "node")).alias("__up"))
+    return rows.join(F.broadcast(up), "label", "left").withColumn("label", F.coalesce("__up", F.array("label"))).select(*rows.columns)
+
+
 def instance_report(ap: DataFrame, label: str = "label", limit: str = "limit") -> DataFrame:
     """label, ap, ap50: means over all limits and at 0.5, for each label and as `all`; ap (label, limit, ap)."""
     half = F.avg(F.when(F.abs(F.col(limit) - 0.5) < 1e-9, F.col("ap")))

@@ -19,11 +19,11 @@ def curve(hits: DataFrame, totals: DataFrame, by: list[str], on: list[str] | Non
 
     Sums run within ranges of a group, from the sums of the ranges before; part names a row's range.
     """
-    rows = in_parts(hits.join(totals, on or by), by, [F.desc("score"), F.asc("det_id")])
+    rows = in_parts(hits, by, [F.desc("score"), F.asc("det_id")])
     sums = rows.groupBy(*by, "part").agg(F.sum("tp").alias("t"), F.sum("fp").alias("f"))
     ahead = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     before = lambda c: F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c)
-    sums = sums.select(*by, "part", before("t"), before("f"))
+    sums = sums.select(*by, "part", before("t"), before("f")).join(totals, on or by)  # not the rows: totals may be joined by a shuffle
     w = Window.partitionBy(*by, "part").orderBy(F.desc("score"), "det_id").rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumns({"ctp": F.sum("tp").over(w), "cfp": F.sum("fp").over(w)}).join(sums, [*by, "part"])
     out = out.withColumns({"ctp": F.col("ctp") + F.col("t"), "cfp": F.col("cfp") + F.col("f")}).drop("t", "f")

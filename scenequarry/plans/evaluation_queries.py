@@ -51,10 +51,10 @@ en AS (SELECT *, max(precision) OVER (PARTITION BY label ORDER BY score, det_id
 def a24(spark, sf):
     """Boxes count for the classes above theirs too, and group boxes take one detection."""
     tree = spark.createDataFrame(TREE, "ancestor string, node string")
-    gt = ev.with_ancestors(t.truths(spark, sf), tree).withColumn("is_group", F.floor(F.col("gt_id") / 1000) % 3 == 0)
-    hits = m.grouped_positives(ev.with_ancestors(t.predictions(spark, sf), tree), gt, 0.5, KEYS)
-    totals = gt.groupBy("label").agg(F.count(F.lit(1)).alias("n_gt"))
-    return mt.average_precision(mt.curve(hits, totals, ["label"]), ["label"]).withColumn("ap", F.round("ap", 6))
+    gt = t.truths(spark, sf).withColumn("is_group", F.floor(F.col("gt_id") / 1000) % 3 == 0)
+    hits = m.grouped_positives(ev.ancestors(t.predictions(spark, sf), tree), ev.ancestors(gt, tree))
+    totals = ev.with_ancestors(gt.groupBy("label").agg(F.count(F.lit(1)).alias("n")), tree).groupBy("label").agg(F.sum("n").alias("n_gt"))
+    return mt.average_precision(mt.curve(hits.select("label", "det_id", "score", "tp", "fp"), totals, ["label"]), ["label"]).withColumn("ap", F.round("ap", 6))
 
 
 A21 = ORACLE_SQL["a21_ap_over_thresholds"].rsplit(" SELECT label, round(", 1)[0]

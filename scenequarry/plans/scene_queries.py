@@ -100,7 +100,7 @@ s2 AS (SELECT s.*, group_id, row_number() OVER (PARTITION BY s.image_id, s.label
 SELECT label, CAST(sum(CASE WHEN group_id IS NOT NULL THEN 1 ELSE tp END) AS BIGINT) AS tp, count(*) AS n FROM s2 WHERE group_id IS NULL OR k = 1 GROUP BY 1""")
 def j29(spark, sf):
     gt = t.truths(spark, sf).withColumn("is_group", F.floor(F.col("gt_id") / 1000) % 3 == 0)
-    return m.grouped_positives(t.predictions(spark, sf), gt, 0.5, ("image_id", "label")).groupBy("label").agg(F.sum("tp").cast("long").alias("tp"), F.count(F.lit(1)).alias("n"))
+    return m.grouped_positives(t.predictions(spark, sf), gt).groupBy("label").agg(F.sum("tp").cast("long").alias("tp"), F.count(F.lit(1)).alias("n"))
 
 
 @query("j28_threshold_matching", f"{W}, {t.TRUTHS}, sm AS (SELECT * FROM preds), rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS dr FROM sm), q AS (SELECT p.image_id, p.det_id, g.gt_id, p.dr, {iou_sql('p', 'g', 0, '1e-6')} AS o, least(0.5, {area_sql('g')} / ((g.x2 - g.x1 + 10) * (g.y2 - g.y1 + 10))) AS lim FROM rk p JOIN gts g ON g.image_id = p.image_id), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY dr, o DESC, gt_id) AS rk FROM q WHERE o > 0 AND o >= lim), {fold_sql('r', 'image_id', '(k.det_id = e.det_id OR k.gt_id = e.gt_id)')} SELECT r.image_id, r.det_id, r.gt_id FROM r JOIN kept USING (image_id, rk)")

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from scenequarry.operators import evaluation as ev
+from scenequarry.operators import matching
 
 
 def test_top_classes_equal_a_loop(spark):
@@ -51,3 +52,56 @@ def test_reduction_and_empty_images(spark):
         ev.reduced(rows, ["k"], "v", kind="sum", avg_factor="k")
     labels = ev.labels_of(rows.limit(0).select(F.col("k").alias("image_id"), F.lit("a").alias("label")), rows.limit(0).select(F.col("k").alias("image_id"), F.lit("a").alias("label")))
     assert labels.count() == 0
+
+
+def overlap(a, b, of_first):
+    both = max(min(a[2], b[2]) - max(a[0], b[0]), 0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0)
+    own, other = ((x[2] - x[0]) * (x[3] - x[1]) for x in (a, b))
+    return both / max(own if of_first else own + other - both, 1e-6)
+
+
+def test_grouped_positives_of_a_tree_equal_a_loop(spark):
+    r = random.Random(5)
+    box = lambda: (x := float(r.randint(0, 12)), y := float(r.randint(0, 12)), x + r.randint(4, 16), y + r.randint(4, 16))
+    label = lambda: r.choice(["A", "A", "N", "R", None])
+    dets = [(i, 100 * i + k, *box(), r.choice([0.1, 0.5, 0.5, 0.9, None]), label()) for i in range(12) for k in range(r.choice([0, 3, 15]))]
+    truths = [(i, 100 * i + k, *box(), label(), r.choice([True, False, False])) for i in range(12) for k in range(r.choice([0, 2, 9]))]
+    tree = [("all", "all"), ("A", "A"), ("N", "N"), ("all", "A"), ("all", "N")]
+    up = lambda x: [a for a, n in tree if n == x] or [x]
+    want, groups = set(), {(d[0], x) for d in dets for x in up(d[7])}
+    for image, name in groups:
+        mine = sorted((d for d in dets if d[0] == image and name in up(d[7])), key=lambda d: (-(d[6] or -1), d[1]))
+        own = [g for g in truths if g[0] == image and name is not None and name in up(g[6])]
+        taken, whole = set(), set()
+        for d in mine:
+            single = min(((-overlap(d[2:6], g[2:6], False), g[1]) for g in own if not g[7]), default=(0, None))
+            hit = single[1] if single[0] <= -0.5 else None
+            if hit is not None and hit not in taken:
+                taken.add(hit)
+                want.add((image, d[1], name, 1, 0, hit, None))
+                continue
+            group = min(((-overlap(d[2:6], g[2:6], True), g[1]) for g in own if g[7]), default=(0, None))
+            if group[0] > -0.5:
+                want.add((image, d[1], name, 0, 1, hit, None))
+            elif group[1] not in whole:
+                whole.add(group[1])
+                want.add((image, d[1], name, 1, 0, hit, group[1]))
+    closure = spark.createDataFrame(tree, "ancestor string, node string")
+    d = spark.createDataFrame(dets, "image_id long, det_id long, x1 double, y1 double, x2 double, y2 double, score double, label string")
+    t = spark.createDataFrame(truths, "image_id long, gt_id long, x1 double, y1 double, x2 double, y2 double, label string, is_group boolean")
+    got = matching.grouped_positives(ev.ancestors(d, closure), ev.ancestors(t, closure)).select("image_id", "det_id", "label", "tp", "fp", "gt_id", "group_id").collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+    plain = matching.grouped_positives(ev.with_ancestors(d, closure).filter("label = 'all'"), ev.with_ancestors(t, closure).filter("label = 'all'")).select("image_id", "det_id", "label", "tp", "fp", "gt_id", "group_id").collect()
+    assert {tuple(x) for x in plain} == {x for x in want if x[2] == "all"}
+
+
+def test_rows_of_hierarchical_ap_are_shuffled_by_image_once(spark):
+    from compare import SF
+    from scenequarry.plans import evaluation_queries as eq
+    from scenequarry.plans import tables
+
+    tree = spark.createDataFrame(eq.TREE, "ancestor string, node string")
+    gt = tables.truths(spark, SF).withColumn("is_group", F.lit(False))
+    hits = matching.grouped_positives(ev.ancestors(tables.predictions(spark, SF), tree), ev.ancestors(gt, tree))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(image_id") == 1 and "SortMergeJoin" not in plan and "Window" not in plan
