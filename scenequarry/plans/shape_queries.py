@@ -38,8 +38,8 @@ def g17(spark, sf):
     w, h = g.width(g.box()), g.height(g.box())
     zero = F.lit(0.0)
     p = raster.points((zero, zero), (w, zero), (w, h), (zero, h))
-    counts = raster.rasterized(p, F.ceil(h).cast("int") + 3, F.ceil(w).cast("int") + 2)
-    return t.detections(spark, sf).select("det_id", raster.pixels_set(counts).alias("area"))
+    rows = t.detections(spark, sf)  # before the masks: reading lets Python workers import this package
+    return rows.select("det_id", raster.pixels_set(raster.rasterized(p, F.ceil(h).cast("int") + 3, F.ceil(w).cast("int") + 2)).alias("area"))
 
 
 @query("g20_split_polygons", f"{W} SELECT image_id, len(l[1:2]) + 10 * len(l[3:5]) AS sizes, l[3] AS third FROM (SELECT image_id, list(det_id ORDER BY det_id) AS l FROM dets GROUP BY 1) WHERE len(l) >= 3")
